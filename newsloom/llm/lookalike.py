@@ -87,8 +87,8 @@ def _normalise(batches: Iterator) -> Iterator:
     sql = f"SELECT * EXCLUDE (look), {look_sql('raw')} AS look FROM rows"
     for batch in batches:
         con.register("rows", pa.Table.from_batches([batch]))
-        done = con.execute(sql)
-        out = done.to_arrow_table() if hasattr(done, "to_arrow_table") else done.fetch_arrow_table()
+        result = con.sql(sql)
+        out = result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.arrow()
         names = [f for f in batch.schema.names if f != "look"] + ["look"]
         kinds = pa.schema([(n, batch.schema.field(n).type) for n in names])
         yield from out.select(names).cast(kinds).to_batches()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, lookalike
+from newsloom.llm import bpe, leaks, lookalike, residue
 from newsloom.session import table
 
 
@@ -26,5 +26,17 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(table(spark, root, "documents").select("doc_id", "text"), "text", "ids").select("doc_id", "ids")
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids}
+def p8_spans(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_spans(spark, root).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue(table(spark, root, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
