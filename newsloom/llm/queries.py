@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, leaks, lookalike, residue
+from newsloom.llm import batches, bpe, leaks, lookalike, residue
+from newsloom.operators.snapshots import canonical_hash
 from newsloom.session import table
 
 
@@ -22,6 +23,13 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.look_alike_pairs(p1_strings(spark, root))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    found = batches.repeated_deliveries(
+        table(spark, root, "sources"), table(spark, root, "source_batches"), table(spark, root, "raw_pages"), digest=canonical_hash
+    )
+    return found.select(F.least("id", "earliest").alias("id_a"), F.greatest("id", "earliest").alias("id_b"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(table(spark, root, "documents").select("doc_id", "text"), "text", "ids").select("doc_id", "ids")
 
@@ -38,5 +46,5 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue(table(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
