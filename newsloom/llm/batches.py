@@ -15,6 +15,7 @@ of all rows costs it one block unless nothing in it matches; then it is read to
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,21 +27,36 @@ from pyspark.sql import functions as F
 from newsloom.llm.leaks import _fold
 from newsloom.session import drop_path, durable, scratch
 
-#: Min-hash bands and values of a band: a pair of similarity 0.7 shares a band with probability 0.9999.
-BANDS, BAND_VALUES = 32, 4
+#: Min-hash bands and values of a band: a pair of similarity 0.7 shares a band with probability 0.998.
+BANDS, BAND_VALUES = 24, 4
 #: Tokens of a shingle. TESTDATA asks for light edits that keep most of the text: more than half of all
 #: shingles of both texts are common.
 SHINGLE, LEAST_SIMILARITY = 5, 0.5
+#: The min-hash values also estimate a pair's similarity, with a standard error of 0.05 at most. Pairs
+#: below the first bound are dropped, pairs above the second end the search of a stretch; all that are
+#: left are compared exactly.
+MAYBE, SURELY = 0.33, 0.67
 #: Records of a stretch, in one key range, that a new record is compared with at first.
 BLOCK = 32
-#: Runs before they are compacted.
+#: Runs of batches before they are compacted; the run of the history stays apart until they outgrow it.
 MOST_RUNS = 4
 
-_TOKEN = re.compile(r"[㐀-鿿豈-﫿]|[^\W_㐀-鿿豈-﫿]+")
 _FRONT = re.compile(r"\A\s*---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _RANDOM = np.random.default_rng(20240607)
-_MULTIPLY = _RANDOM.integers(1, 1 << 63, BANDS * BAND_VALUES, dtype=np.uint64) | np.uint64(1)
-_ADD = _RANDOM.integers(0, 1 << 63, BANDS * BAND_VALUES, dtype=np.uint64)
+_MULTIPLY = (_RANDOM.integers(0, 1 << 32, BANDS * BAND_VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_ADD = _RANDOM.integers(0, 1 << 32, BANDS * BAND_VALUES, dtype=np.uint64).astype(np.uint32)
+
+
+class _Words(dict):
+    """A translation table that fills itself: one form of width and case, a blank for what is neither
+    letter nor digit."""
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = _fold[cp] or ("" if unicodedata.category(chr(cp)) == "Cf" else " ")
+        return self[cp]
+
+
+_words = _Words()
 
 
 def page_path(path: Column) -> Column:
@@ -67,72 +83,102 @@ def page_body(raw: str) -> str:
     return raw[m.end() :] if (m := _FRONT.match(raw)) else raw
 
 
-def shingles(text: str) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's five-token shingles: a token is a Han character or a word,
-    in one form of width and case. A shorter text is one shingle; a text without tokens has none."""
-    tokens = _TOKEN.findall(text.lower() if text.isascii() else "".join(_fold[ord(c)] or c for c in text))
-    if not tokens:
-        return np.empty(0, np.int64)
-    codes = pd.util.hash_array(np.array(tokens, dtype=object))
-    k = min(SHINGLE, len(codes))
-    mixed = np.zeros(len(codes) - k + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            mixed = (mixed ^ codes[i : len(codes) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed).view(np.int64)
+def token_hashes(text: str) -> np.ndarray:
+    """A 32-bit hash of each token: a Han character or a word, in one form of width and case."""
+    cp = np.frombuffer(text.translate(_words).encode("utf-32-le", "replace"), dtype=np.uint32)
+    if not len(cp):
+        return cp
+    han = ((cp >= 0x3400) & (cp <= 0x9FFF)) | (cp >= 0x20000)
+    blank = cp == 32
+    word = ~(han | blank)
+    # a token starts at each Han character and where a word begins
+    start = han.copy()
+    start[0] |= word[0]
+    start[1:] |= word[1:] & ~word[:-1]
+    at = np.flatnonzero(start)
+    if not len(at):
+        return np.empty(0, np.uint32)
+    # a character's part depends on its place in the token, blanks have none
+    own = np.arange(len(cp), dtype=np.uint32) - np.repeat(at, np.diff(np.append(at, len(cp)))).astype(np.uint32) if at[0] == 0 else None
+    if own is None:
+        cp, han, blank = cp[at[0] :], han[at[0] :], blank[at[0] :]
+        at = at - at[0]
+        own = np.arange(len(cp), dtype=np.uint32) - np.repeat(at, np.diff(np.append(at, len(cp)))).astype(np.uint32)
+    part = cp * (own * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA77))
+    part = (part ^ (part >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+    part[blank] = 0
+    return np.add.reduceat(part, at, dtype=np.uint32)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
+def shingles(text: str) -> np.ndarray:
+    """Distinct 32-bit hashes of the text's five-token shingles. A shorter text is one shingle; a text
+    without tokens has none."""
+    codes = token_hashes(text)
+    if not len(codes):
+        return codes
+    k = min(SHINGLE, len(codes))
+    mixed = np.zeros(len(codes) - k + 1, dtype=np.uint32)
+    for i in range(k):
+        mixed = (mixed ^ codes[i : len(codes) - k + 1 + i]) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+    return np.unique(mixed)
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each of BANDS * BAND_VALUES permutations."""
+    low = np.full(len(_MULTIPLY), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(hashes), 1024):  # bounds the memory of very long texts
+        v = hashes[at : at + 1024] * _MULTIPLY[:, None]
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0x85EBCA6B)
+        v += _ADD[:, None]
+        np.minimum(low, v.min(axis=1), out=low)
+    return low
+
+
+def bands(low: np.ndarray) -> np.ndarray:
     """One value for each band of min-hash values."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    low = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, dtype=np.uint64)
-    h = hashes.view(np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(h), 4096):  # bounds the memory of very long texts
-            v = h[at : at + 4096, None] * _MULTIPLY + _ADD
-            low = np.minimum(low, (v ^ (v >> np.uint64(32))).min(axis=0))
-        band = np.zeros(BANDS, dtype=np.uint64)
-        for i in range(BAND_VALUES):
-            band = (band ^ low[i::BAND_VALUES]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            band ^= band >> np.uint64(31)
+    band = np.zeros(BANDS, dtype=np.uint64)
+    for i in range(BAND_VALUES):
+        band = (band ^ low[i::BAND_VALUES].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        band ^= band >> np.uint64(29)
     return (band ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-FEATURES = "id string, ord string, path string, digest string, text string, bands array<bigint>, shingles array<bigint>"
+FEATURES = "ord bigint, path bigint, digest bigint, text bigint, low array<int>"
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """FEATURES of pages (id, ord, path, digest, raw). Null or empty text has no text key; then the page
-    is judged by its path and hash alone."""
+    """FEATURES of pages (ord, path, digest, raw): 64-bit keys, and the min-hash values. Null or empty
+    text has neither text key nor values; then the page is judged by its path and hash alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+        import xxhash
 
         for batch in batches:
-            text, band, shingle = [], [], []
+            text, low = [], []
             for raw in batch["raw"]:
                 body = page_body(raw).strip() if raw else ""
                 hashes = shingles(body)
-                text.append(hashlib.sha256(" ".join(body.split()).encode("utf-8", "replace")).hexdigest() if body else None)
-                band.append(bands(hashes))
-                shingle.append(hashes)
-            yield batch.drop(columns="raw").assign(text=text, bands=band, shingles=shingle)[["id", "ord", "path", "digest", "text", "bands", "shingles"]]
+                text.append(xxhash.xxh64_intdigest(" ".join(body.split()).encode("utf-8", "replace")) - (1 << 63) if body else None)
+                low.append(min_hashes(hashes).view(np.int32) if len(hashes) else None)
+            yield pd.DataFrame({"ord": batch["ord"], "path": batch["path"], "digest": batch["digest"], "text": pd.array(text, "Int64"), "low": low})
 
-    return pages.select("id", "ord", "path", "digest", "raw").mapInPandas(run, FEATURES)
+    keyed = pages.select("ord", *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in ("path", "digest")], "raw")
+    return keyed.mapInPandas(run, FEATURES)
 
 
 #: The exact keys, by kind; kind 3 are the bands.
 EXACT = ("path", "digest", "text")
+RUN = "kind int, key bigint, text bigint, ord bigint, place bigint"
 
 
 @dataclass
 class NeighbourhoodIndex:
     """Accepted records as sorted runs under `root`, a folder that all executors share.
 
-    `admit()` takes one batch, gives the earliest accepted record that each of its records repeats, and
-    merges the batch in. `ord` is a string that orders all records by acceptance; it must be unique.
+    `admit()` takes one batch, gives for each of its records the accepted records that it may repeat, and
+    merges the batch in. `ord` numbers all records in order of acceptance.
     """
 
     spark: SparkSession
@@ -142,48 +188,52 @@ class NeighbourhoodIndex:
     counter: int = 0
 
     def admit(self, pages: DataFrame, match: bool = True) -> DataFrame | None:
-        """Matches (id, earliest) of the batch against all before, itself included up to each record;
-        with match=False the batch is history and is only merged in."""
+        """Windows (new_ord, ord, exact) of the batch: the earliest record with the same path, hash or text
+        (exact), and records before that one that are similar by their min-hash values. With match=False
+        the batch is history and is only merged in."""
         self.counter += 1
         part = f"{self.root}/records/{self.counter:05d}"
         features(pages).write.parquet(part)
         self.parts.append(part)
         batch = self.spark.read.schema(FEATURES).parquet(part)
-        keys = self._keys(batch)
         run = f"{self.root}/runs/{self.counter:05d}"
-        self._write_run(keys, run)
+        self._write_run(self._keys(batch), run)
         self.runs.append(run)
-        found = self._search(part) if match else None
-        if len(self.runs) > MOST_RUNS:
+        found = self._search(batch) if match else None
+        if len(self.runs) > MOST_RUNS + 1:
             self.compact()
         return found
 
-    def compact(self) -> None:
-        """Merges all runs into one sorted run. Of records with one text only the earliest stays in the
-        bands' stretches: the others can't be anyone's earliest match there."""
+    def compact(self, everything: bool = False) -> None:
+        """Merges the runs of batches into one sorted run; the largest run, the history's, joins them only
+        when `everything` is set. Of records with one key and text only the earliest stays."""
+        old = self.runs if everything else self.runs[1:]
         self.counter += 1
         run = f"{self.root}/runs/{self.counter:05d}"
-        merged = self.spark.read.schema(self.RUN).parquet(*self.runs)
-        self._write_run(self._earliest(merged), run)
-        for old in self.runs:
-            drop_path(self.spark, old)
-        self.runs = [run]
-
-    RUN = "kind int, key string, text string, ord string, id string, place bigint"
+        merged = self.spark.read.schema(RUN).parquet(*old)
+        self._write_run(merged.groupBy("kind", "key", "text").agg(F.min("ord").alias("ord")), run)
+        for path in old:
+            drop_path(self.spark, path)
+        self.runs = [*self.runs[: len(self.runs) - len(old)], run]
 
     @staticmethod
     def _keys(batch: DataFrame) -> DataFrame:
-        exact = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key"), F.lit(None).cast("string").alias("text")) for i, c in enumerate(EXACT)])
-        near = F.transform("bands", lambda b: F.struct(F.lit(3).alias("kind"), F.hex(b).alias("key"), F.col("text").alias("text")))
-        rows = batch.select(F.explode(F.concat(exact, near)).alias("k"), "ord", "id").select("k.*", "ord", "id").where("key IS NOT NULL")
-        return NeighbourhoodIndex._earliest(rows)
-
-    @staticmethod
-    def _earliest(rows: DataFrame) -> DataFrame:
-        """One row per key and, in the bands, per text: the earliest. Combined on the map side, so a key
-        or text with a third of all rows sends one row a task."""
-        least = rows.groupBy("kind", "key", "text").agg(F.min(F.struct("ord", "id")).alias("first"))
-        return least.select("kind", "key", "text", "first.ord", "first.id")
+        """The run's rows: of each exact key the earliest record, and the bands of the earliest record of
+        each text. Both are combined on the map side, so a key or text with a third of all rows sends one
+        row a task, and copies are never compared with each other."""
+
+        def explode_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    key = np.concatenate([bands(np.asarray(x, np.int32).view(np.uint32)) for x in b["low"]])
+                    yield pd.DataFrame({"kind": 3, "key": key, "text": np.repeat(b["text"].to_numpy(), BANDS), "ord": np.repeat(b["ord"].to_numpy(), BANDS)})
+
+        exact = batch.select(F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(EXACT)])).alias("k"), "ord")
+        exact = exact.where("k.key IS NOT NULL").groupBy("k.kind", "k.key").agg(F.min("ord").alias("ord"))
+        first = batch.where("text IS NOT NULL").groupBy("text").agg(F.min("ord").alias("ord"))
+        texts = batch.where("low IS NOT NULL").join(first.select("ord"), "ord", "left_semi").select("text", "ord", "low")
+        near = texts.mapInPandas(explode_bands, "kind int, key bigint, text bigint, ord bigint")
+        return exact.select("kind", "key", F.lit(None).cast("bigint").alias("text"), "ord").unionByName(near)
 
     def _write_run(self, rows: DataFrame, path: str) -> None:
         """Sorted by (kind, key, ord) in key ranges; a hot key spans several. `place` counts the records
@@ -194,90 +244,120 @@ class NeighbourhoodIndex:
             for batch in batches:
                 if not len(batch):
                     continue
-                new = (batch["key"] != batch["key"].shift()) | (batch["kind"] != batch["kind"].shift())
-                new.iloc[0] = (batch["kind"].iloc[0], batch["key"].iloc[0]) != last
+                kind, key = batch["kind"].to_numpy(), batch["key"].to_numpy()
+                new = np.ones(len(batch), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+                new[0] = (kind[0], key[0]) != last
                 at = np.arange(len(batch))
-                start = np.maximum.accumulate(np.where(new, at, -seen))
-                batch["place"] = at - start
-                last, seen = (batch["kind"].iloc[-1], batch["key"].iloc[-1]), int(batch["place"].iloc[-1]) + 1
+                batch["place"] = at - np.maximum.accumulate(np.where(new, at, -seen))
+                last, seen = (kind[-1], key[-1]), int(batch["place"].iloc[-1]) + 1
                 yield batch
 
-        ranges = rows.select("kind", "key", "text", "ord", "id").repartitionByRange("kind", "key", "ord")
-        ranges.sortWithinPartitions("kind", "key", "ord").mapInPandas(place, self.RUN).write.parquet(path)
+        ranges = rows.select("kind", "key", "text", "ord").repartitionByRange("kind", "key", "ord")
+        ranges.sortWithinPartitions("kind", "key", "ord").mapInPandas(place, RUN).write.parquet(path)
 
-    def _search(self, part: str) -> DataFrame:
-        """(id, earliest): the least record by ord that each record of the batch repeats."""
-        batch = self.spark.read.schema(FEATURES).parquet(part)
-        accepted = self.spark.read.schema(self.RUN).parquet(*self.runs)
-        who = [F.col("id").alias("new_id"), F.col("ord").alias("new_ord"), F.col("text").alias("new_text")]
-        exact = batch.select(F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(EXACT)])).alias("k"), *who)
-        exact = exact.select("k.kind", "k.key", "new_id", "new_ord").where("key IS NOT NULL")
+    def _search(self, batch: DataFrame) -> DataFrame:
+        accepted = self.spark.read.schema(RUN).parquet(*self.runs)
+        exact = batch.select(F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(EXACT)])).alias("k"), F.col("ord").alias("new_ord"))
+        exact = exact.select("k.kind", "k.key", "new_ord").where("key IS NOT NULL")
         # the same path, hash or text needs no comparison, and a run has one row for each: the earliest
         first = exact.join(accepted.where("kind < 3"), ["kind", "key"]).where("ord < new_ord")
-        best = durable(first.groupBy("new_id").agg(F.min(F.struct("ord", "id")).alias("first")), "exact")
+        out = durable(first.groupBy("new_ord").agg(F.min("ord").alias("ord")), "exact")
+        known = out.withColumnRenamed("ord", "known")
+        out = out.withColumn("exact", F.lit(True))
         near = accepted.where("kind = 3")
         longest = near.agg(F.max("place")).first()[0]
-        open_ = batch.select(F.explode("bands").alias("band"), *who).withColumn("key", F.hex("band")).drop("band")
-        mine = batch.select(F.col("id").alias("new_id"), F.col("shingles").alias("mine"))
-        known = self.spark.read.schema(FEATURES).parquet(*self.parts).select("id", F.col("shingles").alias("theirs"))
+
+        def explode_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    key = np.concatenate([bands(np.asarray(x, np.int32).view(np.uint32)) for x in b["low"]])
+                    yield pd.DataFrame({"key": key, "new_text": np.repeat(b["text"].to_numpy(), BANDS), "new_ord": np.repeat(b["ord"].to_numpy(), BANDS)})
+
+        open_ = batch.where("low IS NOT NULL").select("text", "ord", "low").mapInPandas(explode_bands, "key bigint, new_text bigint, new_ord bigint")
+        mine = batch.select(F.col("ord").alias("new_ord"), F.col("low").alias("mine"))
+        theirs = self.spark.read.schema(FEATURES).parquet(*self.parts).select("ord", F.col("low").alias("theirs"))
         lo, hi = 0, BLOCK
         while longest is not None and lo <= longest:
-            block = near.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "text", "ord", "id")
-            window = open_.join(block, "key").where("ord < new_ord AND text <> new_text")
+            block = near.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "text", "ord")
+            window = open_.join(block, "key").where("ord < new_ord AND text <> new_text").join(known, "new_ord", "left")
             # only an earlier record can still improve on what is known
-            window = window.join(best.select("new_id", F.col("first.ord").alias("known")), "new_id", "left")
-            window = durable(window.where("known IS NULL OR ord < known").select("new_id", "key", "ord", "id"), "window")
-            common = F.size(F.array_intersect("mine", "theirs"))
-            alike = common / (F.size("mine") + F.size("theirs") - common)
-            pairs = window.select("new_id", "ord", "id").distinct()
-            hits = durable(pairs.join(mine, "new_id").join(known, "id").where(alike >= LEAST_SIMILARITY).select("new_id", "ord", "id"), "hits")
-            better = hits.groupBy("new_id").agg(F.min(F.struct("ord", "id")).alias("first"))
-            best = durable(best.unionByName(better).groupBy("new_id").agg(F.min("first").alias("first")), "best")
+            window = window.where("known IS NULL OR ord < known").select("new_ord", "key", "ord")
+            last_round = hi > longest
+            pairs = window.select("new_ord", "ord").distinct()
+            agree = F.aggregate(F.zip_with("mine", "theirs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+            alike = pairs.join(mine, "new_ord").join(theirs, "ord").select("new_ord", "ord", (agree / (BANDS * BAND_VALUES)).alias("alike"))
+            hits = durable(alike.where(F.col("alike") >= MAYBE), "hits")
+            out = out.unionByName(hits.select("new_ord", "ord", F.lit(False).alias("exact")))
+            if not last_round:
+                done = window.join(hits.where(F.col("alike") >= SURELY), ["new_ord", "ord"], "left_semi").select("new_ord", "key").distinct()
+                open_ = durable(open_.join(done, ["new_ord", "key"], "left_anti"), "open")
             lo, hi = hi, hi * 4
-            if lo <= longest:
-                done = window.join(hits, ["new_id", "ord", "id"], "left_semi").select("new_id", "key").distinct()
-                open_ = durable(open_.join(done, ["new_id", "key"], "left_anti"), "open")
-        return best.select(F.col("new_id").alias("id"), F.col("first.id").alias("earliest"))
+        return out
 
 
-def history_order(ingested: Column, page_id: Column) -> Column:
-    """`ord` of accepted history: before every delivery, by time of ingestion and id."""
-    return F.concat(F.lit("0"), F.coalesce(F.date_format(ingested, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")), F.lit(" "), page_id)
+def accepted_order(time: Column, page_id: Column, history: bool) -> Column:
+    """`ord`: history before every delivery, then by time in microseconds; ties by a hash of the id, which
+    leaves one in 2,048 ties in time undecided."""
+    micros = F.coalesce(F.unix_micros(time.cast("timestamp")), F.lit(0))
+    order = micros * 2048 + F.pmod(F.xxhash64(page_id), F.lit(2048))
+    return (order - F.lit(1 << 62)) if history else order
 
 
-def delivery_order(arrived: Column, page_id: Column) -> Column:
-    return F.concat(F.lit("1"), F.coalesce(F.date_format(arrived, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")), F.lit(" "), page_id)
+def exact_similarity(pairs: DataFrame, names: DataFrame, raw: DataFrame) -> DataFrame:
+    """Adds `alike`, the share of common shingles, to pairs (new_ord, ord). Only texts of the pairs are
+    read: shingles are made once a text, then joined to its pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"ord": b["ord"], "shingles": [shingles(page_body(x).strip()).view(np.int32) for x in b["raw"]]})
+
+    wanted = pairs.select(F.explode(F.array("new_ord", "ord")).alias("ord")).distinct()
+    texts = names.join(wanted, "ord", "left_semi").join(raw.where("raw IS NOT NULL"), "id").select("ord", "raw")
+    made = texts.mapInPandas(run, "ord bigint, shingles array<int>")
+    both = pairs.join(made.select(F.col("ord").alias("new_ord"), F.col("shingles").alias("mine")), "new_ord")
+    both = both.join(made.select("ord", F.col("shingles").alias("theirs")), "ord")
+    common = F.size(F.array_intersect("mine", "theirs"))
+    return both.select("new_ord", "ord", (common / (F.size("mine") + F.size("theirs") - common)).alias("alike"))
 
 
-def repeated_deliveries(
-    sources: DataFrame, deliveries: DataFrame, raw_pages: DataFrame, digest=None, keep_index: bool = False
-) -> DataFrame:
+def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: DataFrame, digest, keep_index: bool = False) -> DataFrame:
     """(id, earliest): every delivery that repeats a page accepted before it, and the earliest such page.
 
     History is `sources` (a page that comes twice counts from its first ingestion), then all earlier
-    deliveries by `arrivedAt`, ties by id. A page repeats another if the path or the hash is the same in
-    any spelling, or the text is the same or keeps most of it (LEAST_SIMILARITY). Null paths, hashes,
-    texts and dates match nothing; a delivery without arrival comes first; empty tables give no rows.
-    Batches are admitted one after the other; each reads the runs, not the texts, of what came before.
+    deliveries by `arrivedAt`. A page repeats another if the path or the hash is the same in any
+    spelling, or the text is the same or keeps most of it (LEAST_SIMILARITY). Null paths, hashes, texts
+    match nothing; a page without a time comes first of its kind; empty tables give no rows. Batches are
+    admitted one after the other; each reads the sorted runs, not the texts, of what came before.
     """
     spark = sources.sparkSession
-    raw = raw_pages.where("id IS NOT NULL").groupBy("id").agg(F.min("raw").alias("raw"))
+    raw = raw_pages.where("id IS NOT NULL").groupBy("id").agg(F.min("raw").alias("raw")) if _repeats(raw_pages) else raw_pages.select("id", "raw")
     page = [page_path(F.col("repositoryPath")).alias("path"), digest(F.col("contentHash")).alias("digest")]
-    history = sources.where("id IS NOT NULL").select("id", *page, history_order(F.col("ingestedAt"), F.col("id")).alias("ord"))
+    history = sources.where("id IS NOT NULL").select("id", *page, accepted_order(F.col("ingestedAt"), F.col("id"), True).alias("ord"))
     history = history.groupBy("id").agg(F.min(F.struct("ord", "path", "digest")).alias("r")).select("id", "r.*")
-    coming = deliveries.where("id IS NOT NULL").select("batchNo", "id", *page, delivery_order(F.col("arrivedAt"), F.col("id")).alias("ord"))
+    coming = deliveries.where("id IS NOT NULL").select("batchNo", "id", *page, accepted_order(F.col("arrivedAt"), F.col("id"), False).alias("ord"))
     coming = coming.groupBy("id").agg(F.min(F.struct("ord", "batchNo", "path", "digest")).alias("r")).select("id", "r.*")
     # a row for each batch
     numbers = [r[0] for r in coming.groupBy("batchNo").agg(F.min("ord").alias("o")).orderBy("o", "batchNo").collect()]
     index = NeighbourhoodIndex(spark, scratch(spark, "runs"))
     index.admit(history.join(raw, "id", "left"), match=False)
-    found = None
+    windows = None
     for number in numbers:
-        batch = coming.where(F.col("batchNo").eqNullSafe(F.lit(number))).drop("batchNo").join(raw, "id", "left")
-        part = index.admit(batch)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        part = index.admit(coming.where(F.col("batchNo").eqNullSafe(F.lit(number))).join(raw, "id", "left"))
+        windows = part if windows is None else windows.unionByName(part)
+    names = history.select("ord", "id").unionByName(coming.select("ord", "id"))
+    if windows is None:
         return history.select("id", F.col("id").alias("earliest")).limit(0)
+    maybe = windows.where("NOT exact").select("new_ord", "ord").distinct()
+    near = exact_similarity(maybe, names, raw).where(F.col("alike") >= LEAST_SIMILARITY).select("new_ord", "ord")
+    first = windows.where("exact").select("new_ord", "ord").unionByName(near).groupBy("new_ord").agg(F.min("ord").alias("ord"))
+    first = durable(first, "first")
     if not keep_index:
         drop_path(spark, index.root)
-    return found
+    one = names.groupBy("ord").agg(F.min("id").alias("id"))
+    return first.join(coming.select(F.col("ord").alias("new_ord"), "id"), "new_ord").join(one.withColumnRenamed("id", "earliest"), "ord").select("id", "earliest")
+
+
+def _repeats(raw_pages: DataFrame) -> bool:
+    """Whether an id comes twice; ids alone are read."""
+    return bool(raw_pages.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
