@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import batches, bpe, leaks, lookalike, residue, subjects
+from newsloom.llm import batches, bpe, leaks, lookalike, names, residue, subjects
 from newsloom.operators.snapshots import canonical_hash
 from newsloom.session import table
 
@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.least("id", "earliest").alias("id_a"), F.greatest("id", "earliest").alias("id_b"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.variant_pairs(table(spark, root, "entities"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return subjects.subjects(table(spark, root, "kg_events"), table(spark, root, "subject_labels"))
 
@@ -50,5 +54,5 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue(table(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
