@@ -38,8 +38,10 @@ SHINGLE, LEAST_SIMILARITY = 5, 0.5
 MAYBE, SURELY = 0.33, 0.67
 #: Records of a stretch, in one key range, that a new record is compared with at first.
 BLOCK = 32
-#: Runs of batches before they are compacted; the run of the history stays apart until they outgrow it.
+#: Runs of batches before they are compacted into one; the history's run stays apart.
 MOST_RUNS = 4
+#: Admissions in which a backlog of batches is taken up; a batch's own records are ordered like all others.
+ADMISSIONS = 2
 
 _FRONT = re.compile(r"\A\s*---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _RANDOM = np.random.default_rng(20240607)
@@ -136,21 +138,22 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def bands(low: np.ndarray) -> np.ndarray:
+def bands(low: bytes) -> np.ndarray:
     """One value for each band of min-hash values."""
+    values = np.frombuffer(low, dtype=np.uint16).astype(np.uint64)
     band = np.zeros(BANDS, dtype=np.uint64)
     for i in range(BAND_VALUES):
-        band = (band ^ low[i::BAND_VALUES].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        band = (band ^ values[i::BAND_VALUES]) * np.uint64(0xC2B2AE3D27D4EB4F)
         band ^= band >> np.uint64(29)
     return (band ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-FEATURES = "ord bigint, path bigint, digest bigint, text bigint, low array<int>"
+FEATURES = "ord bigint, path bigint, digest bigint, text bigint, low binary"
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """FEATURES of pages (ord, path, digest, raw): 64-bit keys, and the min-hash values. Null or empty
-    text has neither text key nor values; then the page is judged by its path and hash alone."""
+    """FEATURES of pages (ord, path, digest, raw): 64-bit keys, and 16 bits of each min-hash value. Null or
+    empty text has neither text key nor values; then the page is judged by its path and hash alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -161,7 +164,7 @@ def features(pages: DataFrame) -> DataFrame:
                 body = page_body(raw).strip() if raw else ""
                 hashes = shingles(body)
                 text.append(xxhash.xxh64_intdigest(" ".join(body.split()).encode("utf-8", "replace")) - (1 << 63) if body else None)
-                low.append(min_hashes(hashes).view(np.int32) if len(hashes) else None)
+                low.append(min_hashes(hashes).astype(np.uint16).tobytes() if len(hashes) else None)
             yield pd.DataFrame({"ord": batch["ord"], "path": batch["path"], "digest": batch["digest"], "text": pd.array(text, "Int64"), "low": low})
 
     keyed = pages.select("ord", *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in ("path", "digest")], "raw")
@@ -170,7 +173,38 @@ def features(pages: DataFrame) -> DataFrame:
 
 #: The exact keys, by kind; kind 3 are the bands.
 EXACT = ("path", "digest", "text")
-RUN = "kind int, key bigint, text bigint, ord bigint, place bigint"
+RUN = "kind tinyint, key bigint, ord bigint, place int"
+
+
+def exact_keys(batch: DataFrame) -> DataFrame:
+    """(kind, key, ord) of the batch's canonical paths, hashes and texts."""
+    each = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("kind"), F.col(c).alias("key")) for i, c in enumerate(EXACT)])
+    return batch.select(F.explode(each).alias("k"), "ord").where("k.key IS NOT NULL").select("k.kind", "k.key", "ord")
+
+
+def band_keys(batch: DataFrame) -> DataFrame:
+    """(key, ord) of the batch's bands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"key": np.concatenate([bands(x) for x in b["low"]]), "ord": np.repeat(b["ord"].to_numpy(), BANDS)})
+
+    return batch.where("low IS NOT NULL").select("ord", "low").mapInPandas(run, "key bigint, ord bigint")
+
+
+def estimated(pairs: DataFrame, features_: DataFrame) -> DataFrame:
+    """(new_ord, ord, alike): the share of equal min-hash values."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            alike = [float(np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16))) for x, y in zip(b["mine"], b["theirs"])]
+            yield pd.DataFrame({"new_ord": b["new_ord"], "ord": b["ord"], "alike": alike})
+
+    low = features_.where("low IS NOT NULL").select("ord", "low")
+    both = pairs.join(low.select(F.col("ord").alias("new_ord"), F.col("low").alias("mine")), "new_ord")
+    both = both.join(low.select("ord", F.col("low").alias("theirs")), "ord")
+    return both.select("new_ord", "ord", "mine", "theirs").mapInPandas(run, "new_ord bigint, ord bigint, alike double")
 
 
 @dataclass
@@ -189,8 +223,8 @@ class NeighbourhoodIndex:
 
     def admit(self, pages: DataFrame, match: bool = True) -> DataFrame | None:
         """Windows (new_ord, ord, exact) of the batch: the earliest record with the same path, hash or text
-        (exact), and records before that one that are similar by their min-hash values. With match=False
-        the batch is history and is only merged in."""
+        (exact), and the records before that one which share a band. With match=False the batch is
+        history and is only merged in."""
         self.counter += 1
         part = f"{self.root}/records/{self.counter:05d}"
         features(pages).write.parquet(part)
@@ -204,14 +238,18 @@ class NeighbourhoodIndex:
             self.compact()
         return found
 
+    def records(self) -> DataFrame:
+        return self.spark.read.schema(FEATURES).parquet(*self.parts)
+
     def compact(self, everything: bool = False) -> None:
-        """Merges the runs of batches into one sorted run; the largest run, the history's, joins them only
-        when `everything` is set. Of records with one key and text only the earliest stays."""
+        """Merges the runs of batches into one sorted run; the first run, the history's, joins them only
+        when `everything` is set."""
         old = self.runs if everything else self.runs[1:]
         self.counter += 1
         run = f"{self.root}/runs/{self.counter:05d}"
         merged = self.spark.read.schema(RUN).parquet(*old)
-        self._write_run(merged.groupBy("kind", "key", "text").agg(F.min("ord").alias("ord")), run)
+        first = merged.where("kind < 3").groupBy("kind", "key").agg(F.min("ord").alias("ord"))
+        self._write_run(first.unionByName(merged.where("kind = 3").select("kind", "key", "ord")), run)
         for path in old:
             drop_path(self.spark, path)
         self.runs = [*self.runs[: len(self.runs) - len(old)], run]
@@ -221,19 +259,10 @@ class NeighbourhoodIndex:
         """The run's rows: of each exact key the earliest record, and the bands of the earliest record of
         each text. Both are combined on the map side, so a key or text with a third of all rows sends one
         row a task, and copies are never compared with each other."""
-
-        def explode_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    key = np.concatenate([bands(np.asarray(x, np.int32).view(np.uint32)) for x in b["low"]])
-                    yield pd.DataFrame({"kind": 3, "key": key, "text": np.repeat(b["text"].to_numpy(), BANDS), "ord": np.repeat(b["ord"].to_numpy(), BANDS)})
-
-        exact = batch.select(F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(EXACT)])).alias("k"), "ord")
-        exact = exact.where("k.key IS NOT NULL").groupBy("k.kind", "k.key").agg(F.min("ord").alias("ord"))
+        exact = exact_keys(batch).groupBy("kind", "key").agg(F.min("ord").alias("ord"))
         first = batch.where("text IS NOT NULL").groupBy("text").agg(F.min("ord").alias("ord"))
-        texts = batch.where("low IS NOT NULL").join(first.select("ord"), "ord", "left_semi").select("text", "ord", "low")
-        near = texts.mapInPandas(explode_bands, "kind int, key bigint, text bigint, ord bigint")
-        return exact.select("kind", "key", F.lit(None).cast("bigint").alias("text"), "ord").unionByName(near)
+        near = band_keys(batch.join(first.select("ord"), "ord", "left_semi"))
+        return exact.unionByName(near.select(F.lit(3).cast("tinyint").alias("kind"), "key", "ord"))
 
     def _write_run(self, rows: DataFrame, path: str) -> None:
         """Sorted by (kind, key, ord) in key ranges; a hot key spans several. `place` counts the records
@@ -249,49 +278,38 @@ class NeighbourhoodIndex:
                 new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
                 new[0] = (kind[0], key[0]) != last
                 at = np.arange(len(batch))
-                batch["place"] = at - np.maximum.accumulate(np.where(new, at, -seen))
+                batch["place"] = (at - np.maximum.accumulate(np.where(new, at, -seen))).astype(np.int32)
                 last, seen = (kind[-1], key[-1]), int(batch["place"].iloc[-1]) + 1
                 yield batch
 
-        ranges = rows.select("kind", "key", "text", "ord").repartitionByRange("kind", "key", "ord")
+        ranges = rows.select("kind", "key", "ord").repartitionByRange("kind", "key", "ord")
         ranges.sortWithinPartitions("kind", "key", "ord").mapInPandas(place, RUN).write.parquet(path)
 
     def _search(self, batch: DataFrame) -> DataFrame:
         accepted = self.spark.read.schema(RUN).parquet(*self.runs)
-        exact = batch.select(F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(EXACT)])).alias("k"), F.col("ord").alias("new_ord"))
-        exact = exact.select("k.kind", "k.key", "new_ord").where("key IS NOT NULL")
+        exact = exact_keys(batch).withColumnRenamed("ord", "new_ord")
         # the same path, hash or text needs no comparison, and a run has one row for each: the earliest
         first = exact.join(accepted.where("kind < 3"), ["kind", "key"]).where("ord < new_ord")
         out = durable(first.groupBy("new_ord").agg(F.min("ord").alias("ord")), "exact")
         known = out.withColumnRenamed("ord", "known")
         out = out.withColumn("exact", F.lit(True))
-        near = accepted.where("kind = 3")
+        near = accepted.where("kind = 3").select("key", "ord", "place")
         longest = near.agg(F.max("place")).first()[0]
-
-        def explode_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    key = np.concatenate([bands(np.asarray(x, np.int32).view(np.uint32)) for x in b["low"]])
-                    yield pd.DataFrame({"key": key, "new_text": np.repeat(b["text"].to_numpy(), BANDS), "new_ord": np.repeat(b["ord"].to_numpy(), BANDS)})
-
-        open_ = batch.where("low IS NOT NULL").select("text", "ord", "low").mapInPandas(explode_bands, "key bigint, new_text bigint, new_ord bigint")
-        mine = batch.select(F.col("ord").alias("new_ord"), F.col("low").alias("mine"))
-        theirs = self.spark.read.schema(FEATURES).parquet(*self.parts).select("ord", F.col("low").alias("theirs"))
+        open_ = band_keys(batch).withColumnRenamed("ord", "new_ord")
         lo, hi = 0, BLOCK
         while longest is not None and lo <= longest:
-            block = near.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "text", "ord")
-            window = open_.join(block, "key").where("ord < new_ord AND text <> new_text").join(known, "new_ord", "left")
+            block = near.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "ord")
+            window = open_.join(block, "key").where("ord < new_ord").join(known, "new_ord", "left")
             # only an earlier record can still improve on what is known
-            window = window.where("known IS NULL OR ord < known").select("new_ord", "key", "ord")
-            last_round = hi > longest
-            pairs = window.select("new_ord", "ord").distinct()
-            agree = F.aggregate(F.zip_with("mine", "theirs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-            alike = pairs.join(mine, "new_ord").join(theirs, "ord").select("new_ord", "ord", (agree / (BANDS * BAND_VALUES)).alias("alike"))
-            hits = durable(alike.where(F.col("alike") >= MAYBE), "hits")
-            out = out.unionByName(hits.select("new_ord", "ord", F.lit(False).alias("exact")))
-            if not last_round:
-                done = window.join(hits.where(F.col("alike") >= SURELY), ["new_ord", "ord"], "left_semi").select("new_ord", "key").distinct()
-                open_ = durable(open_.join(done, ["new_ord", "key"], "left_anti"), "open")
+            window = durable(window.where("known IS NULL OR ord < known").select("new_ord", "key", "ord"), "window")
+            out = out.unionByName(window.select("new_ord", "ord", F.lit(False).alias("exact")).distinct())
+            if hi <= longest:
+                # few stretches go on: only their records search further, unless they have met their like there
+                going = near.where(F.col("place") >= hi).select("key").distinct()
+                here = window.join(going, "key", "left_semi")
+                alike = estimated(here.select("new_ord", "ord").distinct(), self.records()).where(F.col("alike") >= SURELY)
+                met = here.join(alike, ["new_ord", "ord"], "left_semi").select("new_ord", "key").distinct()
+                open_ = durable(open_.join(going, "key", "left_semi").join(met, ["new_ord", "key"], "left_anti"), "open")
             lo, hi = hi, hi * 4
         return out
 
@@ -321,14 +339,15 @@ def exact_similarity(pairs: DataFrame, names: DataFrame, raw: DataFrame) -> Data
     return both.select("new_ord", "ord", (common / (F.size("mine") + F.size("theirs") - common)).alias("alike"))
 
 
-def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: DataFrame, digest, keep_index: bool = False) -> DataFrame:
+def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: DataFrame, digest, keep_index: bool = False, admissions: int = ADMISSIONS) -> DataFrame:
     """(id, earliest): every delivery that repeats a page accepted before it, and the earliest such page.
 
     History is `sources` (a page that comes twice counts from its first ingestion), then all earlier
     deliveries by `arrivedAt`. A page repeats another if the path or the hash is the same in any
     spelling, or the text is the same or keeps most of it (LEAST_SIMILARITY). Null paths, hashes, texts
-    match nothing; a page without a time comes first of its kind; empty tables give no rows. Batches are
-    admitted one after the other; each reads the sorted runs, not the texts, of what came before.
+    match nothing; a page without a time comes first of its kind; empty tables give no rows. The backlog of
+    batches is taken up in `admissions` steps, with the same result for any number of them; each step reads
+    the sorted runs, not the texts, of what came before.
     """
     spark = sources.sparkSession
     raw = raw_pages.where("id IS NOT NULL").groupBy("id").agg(F.min("raw").alias("raw")) if _repeats(raw_pages) else raw_pages.select("id", "raw")
@@ -341,15 +360,18 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
     numbers = [r[0] for r in coming.groupBy("batchNo").agg(F.min("ord").alias("o")).orderBy("o", "batchNo").collect()]
     index = NeighbourhoodIndex(spark, scratch(spark, "runs"))
     index.admit(history.join(raw, "id", "left"), match=False)
-    windows = None
-    for number in numbers:
-        part = index.admit(coming.where(F.col("batchNo").eqNullSafe(F.lit(number))).join(raw, "id", "left"))
+    windows, each = None, -(-len(numbers) // max(1, admissions)) or 1
+    for at in range(0, len(numbers), each):
+        those = F.lit(False)
+        for number in numbers[at : at + each]:
+            those = those | F.col("batchNo").eqNullSafe(F.lit(number))
+        part = index.admit(coming.where(those).join(raw, "id", "left"))
         windows = part if windows is None else windows.unionByName(part)
     names = history.select("ord", "id").unionByName(coming.select("ord", "id"))
     if windows is None:
         return history.select("id", F.col("id").alias("earliest")).limit(0)
-    maybe = windows.where("NOT exact").select("new_ord", "ord").distinct()
-    near = exact_similarity(maybe, names, raw).where(F.col("alike") >= LEAST_SIMILARITY).select("new_ord", "ord")
+    maybe = estimated(windows.where("NOT exact").select("new_ord", "ord").distinct(), index.records()).where(F.col("alike") >= MAYBE)
+    near = exact_similarity(durable(maybe.select("new_ord", "ord"), "maybe"), names, raw).where(F.col("alike") >= LEAST_SIMILARITY).select("new_ord", "ord")
     first = windows.where("exact").select("new_ord", "ord").unionByName(near).groupBy("new_ord").agg(F.min("ord").alias("ord"))
     first = durable(first, "first")
     if not keep_index:
