@@ -40,6 +40,8 @@ MAYBE, SURELY = 0.33, 0.67
 BLOCK = 32
 #: Runs of batches before they are compacted into one; the history's run stays apart.
 MOST_RUNS = 4
+#: Rows (id, number) that are broadcast at most, about 30 MB.
+BROADCAST_ROWS = 500_000
 #: Admissions in which a backlog of batches is taken up; a batch's own records are ordered like all others.
 ADMISSIONS = 2
 
@@ -149,11 +151,12 @@ def bands(low: bytes) -> np.ndarray:
 
 
 FEATURES = "ord bigint, path bigint, digest bigint, text bigint, low binary"
+TEXTS = "id string, text bigint, low binary"
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """FEATURES of pages (ord, path, digest, raw): 64-bit keys, and 16 bits of each min-hash value. Null or
-    empty text has neither text key nor values; then the page is judged by its path and hash alone."""
+def text_features(raw_pages: DataFrame) -> DataFrame:
+    """TEXTS of pages (id, raw): a 64-bit key of the text and 16 bits of each min-hash value. Null or empty
+    text has neither. Each text is read once, next to the scan; only these few bytes travel."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -165,10 +168,15 @@ def features(pages: DataFrame) -> DataFrame:
                 hashes = shingles(body)
                 text.append(xxhash.xxh64_intdigest(" ".join(body.split()).encode("utf-8", "replace")) - (1 << 63) if body else None)
                 low.append(min_hashes(hashes).astype(np.uint16).tobytes() if len(hashes) else None)
-            yield pd.DataFrame({"ord": batch["ord"], "path": batch["path"], "digest": batch["digest"], "text": pd.array(text, "Int64"), "low": low})
+            yield pd.DataFrame({"id": batch["id"], "text": pd.array(text, "Int64"), "low": low})
 
-    keyed = pages.select("ord", *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in ("path", "digest")], "raw")
-    return keyed.mapInPandas(run, FEATURES)
+    return raw_pages.select("id", "raw").where("id IS NOT NULL").mapInPandas(run, TEXTS)
+
+
+def page_features(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """FEATURES of pages (id, ord, path, digest) and their TEXTS."""
+    keyed = pages.select("id", "ord", *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in ("path", "digest")])
+    return keyed.join(texts, "id", "left").select("ord", "path", "digest", "text", "low")
 
 
 #: The exact keys, by kind; kind 3 are the bands.
@@ -222,12 +230,12 @@ class NeighbourhoodIndex:
     counter: int = 0
 
     def admit(self, pages: DataFrame, match: bool = True) -> DataFrame | None:
-        """Windows (new_ord, ord, exact) of the batch: the earliest record with the same path, hash or text
+        """Windows (new_ord, ord, exact) of the batch of FEATURES: the earliest record with the same path, hash or text
         (exact), and the records before that one which share a band. With match=False the batch is
         history and is only merged in."""
         self.counter += 1
         part = f"{self.root}/records/{self.counter:05d}"
-        features(pages).write.parquet(part)
+        pages.write.parquet(part)
         self.parts.append(part)
         batch = self.spark.read.schema(FEATURES).parquet(part)
         run = f"{self.root}/runs/{self.counter:05d}"
@@ -330,8 +338,10 @@ def exact_similarity(pairs: DataFrame, names: DataFrame, raw: DataFrame) -> Data
         for b in batches:
             yield pd.DataFrame({"ord": b["ord"], "shingles": [shingles(page_body(x).strip()).view(np.int32) for x in b["raw"]]})
 
-    wanted = pairs.select(F.explode(F.array("new_ord", "ord")).alias("ord")).distinct()
-    texts = names.join(wanted, "ord", "left_semi").join(raw.where("raw IS NOT NULL"), "id").select("ord", "raw")
+    wanted = durable(names.join(pairs.select(F.explode(F.array("new_ord", "ord")).alias("ord")).distinct(), "ord", "left_semi"), "wanted")
+    # ids and numbers only, and counted: texts then stay where they are read; beyond the bound they shuffle
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = raw.where("raw IS NOT NULL").join(F.broadcast(wanted) if few else wanted, "id").select("ord", "raw")
     made = texts.mapInPandas(run, "ord bigint, shingles array<int>")
     both = pairs.join(made.select(F.col("ord").alias("new_ord"), F.col("shingles").alias("mine")), "new_ord")
     both = both.join(made.select("ord", F.col("shingles").alias("theirs")), "ord")
@@ -350,7 +360,9 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
     the sorted runs, not the texts, of what came before.
     """
     spark = sources.sparkSession
-    raw = raw_pages.where("id IS NOT NULL").groupBy("id").agg(F.min("raw").alias("raw")) if _repeats(raw_pages) else raw_pages.select("id", "raw")
+    texts = durable(text_features(raw_pages), "texts")
+    if not texts.groupBy("id").count().where("count > 1").isEmpty():  # an id with several texts: the least one
+        texts = texts.groupBy("id").agg(F.min(F.struct("text", "low")).alias("t")).select("id", "t.*")
     page = [page_path(F.col("repositoryPath")).alias("path"), digest(F.col("contentHash")).alias("digest")]
     history = sources.where("id IS NOT NULL").select("id", *page, accepted_order(F.col("ingestedAt"), F.col("id"), True).alias("ord"))
     history = history.groupBy("id").agg(F.min(F.struct("ord", "path", "digest")).alias("r")).select("id", "r.*")
@@ -359,19 +371,19 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
     # a row for each batch
     numbers = [r[0] for r in coming.groupBy("batchNo").agg(F.min("ord").alias("o")).orderBy("o", "batchNo").collect()]
     index = NeighbourhoodIndex(spark, scratch(spark, "runs"))
-    index.admit(history.join(raw, "id", "left"), match=False)
+    index.admit(page_features(history, texts), match=False)
     windows, each = None, -(-len(numbers) // max(1, admissions)) or 1
     for at in range(0, len(numbers), each):
         those = F.lit(False)
         for number in numbers[at : at + each]:
             those = those | F.col("batchNo").eqNullSafe(F.lit(number))
-        part = index.admit(coming.where(those).join(raw, "id", "left"))
+        part = index.admit(page_features(coming.where(those), texts))
         windows = part if windows is None else windows.unionByName(part)
     names = history.select("ord", "id").unionByName(coming.select("ord", "id"))
     if windows is None:
         return history.select("id", F.col("id").alias("earliest")).limit(0)
     maybe = estimated(windows.where("NOT exact").select("new_ord", "ord").distinct(), index.records()).where(F.col("alike") >= MAYBE)
-    near = exact_similarity(durable(maybe.select("new_ord", "ord"), "maybe"), names, raw).where(F.col("alike") >= LEAST_SIMILARITY).select("new_ord", "ord")
+    near = exact_similarity(durable(maybe.select("new_ord", "ord"), "maybe"), names, raw_pages.select("id", "raw")).where(F.col("alike") >= LEAST_SIMILARITY).select("new_ord", "ord")
     first = windows.where("exact").select("new_ord", "ord").unionByName(near).groupBy("new_ord").agg(F.min("ord").alias("ord"))
     first = durable(first, "first")
     if not keep_index:
@@ -379,7 +391,3 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
     one = names.groupBy("ord").agg(F.min("id").alias("id"))
     return first.join(coming.select(F.col("ord").alias("new_ord"), "id"), "new_ord").join(one.withColumnRenamed("id", "earliest"), "ord").select("id", "earliest")
 
-
-def _repeats(raw_pages: DataFrame) -> bool:
-    """Whether an id comes twice; ids alone are read."""
-    return bool(raw_pages.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
