@@ -7,8 +7,6 @@ line break. Null gives null unless a function says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,7 +127,7 @@ def date_precision(date: Column) -> Column:
 
 def day_number(date: Column) -> Column:
     """Days since 1970-01-01 of an ISO date; null if there is no such day."""
-    return F.unix_date(F.try_to_date(date, F.lit("yyyy-MM-dd")))
+    return F.unix_date(F.try_to_date(date, "yyyy-MM-dd"))
 
 
 def iso_of_day(day: Column) -> Column:
@@ -143,7 +141,7 @@ def round_half_up(x: Column) -> Column:
 
 def format_event_date(date: Column, precision: Column) -> Column:
     """A date as people read it, by its precision; what is no date stays as it is."""
-    d = F.try_to_date(date, F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(date, "yyyy-MM-dd")
     return F.coalesce(
         F.when(precision == "year", F.substring(date, 1, 4)).when(precision == "month", F.date_format(d, "yyyy 年 M 月")).otherwise(F.date_format(d, "yyyy年M月d日")),
         date,
@@ -215,13 +213,11 @@ def normalize_search_value(text: str | None) -> str:
     return "".join(c for c in folded if unicodedata.category(c)[0] not in "PS" and not c.isspace() and c not in "﻿")
 
 
-@F.pandas_udf("string")
-def _normalize_search(texts: pd.Series) -> pd.Series:
-    return texts.map(normalize_search_value, na_action=None)
+def normalize_search(text: Column) -> Column:
+    """F5 on a column. Unicode decomposition has no built-in, so this one crosses to Python, in Arrow batches."""
 
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(normalize_search_value, na_action=None)
 
-def normalize_search(text: Column, form: str = "nfkd") -> Column:
-    """F5 on a column. Unicode decomposition has no built-in, so this one crosses to Python in Arrow
-    batches; texts of ASCII alone, which need none, take the built-in path."""
-    ascii_only = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9]", "")) if form == "ascii" else None
-    return ascii_only if ascii_only is not None else _normalize_search(text)
+    return run(text)
