@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import percentage
@@ -67,7 +68,7 @@ def segmentation_report(pages: DataFrame) -> dict[str, DataFrame]:
         "by_resolution": pages.where("episode IS NOT NULL").groupBy(F.col("dateProvenance.resolution").alias("resolution")).agg(F.count(F.lit(1)).alias("n")),
         "totals": pages.agg(
             F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(s + "newsCount"), F.lit(0)).alias("news"), F.count_if(F.col(s + "newsCount") > 1).alias("multiNewsPages"),
-            F.count_if(F.col(s + "needsReview")).alias("reviewPages"), F.count_if("dateProvenance.resolution <> 'observed'").alias("adjustedPages"),
+            F.count_if(F.col(s + "needsReview")).alias("reviewPages"), F.count_if(F.col("dateProvenance.resolution") != "observed").alias("adjustedPages"),
         ),
         "review": pages.where(F.col(s + "needsReview")).select("id", "title", "repositoryPath", s + "strategy", s + "confidence", s + "newsCount", s + "candidateBoundaryCount", s + "reviewReasons"),
     }
@@ -83,8 +84,6 @@ def review_sample(events: DataFrame, gaps: bool = False, most: int = 100) -> Dat
 def upstream_report(changes: DataFrame) -> DataFrame:
     """(bucket, n, paths): how many paths each bucket of an archive diff has, and the first 30."""
     counts = changes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
     first = changes.withColumn("_n", F.row_number().over(W.partitionBy("bucket").orderBy("path"))).where("_n <= 30")
     shown = first.groupBy("bucket").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     return counts.join(shown, "bucket")

@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as T
+from newsloom.operators import extract as X
+from newsloom.operators import graph as G
 from newsloom.operators import hotkeys, snapshots
-from newsloom.session import table
+from newsloom.operators import incremental as I
+from newsloom.operators import report as R
+from newsloom.operators import search as Q
+from newsloom.operators import segment as S
+from newsloom.operators import timeline as L
+from newsloom.operators import validate as V
+from newsloom.plans import pipeline as P
+from newsloom.session import durable, table
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -51,5 +61,614 @@ SELECT coalesce(c.no, o.no) AS snapshotNo, coalesce(c.k, o.k) AS repositoryPath,
 FROM c FULL JOIN o ON c.no = o.no AND c.k = o.k
 WHERE o.k IS NULL OR c.k IS NULL OR c.vs <> o.vs"""
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found}
-ORACLES = {"p3_found": P3_FOUND_SQL, "p3_counts": P3_COUNTS_SQL, "p4_found": P4_FOUND_SQL}
+# --- the archive's graph as the tables hold it: rows that come twice are one record, the one ingested last
+
+
+def latest(rows: DataFrame, order: str) -> DataFrame:
+    """One row per id: the last by `order`."""
+    return rows.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def kg_events(spark: SparkSession, root: str) -> DataFrame:
+    return latest(table(spark, root, "kg_events"), "ingestedAt")
+
+
+def kg_sources(spark: SparkSession, root: str) -> DataFrame:
+    return latest(table(spark, root, "sources"), "ingestedAt")
+
+
+def kg_entities(spark: SparkSession, root: str) -> DataFrame:
+    """One row per id, with the type that the id states; of repeated rows, the least."""
+    rows = table(spark, root, "entities").withColumn("type", F.regexp_extract("id", "^entity-([a-z]+)-", 1))
+    return rows.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("label", "type", "aliases", "description", "extraction")).alias("r")).select("id", "r.*")
+
+
+EVENTS = "(SELECT * FROM kg_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingestedAt DESC) = 1)"
+SOURCES = "(SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingestedAt DESC) = 1)"
+ENTITIES = "(SELECT id, min(label) AS label, regexp_extract(id, '^entity-([a-z]+)-', 1) AS type FROM entities GROUP BY id)"
+MENTIONS = f"(SELECT DISTINCT id AS event_id, unnest(entityIds) AS entity_id FROM {EVENTS})"
+
+
+def kg_labels(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "entities").groupBy("id").agg(F.min("label").alias("label"))
+    return rows.withColumn("type", F.regexp_extract("id", "^entity-([a-z]+)-", 1))
+
+
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def sql_replace(column: str, pattern: str, replacement: str = "") -> str:
+    return f"regexp_replace({column}, {sql_text(pattern)}, {sql_text(replacement.replace('$1', chr(92) + '1'))}, 'g')"
+
+
+def sql_trim(column: str) -> str:
+    return sql_replace(column, rf"^{T.WS}+|{T.WS}+\z")
+
+
+def sql_squeeze(column: str) -> str:
+    return sql_trim(sql_replace(f"coalesce({column}, '')", f"{T.WS}+", " "))
+
+
+def sql_clean(column: str) -> str:
+    out = f"coalesce({column}, '')"
+    for pattern, replacement in T.MARKUP:
+        out = sql_replace(out, pattern, replacement)
+    return sql_squeeze(out)
+
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+query(P3_FOUND_SQL)(p3_found)
+query(P3_COUNTS_SQL)(p3_counts)
+query(P4_FOUND_SQL)(p4_found)
+
+# --- text and identity
+
+
+@query(f"SELECT id, {sql_clean('raw')} AS text FROM raw_pages")
+def clean_text_pages(spark, root):
+    return table(spark, root, "raw_pages").select("id", T.clean_text(F.col("raw")).alias("text"))
+
+
+@query(
+    f"""SELECT id, coalesce({sql_trim("string_split_regex(x, '[。！？!?；;]')[1]")}, x) AS first FROM
+    (SELECT DISTINCT id, {sql_squeeze('summary')} AS x FROM kg_events)"""
+)
+def first_sentences(spark, root):
+    return table(spark, root, "kg_events").select("id", T.first_sentence(T.squeeze(F.col("summary"))).alias("first")).distinct()
+
+
+@query(rf"""SELECT DISTINCT id, lower({sql_replace("coalesce(label, '')", rf'[{T.WS_CHARS}《》“”"' + chr(39) + r'（）()_\-]')}) AS identifier FROM entities""")
+def identifiers(spark, root):
+    return table(spark, root, "entities").select("id", T.normalize_identifier(F.col("label")).alias("identifier")).distinct()
+
+
+@query(
+    """SELECT DISTINCT repositoryPath AS path, 'page-' || left(sha1(repositoryPath), 12) AS page,
+    'news-' || left(sha1(repositoryPath || chr(0) || segmentation.strategy || chr(0) || coalesce(title, '')), 12) AS news,
+    'relation-' || left(sha1(id || ':' || kind || ':precedes'), 12) AS relation FROM sources"""
+)
+def stable_ids(spark, root):
+    s = table(spark, root, "sources")
+    return s.select(
+        F.col("repositoryPath").alias("path"), T.page_id(F.col("repositoryPath")).alias("page"),
+        T.news_id(F.col("repositoryPath"), F.col("segmentation.strategy"), F.coalesce("title", F.lit(""))).alias("news"), T.relation_id(F.col("id"), F.col("kind")).alias("relation"),
+    ).distinct()
+
+
+@query("SELECT id, sha256(raw) AS hash FROM raw_pages")
+def content_hashes(spark, root):
+    return table(spark, root, "raw_pages").select("id", F.sha2("raw", 256).alias("hash"))
+
+
+_Y = "((?:18|19|20)\\d{2})"
+_ZH = rf"{_Y}{T.WS}*年{T.WS}*(\d{{1,2}}){T.WS}*月{T.WS}*(\d{{1,2}}){T.WS}*日"
+_ISO = rf"{_Y}-(\d{{1,2}})-(\d{{1,2}})"
+
+
+def _sql_day(pattern: str) -> str:
+    part = [f"regexp_extract(raw, {sql_text(pattern)}, {i})" for i in (1, 2, 3)]
+    return f"CASE WHEN {part[0]} <> '' THEN {part[0]} || '-' || lpad({part[1]}, 2, '0') || '-' || lpad({part[2]}, 2, '0') END"
+
+
+@query(
+    f"""SELECT id, coalesce({_sql_day(_ZH)}, {_sql_day(_ISO)}, nullif(regexp_extract(raw, {sql_text(_Y + T.WS + '*年')}, 1), '') || '-01-01') AS date,
+    CASE WHEN coalesce({_sql_day(_ZH)}, {_sql_day(_ISO)}) IS NOT NULL THEN 'day' WHEN regexp_extract(raw, {sql_text(_Y + T.WS + '*年')}, 1) <> '' THEN 'year' END AS precision FROM raw_pages"""
+)
+def explicit_dates(spark, root):
+    return table(spark, root, "raw_pages").select("id", T.explicit_date(F.col("raw")).alias("d")).select("id", "d.date", "d.precision")
+
+
+@query(
+    rf"""SELECT id, CAST(len(list_filter(list_distinct(CASE WHEN length(x) >= 3 THEN [substring(x, i, 3) FOR i IN range(1, length(x) - 1)] ELSE [] END),
+    lambda g: g NOT IN ({', '.join(sql_text(t) for t in T.STOP_TRIGRAMS)}))) AS INTEGER) AS trigrams
+    FROM (SELECT DISTINCT id, regexp_replace(coalesce(title, ''), '[^\p{{Han}}A-Za-z0-9]', '', 'g') AS x FROM news)"""
+)
+def title_trigrams(spark, root):
+    return table(spark, root, "news").select("id", F.size(T.han_trigrams(F.col("title"))).alias("trigrams")).distinct()
+
+
+@query(
+    f"""SELECT id, CASE WHEN datePrecision = 'year' THEN left(date, 4) WHEN datePrecision = 'month' THEN strftime(CAST(date AS DATE), '%Y 年 %-m 月')
+    ELSE strftime(CAST(date AS DATE), '%Y年%-m月%-d日') END AS shown, CASE WHEN length(title) > 11 THEN left(title, 11) || '…' ELSE title END AS short FROM {EVENTS}"""
+)
+def event_labels(spark, root):
+    e = kg_events(spark, root)
+    return e.select("id", T.format_event_date(F.col("date"), F.col("datePrecision")).alias("shown"), T.shorten(F.col("title"), 11).alias("short"))
+
+
+@query()
+def normalized_titles(spark, root):
+    return table(spark, root, "kg_events").select("id", T.normalize_search(F.col("title")).alias("text")).distinct()
+
+
+# --- pages and news
+
+
+@query()
+def segment_pages(spark, root):
+    return S.pages_of(S.parse_pages(table(spark, root, "raw_pages")))
+
+
+@query()
+def segment_news(spark, root):
+    return S.news_of(S.parse_pages(table(spark, root, "raw_pages"))).drop("fragmentText")
+
+
+@query()
+def news_fragments(spark, root):
+    parsed = S.parse_pages(table(spark, root, "raw_pages").groupBy("path").agg(F.min("raw").alias("raw")))
+    raw = table(spark, root, "raw_pages").groupBy("path").agg(F.min("raw").alias("raw")).select(T.page_id(F.col("path")).alias("pageId"), "raw")
+    rows = S.read_fragments(S.news_of(parsed).drop("fragmentText"), raw, strict=False)
+    return rows.select("id", "pageId", "intact", F.length("fragmentText").alias("length"))
+
+
+@query(
+    f"""SELECT id, len(list_filter(string_split_regex(coalesce(raw, ''), '\\r?\\n'), lambda x: regexp_matches(x, {sql_text(S.NUMBERED)}))) AS headings,
+    len(list_filter(string_split_regex(coalesce(raw, ''), '\\r?\\n'), lambda x: regexp_matches(x, {sql_text(S.RULE)}))) AS rules FROM raw_pages""".replace("\\\\r", "\\r").replace("\\\\n", "\\n")
+)
+def page_boundaries(spark, root):
+    lines = F.split(F.coalesce("raw", F.lit("")), r"\r?\n", -1)
+    count = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p))).cast("bigint")
+    return table(spark, root, "raw_pages").select("id", count(S.NUMBERED).alias("headings"), count(S.RULE).alias("rules"))
+
+
+@query()
+def reconciled_dates(spark, root):
+    return L.reconcile_episode_dates(kg_sources(spark, root)).select("id", "publishedAt", "dateProvenance.resolution")
+
+
+_EPISODES = f"(SELECT id, episode.number AS n, date_diff('day', DATE '1970-01-01', TRY_CAST(publishedAt AS DATE)) AS day, dateProvenance.source NOT IN ('frontmatter', 'unknown') AND publishedAt <> '1900-01-01' AS anchor FROM {SOURCES} WHERE episode IS NOT NULL AND episode.number IS NOT NULL)"
+
+
+def _episodes(spark, root):
+    s = kg_sources(spark, root).where("episode IS NOT NULL AND episode.number IS NOT NULL")
+    anchor = ~F.col("dateProvenance.source").isin("frontmatter", "unknown") & (F.col("publishedAt") != "1900-01-01")
+    return s.select("id", F.col("episode.series").alias("series"), F.col("episode.number").alias("n"), T.day_number(F.col("publishedAt")).alias("day"), anchor.alias("anchor"))
+
+
+@query(
+    f"""WITH e AS {_EPISODES}, p AS (SELECT n, max(CASE WHEN anchor THEN day END) AS hi, min(CASE WHEN anchor THEN day END) AS lo FROM e GROUP BY n)
+    SELECT e.id, b.n AS prev_at, CAST(b.hi AS INTEGER) AS prev_value, a.n AS next_at, CAST(a.lo AS INTEGER) AS next_value FROM e
+    LEFT JOIN p AS b ON b.n = (SELECT max(n) FROM p WHERE hi IS NOT NULL AND p.n < e.n) LEFT JOIN p AS a ON a.n = (SELECT min(n) FROM p WHERE lo IS NOT NULL AND p.n > e.n)"""
+)
+def nearest_anchors(spark, root):
+    rows = L.nearest_anchors(_episodes(spark, root), ["series"], "n", F.col("anchor"), "day")
+    return rows.select("id", "prev_at", "prev_value", "next_at", "next_value")
+
+
+@query(
+    f"""WITH e AS {_EPISODES}, s AS (SELECT (day - lag(day) OVER w) / nullif(n - lag(n) OVER w, 0) AS step FROM e WHERE anchor WINDOW w AS (ORDER BY n, day))
+    SELECT round(coalesce(median(step) FILTER (step > 0 AND step <= 14), 2.0), 6) AS days FROM s"""
+)
+def median_interval(spark, root):
+    e = _episodes(spark, root).where("anchor").withColumn("one", F.lit(1))
+    return L.median_interval(e.select("one", "n", "day"), ["one"], "n", "day").select(F.round("days", 6).alias("days"))
+
+
+# --- graph
+
+
+def _dated_mentions(events):
+    return G.mention_rows(events).join(events.select(F.col("id").alias("event_id"), "date", F.get("sourceIds", F.lit(0)).alias("source_id")), "event_id")
+
+
+_PRECEDES = f"""
+WITH m AS (SELECT x.event_id, x.entity_id, e.date, e.sourceIds[1] AS source_id FROM {MENTIONS} x JOIN {EVENTS} e ON e.id = x.event_id WHERE x.entity_id IS NOT NULL),
+n AS (SELECT entity_id, count(*) AS n FROM m GROUP BY 1),
+c AS (SELECT t.id, t.label, t.type FROM {ENTITIES} t JOIN n ON n.entity_id = t.id WHERE t.type <> 'topic' AND n.n >= 2 AND n.n <= CASE WHEN t.type = 'place' THEN 90 ELSE 250 END),
+s AS (SELECT m.*, c.type, lag(event_id) OVER w AS f, lag(date) OVER w AS d FROM m JOIN c ON c.id = m.entity_id WHERE date <> '1900-01-01' WINDOW w AS (PARTITION BY entity_id ORDER BY date, event_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY f, event_id ORDER BY type, entity_id) AS k FROM s WHERE f IS NOT NULL AND d <> date)
+"""
+
+
+def _relations(spark, root):
+    events = kg_events(spark, root)
+    entities = kg_labels(spark, root).withColumn("rank", F.struct("type", "id"))
+    return L.precedes(_dated_mentions(events), entities)
+
+
+@query(
+    _PRECEDES
+    + """SELECT 'relation-' || left(sha1(f || ':' || event_id || ':precedes'), 12) AS id, f AS "from", event_id AS "to", 'precedes' AS type, entity_id AS viaEntityId,
+    CAST(1.0 AS DOUBLE) AS confidence, source_id AS sourceId FROM r WHERE k = 1"""
+)
+def chronology(spark, root):
+    return _relations(spark, root).drop("evidence")
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS p, CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    n AS (SELECT p FROM m GROUP BY p HAVING count(*) BETWEEN 2 AND 30), s AS (SELECT m.*, lag(e) OVER w AS f, lag(d) OVER w AS b FROM m JOIN n USING (p) WINDOW w AS (PARTITION BY p ORDER BY d, e)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY f, e ORDER BY p) AS k FROM s WHERE b <> d) SELECT CAST(f AS VARCHAR) AS "from", CAST(e AS VARCHAR) AS "to", CAST(p AS VARCHAR) AS via FROM r WHERE k = 1"""
+)
+def chronology_parts(spark, root):
+    o = table(spark, root, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    m = table(spark, root, "lineitem").select("l_orderkey", "l_partkey").distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # numbers in digits of one length order like numbers
+    key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    m = m.select(key("l_orderkey").alias("event_id"), key("l_partkey").alias("entity_id"), F.col("date").cast("string").alias("date"), F.lit("").alias("source_id"))
+    parts = table(spark, root, "part").select(key("p_partkey").alias("id"), F.lit("part").alias("label"), F.lit("part").alias("type"), key("p_partkey").alias("rank"))
+    plain = lambda c: F.col(c).cast("bigint").cast("string")
+    return L.precedes(m, parts, {}, 30).select(plain("from").alias("from"), plain("to").alias("to"), plain("viaEntityId").alias("via"))
+
+
+@query(f"SELECT t.id, CAST(count(DISTINCT m.event_id) AS BIGINT) AS n FROM {ENTITIES} t LEFT JOIN {MENTIONS} m ON m.entity_id = t.id GROUP BY t.id")
+def entity_event_counts(spark, root):
+    counted = G.with_event_counts(kg_entities(spark, root).withColumn("extraction", F.coalesce("extraction", F.struct(F.lit("x").alias("method"), F.lit(0.0).alias("confidence"), F.lit(-1).cast("bigint").alias("eventCount")))), G.mention_rows(kg_events(spark, root)))
+    return counted.select("id", F.col("extraction.eventCount").alias("n"))
+
+
+@query(f"SELECT t.id, t.label, t.type, CAST(count(DISTINCT m.event_id) AS BIGINT) AS n FROM {ENTITIES} t JOIN {MENTIONS} m ON m.entity_id = t.id GROUP BY ALL")
+def facet_options(spark, root):
+    return G.facet_options(kg_labels(spark, root), G.mention_rows(kg_events(spark, root)))
+
+
+@query(
+    f"""SELECT m.event_id AS id, string_agg(m.entity_id, ',' ORDER BY m.pos) AS entities FROM
+    (SELECT id AS event_id, e AS entity_id, min(pos) AS pos FROM (SELECT id, unnest(entityIds) AS e, generate_subscripts(entityIds, 1) AS pos FROM {EVENTS}) GROUP BY ALL) m
+    JOIN {ENTITIES} t ON t.id = m.entity_id GROUP BY 1"""
+)
+def resolved_entities(spark, root):
+    rows = G.event_entities(kg_events(spark, root), kg_entities(spark, root)).where(F.size("entities") > 0)
+    return rows.select("id", F.array_join(F.transform("entities", lambda n: n["id"]), ",").alias("entities"))
+
+
+def _hub(spark, root, kind: str) -> str:
+    """The entity of a type with the most mentions: one row."""
+    m = G.mention_rows(kg_events(spark, root)).where(F.col("entity_id").startswith(f"entity-{kind}-"))
+    row = m.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity_id").first()
+    return row[0] if row else ""
+
+
+_HUB = f"(SELECT entity_id FROM {MENTIONS} WHERE entity_id LIKE 'entity-person-%' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@query(f"SELECT entity_id, CAST(count(*) AS BIGINT) AS n FROM {MENTIONS} WHERE event_id IN (SELECT event_id FROM {MENTIONS} WHERE entity_id = {_HUB}) AND entity_id <> {_HUB} GROUP BY 1")
+def comentions(spark, root):
+    return G.comentions(G.mention_rows(kg_events(spark, root)), _hub(spark, root, "person"))
+
+
+@query(
+    f"""WITH e AS (SELECT id, date, row_number() OVER (ORDER BY date, id) - 1 AS pos, count(*) OVER () AS n FROM {EVENTS} WHERE list_contains(entityIds, {_HUB})),
+    s AS (SELECT DISTINCT CASE WHEN n <= 18 THEN i ELSE CAST(floor(i * (n - 1) / 17.0 + 0.5) AS BIGINT) END AS pos FROM (SELECT DISTINCT n FROM e), range(18) t(i))
+    SELECT id, date FROM e SEMI JOIN s USING (pos)"""
+)
+def timeline_sample(spark, root):
+    hub = _hub(spark, root, "person")
+    return L.uniform_sample(kg_events(spark, root).where(F.array_contains("entityIds", hub)))
+
+
+@query()
+def ego_edges(spark, root):
+    events, hub = durable(kg_events(spark, root), "events"), _hub(spark, root, "person")
+    ego = G.ego_subgraph(events, kg_labels(spark, root), _relations(spark, root), hub)
+    return G.ego_edges(events, ego, hub)
+
+
+@query(f"{_PRECEDES} SELECT f AS \"from\", event_id AS \"to\" FROM r WHERE k = 1 AND (SELECT min(event_id) FROM r WHERE k = 1) IN (f, event_id)")
+def neighbor_relations(spark, root):
+    relations = durable(_relations(spark, root), "relations")
+    node = relations.agg(F.min("to")).first()[0]
+    return G.neighbor_relations(relations, node or "").select("from", "to")
+
+
+@query()
+def event_path(spark, root):
+    relations = durable(_relations(spark, root), "relations")
+    ends = relations.agg(F.min("from"), F.max("to")).first()
+    return G.event_path(relations, ends[0] or "", ends[1] or "")
+
+
+@query()
+def entity_timeline(spark, root):
+    return G.entity_detail(kg_events(spark, root), kg_sources(spark, root), _hub(spark, root, "person"))
+
+
+# --- rules: a small set of our own
+
+RULES = X.Rules(
+    version="demo",
+    topics=(
+        {"id": "topic-health", "label": "公共卫生", "keywords": ["疫苗接种", "核酸筛查", "发热门诊", "耐药菌"]},
+        {"id": "topic-law", "label": "司法", "keywords": ["庭审直播", "刑期认定", "再审申请"]},
+        {"id": "topic-energy", "label": "能源", "keywords": ["风电场", "光伏组件", "碳配额"]},
+    ),
+    event_classes=(
+        {"id": "disaster_accident", "keywords": ["山体滑坡", "森林火灾", "余震", "转移群众"]},
+        {"id": "public_health", "keywords": ["疫苗接种", "扩大接种范围", "追踪密接者"]},
+        {"id": "law_justice", "keywords": ["一审宣判", "当庭认罪", "庭审直播"]},
+    ),
+    topic_classes={"topic-energy": "environment_energy", "topic-law": "law_justice"},
+    places=({"label": "双林县", "aliases": ["双林"]}, {"label": "云川市", "aliases": ["云川"]}, {"label": "松口", "aliases": []}),
+    organization_suffixes=("股份有限公司", "研究院", "基金会", "管理委员会"),
+    facility_suffixes=("高速公路", "大桥", "水库"),
+    person_roles=("记者", "局长"),
+)
+
+
+def _sql_score(words: list[str]) -> str:
+    return " + ".join(f"(length(x) - length(replace(x, {sql_text(w)}, '')))" for w in words)
+
+
+_SCORES = ", ".join(f"{_sql_score(c['keywords'])} AS s{i}" for i, c in enumerate(RULES.event_classes))
+_HAS = lambda i: "(" + " OR ".join(f"contains(x, {sql_text(w)})" for w in RULES.topics[i]["keywords"]) + ")"
+
+
+@query(
+    f"""SELECT id, CASE WHEN greatest(s0, s1, s2) = 0 THEN CASE WHEN {_HAS(1)} THEN 'law_justice' WHEN {_HAS(2)} THEN 'environment_energy' ELSE 'other' END
+    WHEN s0 >= greatest(s1, s2) THEN 'disaster_accident' WHEN s1 >= s2 THEN 'public_health' ELSE 'law_justice' END AS class
+    FROM (SELECT *, {_SCORES} FROM (SELECT id, {sql_squeeze("coalesce(title, '') || chr(10) || coalesce(summary, '')")} AS x FROM {EVENTS}))"""
+)
+def classify_events(spark, root):
+    e = kg_events(spark, root).select("id", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))).alias("headline"), F.lit("").alias("text"))
+    return X.classify_events(e, RULES).select("id", "class")
+
+
+def _candidates(spark, root):
+    e = kg_events(spark, root)
+    head = F.concat_ws("\n", "title", "summary")
+    return X.extract_candidates(e.select(F.col("id").alias("event_id"), F.col("newsId").alias("news_id"), head.alias("headline"), head.alias("text")), RULES)
+
+
+_TOPIC_ROWS = " UNION ALL ".join(f"SELECT id, {sql_text(t['label'])} AS label FROM h WHERE {_HAS(i)}" for i, t in enumerate(RULES.topics))
+_HEADS = f"(SELECT id, {sql_squeeze("concat_ws(chr(10), title, summary)")} AS x FROM {EVENTS})"
+
+
+@query(f"WITH h AS (SELECT * FROM {_HEADS}) SELECT label, CAST(count(*) AS BIGINT) AS n FROM ({_TOPIC_ROWS}) GROUP BY 1")
+def topic_candidates(spark, root):
+    c = _candidates(spark, root).where("type = 'topic'")
+    return c.groupBy("label").agg(F.countDistinct("event_id").alias("n"))
+
+
+@query(
+    f"""SELECT CASE WHEN p IN ('双林县', '双林') THEN '双林县' WHEN p IN ('云川市', '云川') THEN '云川市' ELSE p END AS label, CAST(count(DISTINCT id) AS BIGINT) AS n
+    FROM (SELECT id, unnest(regexp_extract_all(x, '双林县|云川市|双林|云川|松口')) AS p FROM {_HEADS}) GROUP BY 1"""
+)
+def place_candidates(spark, root):
+    c = _candidates(spark, root).where("type = 'place'")
+    return c.groupBy("label").agg(F.countDistinct("event_id").alias("n"))
+
+
+@query()
+def supported_entities(spark, root):
+    stats = G.candidate_stats(durable(_candidates(spark, root), "candidates"))
+    kept = stats.where(G.should_keep(F.col("type"), F.col("method"), F.col("eventCount"), F.col("prominent")))
+    return G.materialize_entities(kept).drop("key")
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT id AS entity_id, label AS value FROM entities WHERE id LIKE 'entity-person-%' AND label <> ''),
+    t AS (SELECT id AS event_id, concat_ws(chr(10), title, summary) AS x FROM {EVENTS}) SELECT DISTINCT t.event_id, v.entity_id FROM t JOIN v ON contains(t.x, v.value)"""
+)
+def rematch_persons(spark, root):
+    names = table(spark, root, "entities").where("id LIKE 'entity-person-%'").select(F.col("id").alias("entity_id"), F.col("label").alias("value"))
+    texts = kg_events(spark, root).select(F.col("id").alias("event_id"), F.concat_ws("\n", "title", "summary").alias("text"))
+    return G.rematch(texts, names)
+
+
+@query()
+def pipeline_events(spark, root):
+    raw = table(spark, root, "raw_pages").where("path IS NOT NULL").groupBy("path").agg(F.min("raw").alias("raw"))
+    return P.build_graph(P.build_news(raw), RULES).events
+
+
+@query()
+def pipeline_relations(spark, root):
+    raw = table(spark, root, "raw_pages").where("path IS NOT NULL").groupBy("path").agg(F.min("raw").alias("raw"))
+    return P.build_graph(P.build_news(raw), RULES).relations
+
+
+# --- search
+
+
+def _types(spark):
+    return spark.createDataFrame([("public_health", "公共卫生", ""), ("law_justice", "司法", "")], "id string, label string, description string")
+
+
+def _event_documents(spark, root):
+    return Q.event_documents(kg_events(spark, root), kg_entities(spark, root), kg_sources(spark, root), _types(spark), _types(spark))
+
+
+@query()
+def keyword_events(spark, root):
+    return Q.search_events(_event_documents(spark, root), "疫苗接种 “扩大接种范围”").select("id", "title", "date", "rank")
+
+
+@query()
+def keyword_entities(spark, root):
+    return Q.search_entities(Q.entity_documents(kg_entities(spark, root)), "研究院").select("id", "label", "eventCount", "rank")
+
+
+@query(f"SELECT id, date FROM {EVENTS} WHERE type = 'public_health' AND list_contains(entityIds, {_HUB.replace('person', 'topic')}) AND left(date, 4) BETWEEN '2020' AND '2023'")
+def facet_filter(spark, root):
+    facets = Q.Facets("public_health", (_hub(spark, root, "topic"),), "2020年", "2023")
+    return Q.facet_filter(kg_events(spark, root), facets, None).select("id", "date")
+
+
+@query("""SELECT id FROM (SELECT id, min((label, aliases, description)) AS r FROM entities GROUP BY id) WHERE regexp_extract(id, '^entity-([a-z]+)-', 1) = 'organization'
+    AND contains(lower(concat_ws(' ', r[1], array_to_string(r[2], ' '), r[3])), 'institute')""")
+def picker(spark, root):
+    # all that fits, without the picker's limit
+    return Q.pick_entities(kg_entities(spark, root), "organization", " Institute ", None, 1_000_000).select("id")
+
+
+# --- incremental
+
+
+def _manifests(spark, root):
+    s = table(spark, root, "source_snapshots").select(
+        F.col("snapshotNo").alias("no"), snapshots.canonical_path(F.col("repositoryPath")).alias("path"), snapshots.canonical_hash(F.col("contentHash")).alias("hash")
+    )
+    ends = s.agg(F.min("no").alias("lo"), F.max("no").alias("hi"))
+    rows = s.join(F.broadcast(ends))
+    return rows.where("no = lo").select("path", "hash"), rows.where("no = hi").select("path", "hash")
+
+
+_SNAP = r"""s AS (SELECT snapshotNo AS no, regexp_replace(regexp_replace(regexp_replace(trim(repositoryPath), '[\\/]+', '/', 'g'), '^(/|\./)+', ''), '/(\./)+', '/', 'g') AS path,
+    nullif(lower(regexp_replace(trim(contentHash), '^[sS][hH][aA]-?256[:=]\s*', '')), '') AS hash FROM source_snapshots),
+    a AS (SELECT path, min(hash) AS hash FROM s WHERE no = (SELECT min(no) FROM s) GROUP BY 1), c AS (SELECT path, min(hash) AS hash FROM s WHERE no = (SELECT max(no) FROM s) GROUP BY 1),
+    gone AS (SELECT * FROM a WHERE path NOT IN (SELECT path FROM c)), fresh AS (SELECT * FROM c WHERE path NOT IN (SELECT path FROM a)),
+    x AS (SELECT 'modified' AS bucket, c.path FROM a JOIN c USING (path) WHERE a.hash IS DISTINCT FROM c.hash UNION ALL SELECT 'deleted', path FROM gone
+      UNION ALL SELECT CASE WHEN hash IN (SELECT hash FROM gone WHERE hash IS NOT NULL) THEN 'possible_rename' WHEN hash IN (SELECT hash FROM a WHERE hash IS NOT NULL) THEN 'duplicate' ELSE 'added' END, path FROM fresh)"""
+
+
+@query(f"WITH {_SNAP} SELECT bucket, path FROM x")
+def archive_changes(spark, root):
+    return I.archive_changes(*_manifests(spark, root)).select("bucket", "path")
+
+
+@query(f"WITH {_SNAP} SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY 1")
+def upstream_report(spark, root):
+    return R.upstream_report(I.archive_changes(*_manifests(spark, root))).select("bucket", "n")
+
+
+_OLD = f"(SELECT * FROM {SOURCES} WHERE publishedAt < '2022-01-01')"
+
+
+@query(f"SELECT e.id FROM {EVENTS} e WHERE e.sourceIds[1] IN (SELECT id FROM {SOURCES} WHERE repositoryPath IS NOT NULL)")
+def append_events(spark, root):
+    events, sources, entities = durable(kg_events(spark, root), "events"), kg_sources(spark, root), kg_entities(spark, root)
+    relations = durable(_relations(spark, root), "relations")
+    old = sources.where("publishedAt < '2022-01-01'")
+    known = events.join(old.select(F.col("id").alias("s")), F.get("sourceIds", F.lit(0)) == F.col("s"), "left_semi")
+    existing = I.Graph(entities, known, relations.limit(0), old)
+    merged, _ = I.append_graph(existing, I.Graph(entities, events, relations, sources), sources.select(F.col("repositoryPath").alias("path")))
+    return merged.events.select("id")
+
+
+# --- constraints and reports
+
+
+@query("SELECT id, CAST(n - 1 AS BIGINT) AS again FROM (SELECT id, count(*) AS n FROM kg_events WHERE id IS NOT NULL GROUP BY 1) WHERE n > 1")
+def duplicate_ids(spark, root):
+    issues = V.duplicate_ids(table(spark, root, "kg_events"), "events")
+    return issues.groupBy(F.regexp_replace("message", "^duplicate ID ", "").alias("id")).agg(F.count(F.lit(1)).alias("again"))
+
+
+@query("SELECT id, path AS ref FROM raw_pages WHERE id NOT IN (SELECT id FROM sources WHERE id IS NOT NULL)")
+def dangling_pages(spark, root):
+    pages = table(spark, root, "raw_pages")
+    issues = V.dangling(pages, F.col("id"), table(spark, root, "sources"), "pages", "id", "missing source ")
+    found = issues.select(F.regexp_replace("message", "^missing source ", "").alias("id"))
+    return pages.join(found, "id", "left_semi").select("id", F.col("path").alias("ref"))
+
+
+@query(f"SELECT id FROM (SELECT id, publishedAt AS d, lag(publishedAt) OVER (ORDER BY episode.number, repositoryPath) AS b FROM {SOURCES} WHERE episode IS NOT NULL) WHERE b > d")
+def falling_dates(spark, root):
+    rows = kg_sources(spark, root).where("episode IS NOT NULL")
+    issues = V.falling(rows, [F.col("episode.series")], [F.col("episode.number"), F.col("repositoryPath")], "publishedAt", "pages", "publishedAt")
+    return issues.select(F.regexp_extract("path", r"^pages\.(.*)\.publishedAt\z", 1).alias("id"))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT id, title, date, summary FROM news), e AS (SELECT newsId, left(title, 20) AS title, date, summary FROM {EVENTS} WHERE type <> 'other'),
+    b AS (SELECT coalesce(n.id, e.newsId) AS news_id, n.id AS i, e.newsId AS j, n.title AS t, e.title AS u, n.date AS d, e.date AS f, n.summary AS s, e.summary AS r FROM n FULL JOIN e ON n.id = e.newsId)
+    SELECT news_id, 'missing' AS field FROM b WHERE i IS NULL OR j IS NULL UNION ALL SELECT news_id, 'title' FROM b WHERE i IS NOT NULL AND j IS NOT NULL AND t IS DISTINCT FROM u
+    UNION ALL SELECT news_id, 'date' FROM b WHERE i IS NOT NULL AND j IS NOT NULL AND d IS DISTINCT FROM f UNION ALL SELECT news_id, 'summary' FROM b WHERE i IS NOT NULL AND j IS NOT NULL AND s IS DISTINCT FROM r"""
+)
+def projection_diff(spark, root):
+    news = table(spark, root, "news").select("id", "title", "date", "summary").distinct()
+    events = kg_events(spark, root).where("type <> 'other'").withColumn("title", F.left("title", F.lit(20)))
+    return V.projection_diff(news, events, {"title": "title", "date": "date", "summary": "summary"}).select("news_id", "field")
+
+
+@query()
+def validate_news(spark, root):
+    return V.validate_news(kg_sources(spark, root), table(spark, root, "news").dropDuplicates(["id"]))
+
+
+_TYPES = ("public_health", "law_justice", "other", "never_used")
+
+
+@query(f"SELECT t.id, CAST(count(e.id) AS BIGINT) AS n FROM (VALUES {', '.join(f'({sql_text(t)})' for t in _TYPES)}) t(id) LEFT JOIN {EVENTS} e ON e.type = t.id GROUP BY 1")
+def type_counts(spark, root):
+    types = spark.createDataFrame([(t,) for t in _TYPES], "id string")
+    return R.type_counts(kg_events(spark, root), types)
+
+
+def _sql_metric(name: str, condition: str) -> str:
+    return f"SELECT '{name}' AS metric, CAST(count(*) FILTER ({condition}) AS BIGINT) AS covered, CAST(count(*) AS BIGINT) AS total, round(100.0 * count(*) FILTER ({condition}) / count(*), 2) AS percent FROM {EVENTS}"
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _sql_metric("semanticEntity", "len(entityIds) > 0"), _sql_metric("specificEventType", "type IS DISTINCT FROM 'other'"),
+            _sql_metric("sourceTraceability", "len(sourceIds) = 1 AND sourceIds[1] IN (SELECT id FROM sources WHERE id IS NOT NULL)"),
+            _sql_metric("searchability", "trim(coalesce(title, '')) <> '' OR trim(coalesce(summary, '')) <> '' OR len(entityIds) > 0"),
+        ]
+    )
+)
+def required_coverage(spark, root):
+    return R.required_coverage(kg_events(spark, root), kg_sources(spark, root))
+
+
+_FACETS = (("subject", "person"), ("subject", "organization"), ("place", "place"), ("topic", "topic"), ("named_object", "facility"), ("named_object", "policy"), ("named_object", "document"), ("empty", "none"))
+
+
+@query(
+    f"""WITH f AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _FACETS)}) f(facet, type)),
+    h AS (SELECT f.facet, count(DISTINCT m.event_id) AS n FROM {MENTIONS} m JOIN {ENTITIES} t ON t.id = m.entity_id JOIN f ON f.type = t.type GROUP BY 1)
+    SELECT d.facet, CAST(coalesce(h.n, 0) AS BIGINT) AS news, round(100.0 * coalesce(h.n, 0) / (SELECT count(*) FROM {EVENTS}), 2) AS percent FROM (SELECT DISTINCT facet FROM f) d LEFT JOIN h USING (facet)"""
+)
+def facet_presence(spark, root):
+    events = kg_events(spark, root)
+    return R.facet_presence(events, G.mention_rows(events), kg_labels(spark, root), spark.createDataFrame(list(_FACETS), "facet string, type string"))
+
+
+@query(f"SELECT round(sum(coalesce(len(entityIds), 0)) / greatest(count(*), 1), 2) AS mean FROM {EVENTS}")
+def mean_entities(spark, root):
+    return R.mean_entities(kg_events(spark, root))
+
+
+@query(f"SELECT segmentation.strategy AS strategy, CAST(count(*) AS BIGINT) AS n FROM {SOURCES} GROUP BY 1")
+def strategies(spark, root):
+    return R.segmentation_report(kg_sources(spark, root))["by_strategy"]
+
+
+@query(
+    f"""SELECT CAST(count(*) AS BIGINT) AS pages, CAST(sum(segmentation.newsCount) AS BIGINT) AS news, CAST(count(*) FILTER (segmentation.newsCount > 1) AS BIGINT) AS multiNewsPages,
+    CAST(count(*) FILTER (segmentation.needsReview) AS BIGINT) AS reviewPages, CAST(count(*) FILTER (dateProvenance.resolution <> 'observed') AS BIGINT) AS adjustedPages FROM {SOURCES}"""
+)
+def segmentation_totals(spark, root):
+    return R.segmentation_report(kg_sources(spark, root))["totals"]
+
+
+@query(f"SELECT id, newsId, title, sourceIds[1] AS pageId FROM {EVENTS} WHERE type = 'other' ORDER BY id LIMIT 100")
+def review_sample(spark, root):
+    return R.review_sample(kg_events(spark, root))
