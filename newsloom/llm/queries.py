@@ -55,4 +55,8 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
-ORACLES: dict[str, str] = {}
+P1_SQL = f"""
+WITH s AS (SELECT 'title' AS field, id, title AS raw FROM kg_events UNION ALL SELECT 'label', id, label FROM entities UNION ALL SELECT 'aliases', id, unnest(aliases) FROM entities),
+k AS (SELECT DISTINCT field, id, raw, {lookalike.look_sql('raw')} AS look FROM s WHERE id IS NOT NULL AND raw IS NOT NULL)
+SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.field = b.field AND a.look = b.look AND a.id < b.id AND a.raw <> b.raw WHERE a.look <> ''"""
+ORACLES: dict[str, str] = {"p1_found": P1_SQL}
