@@ -54,9 +54,12 @@ def changes(
     # a key with several values leaves several residues; they meet as one row a side
     gone = old.exceptAll(new).groupBy("no", "k").agg(F.lit(True).alias("gone"))
     come = new.exceptAll(old).groupBy("no", "k").agg(F.lit(True).alias("come"))
+    found = gone.join(come, ["no", "k"], "full")
+    # a residue of one side alone may belong to a key that the other side has with another set of values
+    lone = found.where("gone IS NULL OR come IS NULL").select("no", "k")
+    both = new.select("no", "k").join(lone, ["no", "k"], "left_semi").join(old.select("no", "k"), ["no", "k"], "left_semi")
+    found = found.join(both.distinct().withColumn("both", F.lit(True)), ["no", "k"], "left")
     label = (
-        F.when(F.col("gone").isNull(), F.lit("added")).when(F.col("come").isNull(), F.lit("removed")).otherwise(F.lit("changed"))
-    )
-    return gone.join(come, ["no", "k"], "full").select(
-        F.col("no").alias(number), F.col("k").alias(key_name), label.alias("change")
+        F.when(F.col("both"), F.lit("changed")).when(F.col("gone").isNull(), F.lit("added")).when(F.col("come").isNull(), F.lit("removed")).otherwise(F.lit("changed"))
     )
+    return found.select(F.col("no").alias(number), F.col("k").alias(key_name), label.alias("change"))
