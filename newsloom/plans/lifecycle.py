@@ -48,20 +48,24 @@ def read_state(spark: SparkSession, state: str) -> Versions | None:
     return Versions(**{**value, "roots": tuple(value["roots"])})
 
 
-def save_changed(spark: SparkSession, rows: DataFrame, path: str) -> bool:
-    """Writes a table only if its rows differ from what is there (I5). The new rows go to the shared folder
-    first, as they may be made from the old ones. True if it wrote."""
-    fresh = scratch(spark, "fresh")
-    rows.write.parquet(fresh)
-    new = spark.read.parquet(fresh)
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        if old.schema.simpleString() == new.schema.simpleString() and _digest(old) == _digest(new):
-            drop_path(spark, fresh)
-            return False
-    write_table(new, path)
-    drop_path(spark, fresh)
-    return True
+def save_changed(spark: SparkSession, tables: dict[str, DataFrame], state: str) -> list[str]:
+    """Writes those tables whose rows differ from what is there, and names them (I5). All new rows go to the
+    shared folder first, as any of them may be made from any old table."""
+    fresh = {name: scratch(spark, f"fresh-{name}") for name in tables}
+    for name, rows in tables.items():
+        rows.write.parquet(fresh[name])
+    written = []
+    for name in tables:
+        new, path = spark.read.parquet(fresh[name]), _join(state, name)
+        if exists(spark, path):
+            old = spark.read.parquet(path)
+            if old.schema.simpleString() == new.schema.simpleString() and _digest(old) == _digest(new):
+                continue
+        write_table(new, path)
+        written.append(name)
+    for path in fresh.values():
+        drop_path(spark, path)
+    return written
 
 
 def _digest(rows: DataFrame) -> tuple:
@@ -78,7 +82,7 @@ def _tables(news: NewsData, graph: GraphData) -> dict[str, DataFrame]:
 
 
 def _save(spark: SparkSession, state: str, tables: dict[str, DataFrame], manifest: DataFrame, versions: Versions) -> list[str]:
-    written = [n for n, t in {**tables, "manifest": manifest}.items() if save_changed(spark, t, _join(state, n))]
+    written = save_changed(spark, {**tables, "manifest": manifest}, state)
     row = spark.createDataFrame([(json.dumps(asdict(versions)),)], "value string")
     if read_state(spark, state) != versions:
         row.coalesce(1).write.mode("overwrite").text(_join(state, "versions"))

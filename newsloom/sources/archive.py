@@ -19,7 +19,7 @@ def _files(spark: SparkSession, root: str, pattern: str, kind: str) -> DataFrame
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return reader.option("wholetext", "true").text(root) if kind == "text" else reader.format("binaryFile").load(root)
+    return reader.text(root, wholetext=True) if kind == "text" else reader.format("binaryFile").load(root)
 
 
 def _relative(root: str):

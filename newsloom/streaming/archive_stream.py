@@ -33,7 +33,9 @@ def append_batches(pages: DataFrame, store: str, checkpoint: str, conventions: C
         spark = batch.sparkSession
         batch = batch.where("path IS NOT NULL").dropDuplicates(["path"]).withColumn("hash", F.sha2("raw", 256))
         manifest = _manifest(spark, store, number)
-        changes = archive_changes(manifest, batch.select("path", "hash")).where("bucket <> 'deleted'")
+        # pages that this batch doesn't bring are still there
+        current = manifest.join(batch.select("path"), "path", "left_anti").unionByName(batch.select("path", "hash"))
+        changes = archive_changes(manifest, current)
         added = changes.where("bucket = 'added'").select("path")
         fresh = batch.join(added, "path", "left_semi")
         news_of(parse_pages(fresh.select("path", "raw"), None, conventions), conventions).drop("fragmentText").write.mode("overwrite").parquet(f"{store}/news/batch={number}")
