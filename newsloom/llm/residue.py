@@ -39,7 +39,7 @@ TRUSTED = re.compile(
     r"(?i)^(?:error[: ]*)?[45][0-9][0-9]\b.{0,40}$|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|(?:page|file|resource|record)\b.{0,20}\bnot found|access denied|error establishing|not found on this server|^\w+(?:Error|Exception): |you are looking for (?:has|was|does|could|is|no)|no longer (?:available|exists)|scripts? to (?:continue|view|read|load)|^(?:nan|null|undefined|none|\[object object\])$"
     r"|(?:you do not|don't) have permission|session (?:has )?expired|too many requests|enable javascript (?:to|and)|javascript (?:is|has been|must be) (?:disabled|switched off|turned off|required|enabled)"
     r"|\b(?:scripts?|scripting|js|cookies) (?:is|are) (?:switched|turned) off|\ballow javascript to|^traceback \(|^file [\"“].*[\"”], line \d|^at [\w.$]+\([\w.]+:\d+\)$|^(?:\w+\.)+\w+(?:error|exception)\b|^warning: undefined|down for maintenance|lorem ipsum dolor|(?:sample|placeholder|dummy|filler) (?:text|copy|paragraph)\b.{0,60}(?:replace|here|layout)"
-    r"|系统繁忙|正在为您跳转|已下线，|服务器内部错误|页面不存在|内容不存在|无法找到|找不到(?:页面|资源|文件)|网关超时|数据库连接失败|加载失败|参数错误|会话已过期|没有权限(?:查看|访问)|访问过于频繁|请稍后(?:再试|重试)|出错了"
+    r"|(?:需要|请先?)(?:启用|允许|打开|开启)(?:javascript|js|脚本)|系统繁忙|正在为您跳转|已下线，|服务器内部错误|页面不存在|内容不存在|无法找到|找不到(?:页面|资源|文件)|网关超时|数据库连接失败|加载失败|参数错误|会话已过期|没有权限(?:查看|访问)|访问过于频繁|请稍后(?:再试|重试)|出错了"
     r"|(?:禁用|关闭|不支持|未启用)了?(?:javascript|脚本|JS)|(?:启用|打开|开启|允许)(?:javascript|JS)与|脚本被关闭|占位(?:文本|段落|内容|文字)，|示例(?:段落|文字|内容|文本)，用来占据|请勿发布|工程师正在抢修|仅供排版"
 )
 # Every match of TRUSTED within a line has one of these in lower case (but for status lines).
@@ -112,9 +112,13 @@ def trusted(passage: str, may: bool = True) -> bool:
 
 
 def _sure(text: str, parts: list[str]) -> list[bool]:
+    """Which passages are trusted: those that match, if they make up half of the record's content; one such
+    sentence of a longer article is not trusted."""
     low = text.lower()
     may = any(a in low for a in ANCHORS) or text.lstrip()[:1] in "45"
-    return [trusted(p, may) and _alone(text, p) for p in parts]
+    flags = [trusted(p, may) for p in parts]
+    share = sum(len(p) for p, f in zip(parts, flags) if f)
+    return flags if 2 * share >= sum(map(len, parts)) else [False] * len(parts)
 
 
 def posteriors(parts: list[str], model: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -127,11 +131,6 @@ def posteriors(parts: list[str], model: np.ndarray, found: tuple[np.ndarray, np.
     return 1 / (1 + np.exp(-np.clip(np.log(PRIOR / (1 - PRIOR)) + total, -40, 40)))
 
 
-def _alone(text: str, passage: str) -> bool:
-    """A trusted pattern is trusted only where it isn't one sentence of a longer article."""
-    return len(passage) * 2 >= len(text) or len(text) < 120 or bool(TRUSTED.match(text))
-
-
 def count_texts(texts: list[str], model: np.ndarray | None, table: np.ndarray) -> None:
     """Adds the expected n-gram counts of both classes to `table`; the last place counts passages."""
     parts: list[str] = []
