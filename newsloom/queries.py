@@ -16,7 +16,7 @@ from newsloom.operators import segment as S
 from newsloom.operators import timeline as L
 from newsloom.operators import validate as V
 from newsloom.plans import pipeline as P
-from newsloom.session import durable, table
+from newsloom.session import durable, spread, table
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -221,12 +221,12 @@ def normalized_titles(spark, root):
 
 @query()
 def segment_pages(spark, root):
-    return S.pages_of(S.parse_pages(table(spark, root, "raw_pages")))
+    return S.pages_of(S.parse_pages(spread(table(spark, root, "raw_pages"))))
 
 
 @query()
 def segment_news(spark, root):
-    return S.news_of(S.parse_pages(table(spark, root, "raw_pages"))).drop("fragmentText")
+    return S.news_of(S.parse_pages(spread(table(spark, root, "raw_pages")))).drop("fragmentText")
 
 
 @query()

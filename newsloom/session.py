@@ -50,6 +50,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan in at least as many parts as there are cores. Small tables of one row group come in one
+    part; only these are dealt out again, large ones stay as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir` if the cluster names one,
     else, only then, a temporary folder of this machine (local mode and tests)."""
