@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import batches, bpe, leaks, lookalike, names, residue, subjects
 from newsloom.operators.snapshots import canonical_hash
-from newsloom.session import table
+from newsloom.session import spread, table
 
 
 def p1_strings(spark: SparkSession, root: str) -> DataFrame:
@@ -35,15 +35,15 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return subjects.subjects(table(spark, root, "kg_events"), table(spark, root, "subject_labels"))
+    return subjects.subjects(spread(table(spark, root, "kg_events").select("id", "title", "summary", "ingestedAt")), table(spark, root, "subject_labels"))
 
 
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
-    return bpe.encode_column(table(spark, root, "documents").select("doc_id", "text"), "text", "ids").select("doc_id", "ids")
+    return bpe.encode_column(spread(table(spark, root, "documents").select("doc_id", "text")), "text", "ids").select("doc_id", "ids")
 
 
 def p8_spans(spark: SparkSession, root: str) -> DataFrame:
-    return leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leaks.leaks(spread(table(spark, root, "documents").select("doc_id", "text")), table(spark, root, "eval_items"))
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    return residue.residue(table(spark, root, "documents"))
+    return residue.residue(spread(table(spark, root, "documents").select("doc_id", "text")))
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
