@@ -80,16 +80,17 @@ def count_occurrences(text: Column, keyword: Column) -> Column:
 
 
 # Trigrams that say nothing about a topic.
-STOP_TRIGRAMS = "这件事 这一次 为什么 怎么办 你觉得 你认为 怎么看 督工你 新闻里 消息说 我们看 接下来".split()
+STOP_TRIGRAMS = "这件事 这一次 为什么 怎么办 你觉得 你认为 怎么看 新闻里 消息说 我们看 接下来".split()
 
 
-def han_trigrams(text: Column) -> Column:
-    """Distinct trigrams of the text's Han characters, letters and digits, without the stop trigrams."""
+def han_trigrams(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct trigrams of the text's Han characters, letters and digits, without the stop trigrams and an
+    archive's own ones (F21)."""
     only = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{IsHan}A-Za-z0-9]", "")
     grams = F.when(
         F.length(only) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(only) - 2, F.lit(1))), lambda i: F.substring(only, i, F.lit(3)))
     ).otherwise(F.array().cast("array<string>"))
-    return F.array_except(F.array_distinct(grams), F.array(*[F.lit(t) for t in STOP_TRIGRAMS]))
+    return F.array_except(F.array_distinct(grams), F.array(*[F.lit(t) for t in (*STOP_TRIGRAMS, *stop)]))
 
 
 # dates

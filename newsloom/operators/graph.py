@@ -257,3 +257,14 @@ def entity_detail(events: DataFrame, sources: DataFrame, selected: str, event: s
     chosen = newest if event is None else (F.col("id") == event)
     return joined.withColumn("selected", chosen).select("id", "title", "date", "source_id", "source_title", "repositoryPath", "selected")
 
+
+
+def entity_events(events: DataFrame, selected: str) -> DataFrame:
+    """An entity's events, oldest first."""
+    return events.where(F.array_contains("entityIds", selected)).orderBy("date", "id")
+
+
+def with_labels(rows: DataFrame, types: DataFrame, column: str = "type", output: str = "typeLabel") -> DataFrame:
+    """Adds a type's label, or its id if the ontology (`id`, `label`) doesn't know it."""
+    known = types.select(F.col("id").alias(column), F.col("label").alias(output)).dropDuplicates([column])
+    return rows.drop(output).join(known, column, "left").withColumn(output, F.coalesce(output, column))

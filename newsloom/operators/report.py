@@ -87,3 +87,8 @@ def upstream_report(changes: DataFrame) -> DataFrame:
     first = changes.withColumn("_n", F.row_number().over(W.partitionBy("bucket").orderBy("path"))).where("_n <= 30")
     shown = first.groupBy("bucket").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     return counts.join(shown, "bucket")
+
+
+def counts_map(counts: DataFrame, key: str = "id", value: str = "n") -> DataFrame:
+    """One row with a map of counts in the order of their keys (O14); for the few rows of a report."""
+    return counts.where(F.col(key).isNotNull()).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("counts"))

@@ -149,7 +149,7 @@ def section_title(block: Column, c: Conventions) -> Column:
 
 def prompt_title(text: Column, source_title: Column, c: Conventions) -> Column:
     """A prompt without its lead and the host's name; its first sentence if that says enough."""
-    bare = F.regexp_replace(F.regexp_replace(text, f"^{c.prompt_lead}", ""), rf"^(?:{'|'.join(c.hosts)})[，,：:\s　]*", "")
+    bare = F.regexp_replace(F.regexp_replace(text, f"^{c.prompt_lead}", ""), rf"^(?:{'|'.join(c.hosts) or '(?!)'})[，,：:\s　]*", "")
     sentence = T.first_sentence(bare)
     return F.left(F.when(F.length(sentence) >= 8, sentence).otherwise(F.coalesce(F.nullif(bare, F.lit("")), source_title)), F.lit(160))
 
@@ -158,7 +158,7 @@ def introduction_score(text: Column, current: Column, c: Conventions) -> Column:
     """How much a prompt looks like the introduction of another topic."""
     points = [
         (text.rlike(f"^(?:{c.transition})"), 5), (text.rlike(f"^{c.date_lead}"), 4), (text.rlike(f"(?:{c.reporting})"), 2), (F.length(text) >= 55, 1),
-        (text.rlike(f"^(?:{c.follow_up})"), -5), (F.arrays_overlap(T.han_trigrams(text), T.han_trigrams(current)), -4),
+        (text.rlike(f"^(?:{'|'.join((c.follow_up, *c.hosts))})"), -5), (F.arrays_overlap(T.han_trigrams(text, c.stop_trigrams), T.han_trigrams(current, c.stop_trigrams)), -4),
     ]
     total = F.lit(0)
     for condition, value in points:

@@ -113,3 +113,10 @@ def test_ego_subgraph(spark):
     placed = G.radial_layout(spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "id string, rank int, ring int"), 100, 100).withColumn("radius", F.lit(5.0))
     a = placed.where("id = 'a'").first()
     assert G.hit_test(placed, a.x + 1, a.y).first().id == "a" and G.hit_test(placed, 1e6, 0).count() == 0
+
+
+def test_labels_and_timelines(spark):
+    events = spark.createDataFrame([("b", "2020-01-02", "t", ["x"], ["p"]), ("a", "2020-01-01", "t", ["x", "y"], ["p"]), ("c", "2019-01-01", "t", ["y"], ["p"])], EVENTS)
+    assert [r.id for r in G.entity_events(events, "x").collect()] == ["a", "b"]
+    types = spark.createDataFrame([("t", "标签")], "id string, label string")
+    assert rows(G.with_labels(spark.createDataFrame([("t",), ("u",), (None,)], "type string"), types)) == [("t", "标签"), ("u", "u"), (None, None)]

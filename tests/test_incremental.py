@@ -150,3 +150,15 @@ def test_stream_appends_new_pages(spark, tmp_path):
     review = spark.read.parquet(f"{store}/review")
     assert rows(review, "bucket", "path") == [("duplicate", "daily/4.md"), ("modified", "daily/1.md")]
     assert ST.news_stream(ST.read_page_stream(spark, folder)).isStreaming
+
+
+def test_command_line(spark, archive, tmp_path, capsys):
+    from newsloom.plans import cli
+
+    state = str(tmp_path / "state")
+    assert cli.main(["bootstrap", "--archive", archive, f"--state={state}"], spark) == 0
+    assert cli.main(["bootstrap", "--archive", archive, f"--state={state}"], spark) == 1
+    assert cli.main(["validate", "--archive", archive, f"--state={state}"], spark) == 0
+    write(archive, "daily/2020/01/01.md", page(1, "改动"))
+    assert cli.main(["validate", "--archive", archive, f"--state={state}"], spark) == 1
+    assert "page hash differs" in capsys.readouterr().out
