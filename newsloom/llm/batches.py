@@ -48,6 +48,7 @@ ADMISSIONS = 2
 _FRONT = re.compile(r"\A\s*---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _RANDOM = np.random.default_rng(20240607)
 _MULTIPLY = (_RANDOM.integers(0, 1 << 32, BANDS * BAND_VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_PLACES = (_RANDOM.integers(0, 1 << 32, SHINGLE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RANDOM.integers(0, 1 << 32, BANDS * BAND_VALUES, dtype=np.uint64).astype(np.uint32)
 
 
@@ -121,10 +122,13 @@ def shingles(text: str) -> np.ndarray:
     if not len(codes):
         return codes
     k = min(SHINGLE, len(codes))
-    mixed = np.zeros(len(codes) - k + 1, dtype=np.uint32)
-    for i in range(k):
-        mixed = (mixed ^ codes[i : len(codes) - k + 1 + i]) * np.uint32(0x9E3779B1)
-        mixed ^= mixed >> np.uint32(15)
+    n = len(codes) - k + 1
+    mixed = codes[:n] * _PLACES[0]
+    for i in range(1, k):
+        mixed += codes[i : i + n] * _PLACES[i]
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x2C1B3C6D)
+    mixed ^= mixed >> np.uint32(12)
     return np.unique(mixed)
 
 
@@ -132,12 +136,14 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     """The least value of the hashes under each of BANDS * BAND_VALUES permutations."""
     low = np.full(len(_MULTIPLY), np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(hashes), 1024):  # bounds the memory of very long texts
+        # the hashes are mixed well, so a multiplication and an addition permute them well enough
         v = hashes[at : at + 1024] * _MULTIPLY[:, None]
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x85EBCA6B)
         v += _ADD[:, None]
         np.minimum(low, v.min(axis=1), out=low)
-    return low
+    # the low bits, which are kept, of a product depend on low bits alone: mix them
+    low ^= low >> np.uint32(16)
+    low *= np.uint32(0x85EBCA6B)
+    return low ^ (low >> np.uint32(13))
 
 
 def bands(low: bytes) -> np.ndarray:
@@ -365,9 +371,10 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
         texts = texts.groupBy("id").agg(F.min(F.struct("text", "low")).alias("t")).select("id", "t.*")
     page = [page_path(F.col("repositoryPath")).alias("path"), digest(F.col("contentHash")).alias("digest")]
     history = sources.where("id IS NOT NULL").select("id", *page, accepted_order(F.col("ingestedAt"), F.col("id"), True).alias("ord"))
-    history = history.groupBy("id").agg(F.min(F.struct("ord", "path", "digest")).alias("r")).select("id", "r.*")
+    # paths are worked out once; these small tables are read several times
+    history = durable(history.groupBy("id").agg(F.min(F.struct("ord", "path", "digest")).alias("r")).select("id", "r.*"), "history")
     coming = deliveries.where("id IS NOT NULL").select("batchNo", "id", *page, accepted_order(F.col("arrivedAt"), F.col("id"), False).alias("ord"))
-    coming = coming.groupBy("id").agg(F.min(F.struct("ord", "batchNo", "path", "digest")).alias("r")).select("id", "r.*")
+    coming = durable(coming.groupBy("id").agg(F.min(F.struct("ord", "batchNo", "path", "digest")).alias("r")).select("id", "r.*"), "coming")
     # a row for each batch
     numbers = [r[0] for r in coming.groupBy("batchNo").agg(F.min("ord").alias("o")).orderBy("o", "batchNo").collect()]
     index = NeighbourhoodIndex(spark, scratch(spark, "runs"))
