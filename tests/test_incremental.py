@@ -39,9 +39,7 @@ def page(n, extra=""):
     return f"---\ntitle: 第{n}页\n---\n## 1、第{n}页的甲\n{BODY}{extra}\n\n## 2、第{n}页的乙\n{BODY}爆炸\n"
 
 
-@pytest.fixture
-def archive(tmp_path):
-    root = str(tmp_path / "archive")
+def make_archive(root):
     for n in (1, 2):
         write(root, f"daily/2020/01/0{n}.md", page(n))
     write(root, "daily/.hidden/x.md", page(9))
@@ -50,6 +48,18 @@ def archive(tmp_path):
     return root
 
 
+@pytest.fixture
+def archive(tmp_path):
+    return make_archive(str(tmp_path / "archive"))
+
+
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    """News, graph, manifest and pages of the archive, made once."""
+    root = make_archive(str(tmp_path_factory.mktemp("shared") / "archive"))
+    return (*build(spark, root), A.read_pages(spark, root))
+
+
 def build(spark, root):
     news = P.build_news(A.read_pages(spark, root))
     return news, P.build_graph(news, RULES), A.file_manifest(spark, root)
@@ -73,9 +83,9 @@ def test_sources(spark, archive, tmp_path):
     assert (args.mode, args.archive, args.roots) == ("update", "x", ("daily", "main"))
 
 
-def test_lifecycle_is_append_only(spark, archive, tmp_path):
+def test_lifecycle_is_append_only(spark, archive, built, tmp_path):
     state, versions = str(tmp_path / "state"), C.Versions(rules="1", roots=("daily",))
-    first = build(spark, archive)
+    first = built[:3]
     with pytest.raises(C.LifecycleError):
         C.update(spark, state, *first, versions)
     C.bootstrap(spark, state, *first, versions)
@@ -116,10 +126,10 @@ ONTOLOGY = V.Ontology.from_json(
 )
 
 
-def test_built_data_is_valid_and_damage_is_found(spark, archive):
-    news, graph, _ = build(spark, archive)
+def test_built_data_is_valid_and_damage_is_found(built):
+    news, graph, _, pages = built
     assert rows(V.validate_news(news.pages, news.news)) == []
-    raw = A.read_pages(spark, archive).join(news.pages.select(F.col("repositoryPath").alias("path"), F.col("id").alias("pageId")), "path")
+    raw = pages.join(news.pages.select(F.col("repositoryPath").alias("path"), F.col("id").alias("pageId")), "path")
     assert rows(V.validate_fragments(news.news, news.pages, raw)) == []
     assert rows(V.validate_projection(news.news, graph.events, news.pages, graph.sources)) == []
     found = V.validate_graph(graph.entities, graph.events, graph.relations, graph.sources, ONTOLOGY)
@@ -132,8 +142,8 @@ def test_built_data_is_valid_and_damage_is_found(spark, archive):
     assert {r.message for r in V.validate_fragments(news.news, news.pages, damaged).collect()} >= {"page hash differs"}
 
 
-def test_a_missing_page_fails_the_job(spark, archive):
-    news, *_ = build(spark, archive)
+def test_a_missing_page_fails_the_job(built):
+    news = built[0]
     with pytest.raises(Exception, match="references missing page"):
         P.require_owned(news.news, news.pages.limit(0)).collect()
 
