@@ -8,8 +8,10 @@ in as a run of its own; only windows around its records are compared: the stretc
 them. Runs are compacted into one every few batches.
 
 Windows have no fixed width. A stretch is read from its earliest record on, in blocks that grow
-fourfold, and a new record leaves a stretch with its first match there, so a stretch that holds a third
-of all rows costs it one block unless nothing in it matches; then it is read to its end.
+fourfold. A block has places of every run and key range at once, so a match ends a new record's search
+only for records accepted after the match; it goes on wherever the rest of a stretch has an earlier one.
+A stretch that holds a third of all rows costs a record one block unless nothing in it matches; then it
+is read to its end.
 """
 
 from __future__ import annotations
@@ -310,20 +312,22 @@ class NeighbourhoodIndex:
         near = accepted.where("kind = 3").select("key", "ord", "place")
         longest = near.agg(F.max("place")).first()[0]
         open_ = band_keys(batch).withColumnRenamed("ord", "new_ord")
+        bound = known
         lo, hi = 0, BLOCK
         while longest is not None and lo <= longest:
             block = near.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "ord")
-            window = open_.join(block, "key").where("ord < new_ord").join(known, "new_ord", "left")
+            window = open_.join(block, "key").where("ord < new_ord").join(bound, "new_ord", "left")
             # only an earlier record can still improve on what is known
             window = durable(window.where("known IS NULL OR ord < known").select("new_ord", "key", "ord"), "window")
             out = out.unionByName(window.select("new_ord", "ord", F.lit(False).alias("exact")).distinct())
             if hi <= longest:
-                # few stretches go on: only their records search further, unless they have met their like there
-                going = near.where(F.col("place") >= hi).select("key").distinct()
-                here = window.join(going, "key", "left_semi")
-                alike = estimated(here.select("new_ord", "ord").distinct(), self.records()).where(F.col("alike") >= SURELY)
-                met = here.join(alike, ["new_ord", "ord"], "left_semi").select("new_ord", "key").distinct()
-                open_ = durable(open_.join(going, "key", "left_semi").join(met, ["new_ord", "key"], "left_anti"), "open")
+                # few stretches go on: only their records search further, and only for what is earlier than the like they met
+                going = near.where(F.col("place") >= hi).groupBy("key").agg(F.min("ord").alias("least"))
+                here = window.join(going, "key", "left_semi").select("new_ord", "ord").distinct()
+                met = estimated(here, self.records()).where(F.col("alike") >= SURELY).select("new_ord", F.col("ord").alias("known"))
+                bound = durable(bound.unionByName(met).groupBy("new_ord").agg(F.min("known").alias("known")), "bound")
+                rest = open_.select("key", "new_ord").join(going, "key").join(bound, "new_ord", "left")
+                open_ = durable(rest.where("least < new_ord AND (known IS NULL OR least < known)").select("key", "new_ord"), "open")
             lo, hi = hi, hi * 4
         return out
 

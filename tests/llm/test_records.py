@@ -72,6 +72,24 @@ def test_a_third_of_all_pages_alike(spark):
     assert found == [(f"b{i:02}", "s001") for i in range(12)]
 
 
+def test_a_match_of_a_later_run_does_not_end_the_search(spark, tmp_path):
+    """The new records' like in the history lies behind 40 records that share a band and little more, and the
+    two new ones are alike."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 16, (batches.BANDS, batches.BAND_VALUES), dtype=np.uint16)
+    lows = {}
+    for i in range(120):
+        lows[i] = r.integers(0, 1 << 16, base.shape, dtype=np.uint16)
+        lows[i][i % 3 :: 3] = base[i % 3 :: 3]
+    lows |= {200: base, 300: base, 301: base}
+    pages = spark.createDataFrame([(o, None, None, o, bytearray(low.tobytes())) for o, low in lows.items()], batches.FEATURES)
+    index = batches.NeighbourhoodIndex(spark, str(tmp_path / "index"))
+    index.admit(pages.where("ord < 300"), match=False)
+    assert {(300, 200), (301, 200)} <= set(rows(index.admit(pages.where("ord >= 300")), "new_ord", "ord"))
+
+
 def test_compaction_keeps_the_result(spark, tmp_path):
     index = batches.NeighbourhoodIndex(spark, str(tmp_path / "index"))
     texts = batches.text_features(spark.createDataFrame([(f"p{i}", text(i % 9)) for i in range(30)], "id string, raw string"))
