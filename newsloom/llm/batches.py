@@ -332,12 +332,14 @@ class NeighbourhoodIndex:
         return out
 
 
-def accepted_order(time: Column, page_id: Column, history: bool) -> Column:
-    """`ord`: history before every delivery, then by time in microseconds; ties by a hash of the id, which
-    leaves one in 2,048 ties in time undecided."""
-    micros = F.coalesce(F.unix_micros(time.cast("timestamp")), F.lit(0))
-    order = micros * 2048 + F.pmod(F.xxhash64(page_id), F.lit(2048))
-    return (order - F.lit(1 << 62)) if history else order
+def in_order(pages: DataFrame, time: str, *ties: str, history: bool = False) -> DataFrame:
+    """Pages of distinct ids with `ord` instead of time and ties, a number of its own for each: by time, null
+    first, then by the ties and the id; history before every delivery. The numbers rise along a
+    range-partitioned sort, so none of its parts needs to know the others."""
+    number = F.monotonically_increasing_id() - F.lit((1 << 62) if history else 0)
+    kept = [c for c in pages.columns if c not in (time, *ties)]
+    # the number belongs to this one sort: it is written before anything else reads it
+    return durable(pages.orderBy(time, *ties, "id").select(*kept, number.alias("ord")), "history" if history else "coming")
 
 
 def exact_similarity(pairs: DataFrame, names: DataFrame, raw: DataFrame) -> DataFrame:
@@ -365,7 +367,8 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
     History is `sources` (a page that comes twice counts from its first ingestion), then all earlier
     deliveries by `arrivedAt`. A page repeats another if the path or the hash is the same in any
     spelling, or the text is the same or keeps most of it (LEAST_SIMILARITY). Null paths, hashes, texts
-    match nothing; a page without a time comes first of its kind; empty tables give no rows. The backlog of
+    match nothing; a page without a time comes first of its kind; at one time, batches then ids decide; empty
+    tables give no rows. The backlog of
     batches is taken up in `admissions` steps, with the same result for any number of them; each step reads
     the sorted runs, not the texts, of what came before.
     """
@@ -374,20 +377,20 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
     if not texts.groupBy("id").count().where("count > 1").isEmpty():  # an id with several texts: the least one
         texts = texts.groupBy("id").agg(F.min(F.struct("text", "low")).alias("t")).select("id", "t.*")
     page = [page_path(F.col("repositoryPath")).alias("path"), digest(F.col("contentHash")).alias("digest")]
-    history = sources.where("id IS NOT NULL").select("id", *page, accepted_order(F.col("ingestedAt"), F.col("id"), True).alias("ord"))
+    history = sources.where("id IS NOT NULL").select("id", *page, F.unix_micros(F.col("ingestedAt").cast("timestamp")).alias("time"))
     # paths are worked out once; these small tables are read several times
-    history = durable(history.groupBy("id").agg(F.min(F.struct("ord", "path", "digest")).alias("r")).select("id", "r.*"), "history")
-    coming = deliveries.where("id IS NOT NULL").select("batchNo", "id", *page, accepted_order(F.col("arrivedAt"), F.col("id"), False).alias("ord"))
-    coming = durable(coming.groupBy("id").agg(F.min(F.struct("ord", "batchNo", "path", "digest")).alias("r")).select("id", "r.*"), "coming")
-    # a row for each batch
-    numbers = [r[0] for r in coming.groupBy("batchNo").agg(F.min("ord").alias("o")).orderBy("o", "batchNo").collect()]
+    history = history.groupBy("id").agg(F.min(F.struct("time", "path", "digest")).alias("r")).select("id", "r.*")
+    history = in_order(history, "time", history=True)
+    coming = deliveries.where("id IS NOT NULL").select("id", *page, F.unix_micros(F.col("arrivedAt").cast("timestamp")).alias("time"), "batchNo")
+    coming = coming.groupBy("id").agg(F.min(F.struct("time", "batchNo", "path", "digest")).alias("r")).select("id", "r.*")
+    coming = in_order(coming.withColumn("batch", F.col("batchNo")), "time", "batchNo")
+    # a row for each batch; a step has all deliveries up to the next one's first, also where batches overlap in time
+    firsts = sorted(r[0] for r in coming.groupBy("batch").agg(F.min("ord")).select("min(ord)").collect())
     index = NeighbourhoodIndex(spark, scratch(spark, "runs"))
     index.admit(page_features(history, texts), match=False)
-    windows, each = None, -(-len(numbers) // max(1, admissions)) or 1
-    for at in range(0, len(numbers), each):
-        those = F.lit(False)
-        for number in numbers[at : at + each]:
-            those = those | F.col("batchNo").eqNullSafe(F.lit(number))
+    windows, starts = None, firsts[:: -(-len(firsts) // max(1, admissions)) or 1]
+    for start, end in zip(starts, [*starts[1:], None]):
+        those = F.col("ord") >= start if end is None else (F.col("ord") >= start) & (F.col("ord") < end)
         part = index.admit(page_features(coming.where(those), texts))
         windows = part if windows is None else windows.unionByName(part)
     names = history.select("ord", "id").unionByName(coming.select("ord", "id"))
@@ -399,6 +402,4 @@ def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: Da
     first = durable(first, "first")
     if not keep_index:
         drop_path(spark, index.root)
-    one = names.groupBy("ord").agg(F.min("id").alias("id"))
-    return first.join(coming.select(F.col("ord").alias("new_ord"), "id"), "new_ord").join(one.withColumnRenamed("id", "earliest"), "ord").select("id", "earliest")
-
+    return first.join(coming.select(F.col("ord").alias("new_ord"), "id"), "new_ord").join(names.withColumnRenamed("id", "earliest"), "ord").select("id", "earliest")

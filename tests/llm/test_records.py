@@ -55,6 +55,22 @@ def test_deliveries_find_the_earliest_page(spark):
         assert rows(batches.repeated_deliveries(*tables(spark, sources, coming, raw), canonical_hash, admissions=steps)) == want
 
 
+def test_records_of_one_time_or_none_stay_apart(spark):
+    """4,000 pages share a time or have none: more than any 11 bits of a hash tell apart."""
+    n = 2000
+    s = spark.createDataFrame([(f"s{i:04}", f"p/{i}.md", f"{i:x}", None, "x") for i in range(n)], SOURCES)
+    # a third repeat a page by its path, a third the delivery before them by its hash, a third nothing
+    path = [f"p/{i}.md" if i % 3 == 0 else f"q/{i}.md" for i in range(n)]
+    digest = [f"ff{i - i % 3 // 2:x}" for i in range(n)]
+    b = spark.createDataFrame([(1 + i // 500, None, f"b{i:04}", path[i], digest[i], "x") for i in range(n)], BATCHES)
+    raw = spark.createDataFrame([], "id string, raw string")
+    want = sorted([(f"b{i:04}", f"s{i:04}") for i in range(0, n, 3)] + [(f"b{i:04}", f"b{i - 1:04}") for i in range(2, n, 3)])
+    for time in (None, T0):
+        once = F.lit(time).cast("timestamp_ntz")
+        found = batches.repeated_deliveries(s.withColumn("ingestedAt", once), b.withColumn("arrivedAt", once), raw, canonical_hash)
+        assert rows(found) == want
+
+
 def test_empty_tables(spark):
     assert batches.repeated_deliveries(*tables(spark, [], [], []), canonical_hash).count() == 0
     one = tables(spark, [("s1", "a.md", None)], [(1, "b1", "a.md", None)], [])
