@@ -106,6 +106,25 @@ def test_a_match_of_a_later_run_does_not_end_the_search(spark, tmp_path):
     assert {(300, 200), (301, 200)} <= set(rows(index.admit(pages.where("ord >= 300")), "new_ord", "ord"))
 
 
+def test_recall_at_the_declared_similarity(spark):
+    """Short pages with an edit per dozen tokens, of similarity 0.5 to 0.6, against brute force."""
+    import numpy as np
+
+    pages = []
+    for i in range(600):
+        a, r = text(1000 + i), random.Random(i)
+        b = list(a)
+        for at in r.sample(range(len(b)), 7 + i % 3):
+            b[at] = chr(r.randint(0x9001, 0x9FFF))
+        x, y = batches.shingles(a), batches.shingles("".join(b))
+        if 0.5 <= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) <= 0.6:
+            pages.append((i, a, "".join(b)))
+    raw = [(f"s{i}", a) for i, a, _ in pages] + [(f"b{i}", b) for i, _, b in pages]
+    given = tables(spark, [(f"s{i}", f"x/{i}.md", None) for i, *_ in pages], [(1, f"b{i}", f"y/{i}.md", None) for i, *_ in pages], raw)
+    found, want = set(rows(batches.repeated_deliveries(*given, canonical_hash))), {(f"b{i}", f"s{i}") for i, *_ in pages}
+    assert len(want) > 300 and found <= want and len(found) >= 0.98 * len(want)
+
+
 def test_compaction_keeps_the_result(spark, tmp_path):
     index = batches.NeighbourhoodIndex(spark, str(tmp_path / "index"))
     texts = batches.text_features(spark.createDataFrame([(f"p{i}", text(i % 9)) for i in range(30)], "id string, raw string"))
