@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.lookalike import translation
+from newsloom.llm.names import FIELDS, KINDS
 
 # The subjects, in the order of the topics.
 SUBJECTS = (
@@ -62,6 +63,27 @@ _BODY = re.compile(
     r"(?:(?<=[，；：:;,。！？\s谈])|^)[^，；：:;,。！？\s谈]{2,24}?(?:股份有限公司|有限公司|公司|集团|管理委员会|管委会|委员会|行业协会|协会|基金会|研究院|第.分院)"
     r"|\b(?:[A-Z][\w.'-]+,? (?:of )?){2,}(?:[A-Z][\w.'-]+)|\b[A-Z][\w'-]+ [A-Z][\w.'-]*(?=[:,])"
 )
+# What a text with the name of a body holds, in lower case, to look for before names.
+_NAMES = ("公司", "集团", "委员会", "管委会", "协会", "基金会", "研究院", "研究所", "分院", "company", "corp", "group", "committee", "association", "foundation", "institute", "limited")
+
+
+def _bodies() -> re.Pattern:
+    """Names of bodies in running text. A name has no mark where it begins there: it is taken from its field
+    on, or from four characters before its kind at most, so that the rest of the clause stays."""
+    inside = r"[^\s，；：:;,。！？、“”\"'‘’（）()谈的了在与和由对向为被从将及等是把给]"
+    kind = "股份有限公司|集团有限公司|有限公司|集团公司|公司|集团|管理委员会|管委会|委员会|行业协会|协会|基金会|研究院|研究所|第.分院"
+    long = "|".join(f[0] for f in FIELDS.values() if len(f[0]) > 2)
+    fields = "|".join(sorted({x for f in FIELDS.values() for x in (f[2], *f[3].split())}, key=len, reverse=True))
+    kinds = "|".join(sorted({*(k[2] for k in KINDS.values()), "company limited", "company", "group", "committee", "association", "institute", "corp"}, key=len, reverse=True))
+    capital, titled = r"[A-Z][\w.'-]*", kinds.title()
+    return re.compile(
+        rf"(?:(?:{long}){inside}{{0,6}}?|[（(][^）)\n]{{1,8}}[）)]|{inside}{{2,4}})(?:{kind})"
+        rf"|\b(?:{capital},? (?:of |and )?){{1,6}}?(?:{titled})\b(?: of {capital}(?: {capital}){{0,4}})?|\b(?:{titled}) of {capital}(?: {capital}){{0,4}}"
+        rf"|(?i:\b(?:{fields})\s+(?:{kinds})\b)"
+    )
+
+
+_NAMED = _bodies()
 _PLAIN = re.compile(r"[^\x00-\x7f一-鿿。，、；：？！“”‘’（）《》·…—％]")
 
 
@@ -71,14 +93,19 @@ def _forms() -> dict:
 
 
 def relevant(text: str | None, title: bool = True) -> str:
-    """A text in one form and lower case, without sentences that only mention a subject in passing and, in a
-    title, without names of bodies; null is empty."""
+    """A text in one form and lower case, without sentences that only mention a subject in passing and without
+    names of bodies; null is empty."""
     text = text or ""
     if _PLAIN.search(text):
         text = unicodedata.normalize("NFC", _FORMAT.sub("", text).translate(_forms()))
     if MENTIONED.search(text):
         text = "\n".join(s for s in _SENTENCE.split(text) if not MENTIONED.search(s))
-    return _DROP.sub("0", (_BODY.sub(" ", text) if title else text).lower()).replace("\0", " ")
+    low = text.lower()
+    if title:
+        low = _BODY.sub(" ", text).lower()
+    elif any(name in low for name in _NAMES):  # few summaries have one
+        low = _NAMED.sub(" ", text).lower()
+    return _DROP.sub("0", low).replace("\0", " ")
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

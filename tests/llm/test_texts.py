@@ -138,6 +138,20 @@ def test_subjects_follow_the_labels_and_the_corpus(spark):
     assert subjects.subjects(rows_.limit(0), spark.createDataFrame([], "sample_id bigint, title string, summary string, subject string")).count() == 0
 
 
+def test_names_in_summaries_have_no_subject():
+    cases = [
+        ("法院判决华光电力公司赔偿。", "法院判决 赔偿", "电力 公司"), ("吉凡普诗环境监测第三分院的队员获胜", "队员获胜", "环境 监测"), ("记者从海洋渔业法奇穆特研究院获悉，球队夺冠", "球队夺冠", "渔业 研究"),
+        ("特竹格洛（航运）基金会捐建小学", "捐建小学", "航运 基金"), ("The court fined Onjavene Biological Medicine Group Company Limited again.", "court fined again", "biological medicine group"),
+        ("The Mokigeki Research Institute won the cup", "won cup", "research institute"), ("a goal for mokigeki power company", "goal for", "power company"), ("Corporation of Fumunomi Electric Power wins a match", "wins match", "electric power"),
+    ]
+    for text, kept, gone in cases:
+        got = subjects.relevant(text, False)
+        assert all(k in got for k in kept.split()) and not any(g in got for g in gone.split()), (text, got)
+    # words of a kind alone are no name
+    for text in ("公司扩大接种范围", "the committee approves the bill", "a group of pupils"):
+        assert subjects.relevant(text, False) == text
+
+
 LABELS = "/root/testdata/sf0.01/subject_labels.parquet"
 
 
