@@ -138,6 +138,21 @@ def test_subjects_follow_the_labels_and_the_corpus(spark):
     assert subjects.subjects(rows_.limit(0), spark.createDataFrame([], "sample_id bigint, title string, summary string, subject string")).count() == 0
 
 
+def test_proportions_settle():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    weights = np.full((subjects.BUCKETS, subjects.TOPICS), 1e-3, dtype=np.float32)
+    weights[np.arange(subjects.BUCKETS), r.integers(0, subjects.TOPICS, subjects.BUCKETS)] = 4e-3
+    texts = ["".join(chr(c) for c in r.integers(0x4E00, 0x9000, 30)) if i != 4 else "" for i in range(40)]
+    theta, _ = subjects.infer(texts, weights)
+    # one more step, for each document on its own, changes nothing
+    for i in range(0, len(texts), 2):
+        own = weights[subjects.ngrams(texts[i : i + 2])[0]]
+        gamma = theta[i // 2] * (own / (own @ theta[i // 2])[:, None]).sum(axis=0) + subjects.ALPHA
+        assert np.abs(gamma / gamma.sum() - theta[i // 2]).max() < 2e-3
+
+
 def test_names_in_summaries_have_no_subject():
     cases = [
         ("法院判决华光电力公司赔偿。", "法院判决 赔偿", "电力 公司"), ("吉凡普诗环境监测第三分院的队员获胜", "队员获胜", "环境 监测"), ("记者从海洋渔业法奇穆特研究院获悉，球队夺冠", "球队夺冠", "渔业 研究"),
