@@ -282,7 +282,7 @@ def typo_pairs(cores: DataFrame, on: list[str]) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of an undirected graph (a, b): the least node of each component, by alternating large
     and small stars. A round is a few hash aggregates over a table in the shared folder; the number of
-    rounds grows with the logarithm of the longest chain."""
+    rounds grows with the logarithm of the longest chain. Raises if they don't settle in `rounds`."""
     now = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -297,6 +297,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if done.exceptAll(now).isEmpty() and now.exceptAll(done).isEmpty():
             break
         now = done
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     return now.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
 
 

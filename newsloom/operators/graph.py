@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators.timeline import uniform_sample
-from newsloom.session import durable
+from newsloom.session import durable, scratch
 
 # What an entity's description says, by the method that found it; # stands for its count.
 DESCRIPTIONS = {
@@ -177,33 +177,35 @@ def neighbor_relations(relations: DataFrame, node: str) -> DataFrame:
     return relations.where((F.col("from") == node) | (F.col("to") == node))
 
 
-def event_path(relations: DataFrame, start: str, end: str, rounds: int = 64) -> DataFrame:
+def event_path(relations: DataFrame, start: str, end: str) -> DataFrame:
     """(step, id): the relations of a shortest undirected path, step by step; no rows if start and end are the
     same or not connected (G2). Of equal paths, every node is reached by the least relation id.
 
-    Breadth first over tables: a round joins the frontier with the edges and drops what was visited. Only
-    counts reach the driver.
+    Breadth first over tables: a round joins the frontier with the edges and drops what was visited, until the
+    end or nothing new is reached. Only counts reach the driver.
     """
     spark = relations.sparkSession
     edges = relations.select("id", F.col("from").alias("a"), F.col("to").alias("b")).unionByName(relations.select("id", F.col("to").alias("a"), F.col("from").alias("b")))
     empty = spark.createDataFrame([], "step int, id string")
     if start == end:
         return empty
-    visited = durable(spark.createDataFrame([(start, None, None, 0)], "node string, via string, parent string, depth int"), "visited")
-    frontier = visited
-    for depth in range(1, rounds + 1):
-        reached = frontier.select(F.col("node").alias("a")).join(edges, "a").join(visited.select(F.col("node").alias("b")), "b", "left_anti")
-        step = reached.groupBy("b").agg(F.min(F.struct(F.col("id"), F.col("a"))).alias("r")).select(
-            F.col("b").alias("node"), F.col("r.id").alias("via"), F.col("r.a").alias("parent"), F.lit(depth).alias("depth")
-        )
-        frontier = durable(step, "frontier")
+    schema = "node string, via string, parent string, depth int"
+    # a part for each round, read as one table: plans don't grow with the path
+    root, parts, depth = scratch(spark, "visited"), [], 0
+    step = spark.createDataFrame([(start, None, None, 0)], schema)
+    while True:
+        parts.append(f"{root}/{depth:06d}")
+        step.write.parquet(parts[-1])
+        frontier, visited = spark.read.schema(schema).parquet(parts[-1]), spark.read.schema(schema).parquet(*parts)
         if frontier.isEmpty():
             return empty
-        visited = visited.unionByName(frontier)
         if not frontier.where(F.col("node") == end).isEmpty():
             break
-    else:
-        return empty
+        depth += 1
+        reached = frontier.select(F.col("node").alias("a")).join(edges, "a").join(visited.select(F.col("node").alias("b")), "b", "left_anti")
+        step = reached.groupBy("b").agg(F.min(F.struct(F.col("id"), F.col("a"))).alias("r")).select(
+            F.col("b").alias("node"), F.col("r.id").alias("via"), F.col("r.a").alias("parent"), F.lit(depth).alias("depth")
+        )
     # back along the parents: a row a step
     path, node = [], end
     for at in range(depth, 0, -1):

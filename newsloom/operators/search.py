@@ -191,14 +191,15 @@ def ranked_entities(entities: DataFrame) -> DataFrame:
     return entities.orderBy(F.desc(F.coalesce("extraction.eventCount", F.lit(0))), F.collate("label", "zh"), "id")
 
 
-def pick_entities(entities: DataFrame, kind: str = "", text: str = "", current: str | None = None, most: int = 24) -> DataFrame:
+def pick_entities(entities: DataFrame, kind: str = "", text: str = "", current: str | None = None, most: int | None = 24) -> DataFrame:
     """The picker: entities of a type whose label, aliases or description have the text, best first; the
-    current one comes first if it fits and would be cut (P10, O7). An unknown type is no filter."""
+    current one comes first if it fits and would be cut (P10, O7). An unknown type is no filter, None no limit."""
     hay = F.lower(F.concat_ws(" ", "label", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "), "description"))
     fits = entities.where((F.col("type") == kind) if kind else F.lit(True)).where(F.contains(hay, F.lit(text.strip().lower())))
     count = F.coalesce("extraction.eventCount", F.lit(0))
-    best = fits.orderBy(F.desc(count), F.collate("label", "zh"), "id").limit(most)
-    if current is None:
+    best = fits.orderBy(F.desc(count), F.collate("label", "zh"), "id")
+    best = best if most is None else best.limit(most)
+    if current is None or most is None:
         return best
     own = fits.where(F.col("id") == current).withColumn("_own", F.lit(0))
     # at most `most` + 1 rows meet here

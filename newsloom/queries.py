@@ -524,7 +524,7 @@ def facet_filter(spark, root):
     AND contains(lower(concat_ws(' ', r[1], array_to_string(r[2], ' '), r[3])), 'institute')""")
 def picker(spark, root):
     # all that fits, without the picker's limit
-    return Q.pick_entities(kg_entities(spark, root), "organization", " Institute ", None, 1_000_000).select("id")
+    return Q.pick_entities(kg_entities(spark, root), "organization", " Institute ", None, None).select("id")
 
 
 # --- incremental

@@ -191,3 +191,10 @@ def test_components_of_a_chain_and_a_star(spark):
     star = [("a", f"s{i}") for i in range(50)]
     found = names.components(spark.createDataFrame(chain + star + [("q", "q")], "a string, b string"))
     assert {(r.node, r.root) for r in found.collect()} == {(f"n{i:02}", "n00") for i in range(1, 41)} | {(f"s{i}", "a") for i in range(50)}
+
+
+def test_components_that_do_not_settle_raise(spark):
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        names.components(spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40)], "a string, b string"), rounds=1)

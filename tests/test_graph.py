@@ -103,6 +103,12 @@ def test_paths_and_neighbours(spark):
     assert rows(G.neighbor_relations(rel, "b"), "id") == [("r1",), ("r2",)]
 
 
+def test_a_path_of_any_length(spark):
+    chain = [(f"r{i:02}", f"e{i:02}", f"e{i + 1:02}") for i in range(66)]
+    rel = spark.createDataFrame(chain, "id string, from string, to string").coalesce(1).cache()
+    assert sorted(map(tuple, G.event_path(rel, "e00", "e66").collect())) == [(i + 1, f"r{i:02}") for i in range(66)]
+
+
 def test_ego_subgraph(spark):
     events = spark.createDataFrame([("a", "2020-01-01", "t", ["h", "x"], ["p"]), ("b", "2020-01-02", "t", ["h", "x", "y"], ["p"]), ("c", "2020-01-03", "t", ["y"], ["p"])], EVENTS)
     ents = spark.createDataFrame([("h", "H"), ("x", "X"), ("y", "Y")], "id string, label string")

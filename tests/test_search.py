@@ -68,3 +68,8 @@ def test_picker(docs):
     assert rows(Q.pick_entities(entities, "person", "李"), "id") == [("p2",)]
     assert [r.id for r in Q.pick_entities(entities, current="p2", most=1).collect()] == ["p2"]
     assert Q.ranked_entities(entities).first().id == "p1"
+
+
+def test_picker_without_a_limit(spark):
+    many = spark.range(30).selectExpr("concat('p', id) AS id", "concat('L', id) AS label", "'person' AS type", "array('a') AS aliases", "'d' AS description", "named_struct('eventCount', id) AS extraction")
+    assert Q.pick_entities(many).count() == 24 and Q.pick_entities(many, most=None).count() == Q.pick_entities(many, current="p3", most=None).count() == 30
