@@ -5,7 +5,7 @@ path, its content hash, its text, and bands of min-hash values of its five-token
 records that share most of their text share a band and lie side by side in sorted order. A run is a
 sorted table of (key, ord, id) in key-range partitions. A new batch is sorted the same way and merged
 in as a run of its own; only windows around its records are compared: the stretch of equal keys before
-them. Runs are compacted into one every few batches.
+them. Runs are compacted into one every few batches; the query takes its backlog up in too few steps for that.
 
 Windows have no fixed width. A stretch is read from its earliest record on, in blocks that grow
 fourfold. A block has places of every run and key range at once, so a match ends a new record's search
