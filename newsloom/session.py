@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -41,6 +42,7 @@ def ship(spark: SparkSession) -> SparkSession:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("newsloom", os.path.relpath(full, home)))
     context.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))  # executors may fetch it until then
     context._newsloom_shipped = True
     return spark
 
@@ -73,20 +75,47 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/newsloom/{what}-{uuid.uuid4().hex[:12]}"
+def scratch(spark: SparkSession, what: str, folder: str | None = None) -> str:
+    """A new path under the shared folder, or under `folder`; nothing is created yet."""
+    return f"{folder or shared_dir(spark) + '/newsloom'}/{what}-{uuid.uuid4().hex[:12]}"
 
 
 def durable(df: DataFrame, what: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it again: cuts the lineage, survives lost
-    executors, and lets several consumers share one computation."""
-    path = scratch(df.sparkSession, what)
+    executors, and lets several consumers share one computation. The table goes with the application."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, whatever file system it lies on."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
+def list_paths(spark: SparkSession, folder: str) -> list[str]:
+    """The files and folders in a folder, in order of their names; none if it isn't there."""
+    files, place = _files(spark, folder)
+    return sorted(x.getPath().toString() for x in files.listStatus(place)) if files.exists(place) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, there as a whole or not at all."""
+    files, place = _files(spark, path)
+    part = place.suffix(".part")
+    out = files.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(place):
+        files.delete(place, False)
+    files.rename(part, place)
