@@ -2,32 +2,35 @@
 
 Multi-key sorted neighbourhoods over persisted runs. A record has several sort keys: its canonical
 path, its content hash, its text, and bands of min-hash values of its five-token shingles, so that
-records that share most of their text share a band and lie side by side in sorted order. A run is a
-sorted table of (key, ord, id) in key-range partitions. A new batch is sorted the same way and merged
-in as a run of its own; only windows around its records are compared: the stretch of equal keys before
-them. Runs are compacted into one every few batches; the query takes its backlog up in too few steps for that.
-
-Windows have no fixed width. A stretch is read from its earliest record on, in blocks that grow
-fourfold. A block has places of every run and key range at once, so a match ends a new record's search
-only for records accepted after the match; it goes on wherever the rest of a stretch has an earlier one.
-A stretch that holds a third of all rows costs a record one block unless nothing in it matches; then it
-is read to its end.
+records that share most of their text share a band and lie side by side in sorted order. All runs lie in
+one table of fixed key ranges (buckets of the hashed key), each sorted by (key, ord). A new batch is
+sorted into the same ranges as a run of its own: only the batch shuffles, then ranges are merged side by
+side and the windows before its records compared, the stretches of equal keys. Ranges that a batch
+has no key in are not read. Runs of batches are compacted into one every few batches. A manifest names
+the live runs, so an index is opened again where the last batch left it.
+
+Windows have no fixed width. The first BLOCK records of a key in a run are its front. What lies behind the
+fronts is searched only for records that have met nothing earlier alike, from the earliest on, in blocks
+that grow fourfold. A match ends a record's search only for records accepted after the match. A stretch
+that holds a third of all rows has a front like any other; the rest of it is spread over all ranges.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.leaks import _fold
-from newsloom.session import drop_path, durable, scratch
+from newsloom.session import drop_path, durable, list_paths, scratch, write_text
 
 #: Min-hash bands and values of a band: a pair of similarity s shares a band with probability
 #: 1 - (1 - s^3)^32, which is 0.986 at the declared bound of 0.5, 0.997 at 0.55 and 0.9996 at 0.6.
@@ -39,14 +42,14 @@ SHINGLE, LEAST_SIMILARITY = 5, 0.5
 #: below the first bound are dropped, pairs above the second end the search of a stretch; all that are
 #: left are compared exactly.
 MAYBE, SURELY = 0.33, 0.67
-#: Records of a stretch, in one key range, that a new record is compared with at first.
+#: Records of a key that are the front of its stretch in a run; a new record is compared with these at first.
 BLOCK = 32
 #: Runs of batches before they are compacted into one; the history's run stays apart.
 MOST_RUNS = 4
+#: Records of the history in a key range on average; with fewer, there is a range for each core.
+RANGE_RECORDS = 200_000
 #: Rows (id, number) that are broadcast at most, about 30 MB.
 BROADCAST_ROWS = 500_000
-#: Admissions in which a backlog of batches is taken up; a batch's own records are ordered like all others.
-ADMISSIONS = 2
 
 _FRONT = re.compile(r"\A\s*---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _RANDOM = np.random.default_rng(20240607)
@@ -149,14 +152,16 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return low ^ (low >> np.uint32(13))
 
 
-def bands(low: bytes) -> np.ndarray:
-    """One value for each band of min-hash values."""
-    values = np.frombuffer(low, dtype=np.uint16).astype(np.uint64)
-    band = np.zeros(BANDS, dtype=np.uint64)
+def bands(lows: np.ndarray) -> np.ndarray:
+    """One value for each band of min-hash values (rows of 16-bit values), a row for each record."""
+    values = lows.astype(np.uint64)
+    band = np.zeros((len(values), BANDS), dtype=np.uint64)
     for i in range(BAND_VALUES):
-        band = (band ^ values[i::BAND_VALUES]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        band = (band ^ values[:, i::BAND_VALUES]) * np.uint64(0xC2B2AE3D27D4EB4F)
         band ^= band >> np.uint64(29)
-    return (band ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    band ^= np.arange(BANDS, dtype=np.uint64)
+    band *= np.uint64(0x9E3779B97F4A7C15)  # spreads the bands of one value over all ranges
+    return (band ^ (band >> np.uint64(32))).view(np.int64)
 
 
 FEATURES = "ord bigint, path bigint, digest bigint, text bigint, low binary"
@@ -183,164 +188,351 @@ def text_features(raw_pages: DataFrame) -> DataFrame:
 
 
 def page_features(pages: DataFrame, texts: DataFrame) -> DataFrame:
-    """FEATURES of pages (id, ord, path, digest) and their TEXTS."""
-    keyed = pages.select("id", "ord", *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in ("path", "digest")])
-    return keyed.join(texts, "id", "left").select("ord", "path", "digest", "text", "low")
+    """FEATURES of pages (id, ord, path, digest) and their TEXTS, and the id. Keys of different kinds differ."""
+    joined = pages.select("id", "ord", "path", "digest").join(texts, "id", "left")
+    keys = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(i), F.col(c))).alias(c) for i, c in enumerate(EXACT)]
+    return joined.select("ord", *keys, "low", "id")
 
 
-#: The exact keys, by kind; kind 3 are the bands.
+#: The exact keys, by kind. Kind 3 are the bands; kind 4 are bands behind the front, whose range is any.
 EXACT = ("path", "digest", "text")
-RUN = "kind tinyint, key bigint, ord bigint, place int"
-
-
-def exact_keys(batch: DataFrame) -> DataFrame:
-    """(kind, key, ord) of the batch's canonical paths, hashes and texts."""
-    each = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("kind"), F.col(c).alias("key")) for i, c in enumerate(EXACT)])
-    return batch.select(F.explode(each).alias("k"), "ord").where("k.key IS NOT NULL").select("k.kind", "k.key", "ord")
-
-
-def band_keys(batch: DataFrame) -> DataFrame:
-    """(key, ord) of the batch's bands."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"key": np.concatenate([bands(x) for x in b["low"]]), "ord": np.repeat(b["ord"].to_numpy(), BANDS)})
+BAND, BEHIND = 3, 4
+RUN = "key bigint, kind tinyint, ord bigint, place int, band bigint"
+RECORDS = "ord bigint, id string, path bigint, digest bigint, text bigint, low binary"
+HITS = "batch int, kind tinyint, key bigint, mine bigint, ord bigint"
+
+
+def _keys_of(batch: pa.RecordBatch, known: dict[int, np.ndarray], crowded: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys, kinds, ords and whether they lie behind the front, of records sorted by ord; and the bands that
+    are crowded from now on. Of an exact key only the first record counts, and only the first of each text
+    has bands: `known` has the exact keys that came more than once."""
+    ords = batch.column("ord").to_numpy(zero_copy_only=False)
+    keys, kinds, whose, first_text = [], [], [], np.zeros(len(ords), dtype=bool)
+    for kind, name in enumerate(EXACT):
+        column = batch.column(name)
+        at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        value, first, count = np.unique(column.drop_null().to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+        fresh = ~np.isin(value, known[kind])
+        known[kind] = np.union1d(known[kind], value[count > 1])
+        keys.append(value[fresh])
+        whose.append(at[first[fresh]])
+        kinds.append(np.full(fresh.sum(), kind, dtype=np.int8))
+        if name == "text":
+            first_text[whose[-1]] = True
+    low = batch.column("low")
+    at = np.flatnonzero(first_text & low.is_valid().to_numpy(zero_copy_only=False))
+    exact = sum(map(len, keys))
+    if len(at):
+        lows = np.frombuffer(b"".join(low.take(pa.array(at)).to_pylist()), dtype=np.uint16).reshape(len(at), -1)
+        band = bands(lows).ravel()
+        keys.append(band)
+        whose.append(np.repeat(at, BANDS))
+        kinds.append(np.full(len(band), BAND, dtype=np.int8))
+    key, kind, owner = (np.concatenate(x) for x in (keys, kinds, whose))
+    late = np.zeros(len(key), dtype=bool)
+    if len(key) > exact:
+        band = key[exact:]
+        order = np.argsort(band, kind="stable")
+        edge = np.flatnonzero(np.append(True, band[order][1:] != band[order][:-1]))
+        size = np.diff(np.append(edge, len(band)))
+        behind = np.empty(len(band), dtype=bool)
+        behind[order] = np.arange(len(band)) - np.repeat(edge, size) >= BLOCK
+        late[exact:] = behind | np.isin(band, crowded)
+        crowded = np.union1d(crowded, band[order][edge[size >= BLOCK]])
+    return [key, kind, ords[owner], late], crowded
+
+
+def record_keys(records: DataFrame) -> DataFrame:
+    """(key, kind, ord, late) of RECORDS. A task combines its records' keys: a key or a text that a third of
+    all rows have sends a row or a front for each Arrow batch at most; what else a crowded band has is `late`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, dtype=np.int64)
+        known, crowded = dict.fromkeys(range(len(EXACT)), none), none
+        for batch in batches:
+            columns, crowded = _keys_of(batch, known, crowded)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "kind", "ord", "late"])
 
-    return batch.where("low IS NOT NULL").select("ord", "low").mapInPandas(run, "key bigint, ord bigint")
+    rows = records.select("ord", *EXACT, "low").sortWithinPartitions("ord")
+    return rows.mapInArrow(run, "key bigint, kind tinyint, ord bigint, late boolean")
 
 
-def estimated(pairs: DataFrame, features_: DataFrame) -> DataFrame:
-    """(new_ord, ord, alike): the share of equal min-hash values."""
+def estimated(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(new_ord, ord, alike): the share of equal min-hash values. Records lie in ranges of ord: pairs go to
+    them, they stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            alike = [float(np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16))) for x, y in zip(b["mine"], b["theirs"])]
-            yield pd.DataFrame({"new_ord": b["new_ord"], "ord": b["ord"], "alike": alike})
+            mine, theirs = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), -1) for c in ("mine", "theirs"))
+            yield pd.DataFrame({"new_ord": b["new_ord"], "ord": b["ord"], "alike": (mine == theirs).mean(axis=1) if len(b) else []})
 
-    low = features_.where("low IS NOT NULL").select("ord", "low")
+    low = records.where("low IS NOT NULL")
     both = pairs.join(low.select(F.col("ord").alias("new_ord"), F.col("low").alias("mine")), "new_ord")
     both = both.join(low.select("ord", F.col("low").alias("theirs")), "ord")
     return both.select("new_ord", "ord", "mine", "theirs").mapInPandas(run, "new_ord bigint, ord bigint, alike double")
 
 
-@dataclass
+def _bucket(path: str) -> int:
+    """The key range of a run's file, which its name tells."""
+    return int(re.search(r"_(\d+)(?:\.c\d+)?\.[^/]*$", path).group(1))
+
+
 class NeighbourhoodIndex:
     """Accepted records as sorted runs under `root`, a folder that all executors share.
 
-    `admit()` takes one batch, gives for each of its records the accepted records that it may repeat, and
-    merges the batch in. `ord` numbers all records in order of acceptance.
+    `admit()` takes one batch, merges it in and gives the accepted records that its records may repeat.
+    `ord` numbers all records in order of acceptance. The state is what the last manifest under `root` says:
+    `NeighbourhoodIndex(spark, root)` starts or goes on, and what a batch left that didn't come to its
+    end is taken away.
     """
 
-    spark: SparkSession
-    root: str
-    runs: list[str] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    counter: int = 0
+    def __init__(self, spark: SparkSession, root: str, ranges: int | None = None):
+        self.spark, self.root = spark, root
+        self.runs: list[int] = []  # all live runs
+        self.base: list[int] = []  # those of the history
+        self.batches: list[int] = []  # all admissions
+        self.ranges, self.counter, self.deep, self.next, self.version = ranges, 0, False, 0, 0
+        name = uuid.uuid4().hex[:12]
+        self._runs, self._records = f"newsloom_runs_{name}", f"newsloom_records_{name}"
+        found = sorted(p for p in list_paths(spark, root) if re.search(r"/manifest-\d+\.json$", p))
+        if found:
+            state = json.loads(spark.read.text(found[-1], wholetext=True).first()[0])
+            self.__dict__.update(state)
+        if self.ranges:
+            self._open()
+
+    def _open(self) -> None:
+        """Tables over the folders of runs and records; both keep their rows in `ranges` buckets."""
+        for table, folder, schema, part, key, order, live in (
+            (self._runs, "runs", RUN, "run", "key", "key, ord", self.runs), (self._records, "records", RECORDS, "batch", "ord", "ord", self.batches),
+        ):
+            there = list_paths(self.spark, f"{self.root}/{folder}")
+            for path in there:
+                if (m := re.search(rf"/{part}=(\d+)$", path)) and int(m.group(1)) not in live:
+                    drop_path(self.spark, path)
+            self.spark.sql(
+                f"CREATE TABLE {table} ({schema}, {part} INT) USING parquet PARTITIONED BY ({part}) CLUSTERED BY ({key}) SORTED BY ({order}) INTO {self.ranges} BUCKETS LOCATION '{self.root}/{folder}'"
+            )
+            if there:
+                self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+
+    def close(self, delete: bool = False) -> None:
+        """Forgets the tables; their files stay unless `delete` is set."""
+        if self.ranges:
+            for table in (self._runs, self._records):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if delete:
+            drop_path(self.spark, self.root)
+
+    def _commit(self) -> None:
+        """A new manifest in one step; until it is there, the one before holds."""
+        self.version += 1
+        kept = ("runs", "base", "batches", "ranges", "counter", "deep", "next", "version")
+        write_text(self.spark, f"{self.root}/manifest-{self.version:08d}.json", json.dumps({k: getattr(self, k) for k in kept}))
+
+    def _write(self, rows: DataFrame, table: str, number: int, key: str) -> None:
+        rows.repartition(self.ranges, key).withColumn("number", F.lit(number)).write.insertInto(table)
+
+    def records(self, batches: list[int] | None = None) -> DataFrame:
+        """RECORDS and batch of the given batches, or of all."""
+        return self.spark.table(self._records).where(F.col("batch").isin(self.batches if batches is None else batches))
 
     def admit(self, pages: DataFrame, match: bool = True) -> DataFrame | None:
-        """Windows (new_ord, ord, exact) of the batch of FEATURES: the earliest record with the same path, hash or text
-        (exact), and the records before that one which share a band. With match=False the batch is
-        history and is only merged in."""
+        """Merges a batch of FEATURES in, perhaps with an id, and gives its windows(). With match=False the batch
+        is history and is only merged in."""
+        if not self.ranges:
+            cores = self.spark.sparkContext.defaultParallelism
+            self.ranges = min(max(cores, -(-pages.count() // RANGE_RECORDS)), 100_000)
+            self._open()
         self.counter += 1
-        part = f"{self.root}/records/{self.counter:05d}"
-        pages.write.parquet(part)
-        self.parts.append(part)
-        batch = self.spark.read.schema(FEATURES).parquet(part)
-        run = f"{self.root}/runs/{self.counter:05d}"
-        self._write_run(self._keys(batch), run)
-        self.runs.append(run)
-        found = self._search(batch) if match else None
-        if len(self.runs) > MOST_RUNS + 1:
+        number = self.counter
+        rows = pages if "id" in pages.columns else pages.withColumn("id", F.lit(None).cast("string"))
+        self._write(rows.select(*[c.split()[0] for c in RECORDS.split(", ")]), self._records, number, "ord")
+        self._write_run(record_keys(self.spark.table(self._records).where(F.col("batch") == number)), number)
+        self.runs.append(number)
+        self.batches.append(number)
+        if match:
+            self._search(number)
+        else:
+            self.base.append(number)
+        if len(self.runs) - len(self.base) > MOST_RUNS:
             self.compact()
-        return found
-
-    def records(self) -> DataFrame:
-        return self.spark.read.schema(FEATURES).parquet(*self.parts)
+        self._commit()
+        return self.windows([number]) if match else None
+
+    def _write_run(self, keys: DataFrame, number: int) -> None:
+        """A run of (key, kind, ord, late): fronts in their key's range, what is behind them in any."""
+        spread_out = F.col("late")
+        rows = keys.select(
+            F.when(spread_out, F.xxhash64("key", "ord")).otherwise(F.col("key")).alias("key"),
+            F.when(spread_out, F.lit(BEHIND)).otherwise(F.col("kind")).cast("tinyint").alias("kind"),
+            "ord",
+            F.when(spread_out, F.col("key")).alias("band"),
+        )
+        place = F.row_number().over(Window.partitionBy("key").orderBy("ord")) - 1
+        placed = rows.repartition(self.ranges, "key").withColumn("place", place).where(f"kind >= {BAND} OR place = 0")
+        placed.select("key", "kind", "ord", "place", "band", F.lit(number)).write.insertInto(self._runs)
+        # the footers tell
+        here = self.spark.table(self._runs).where(F.col("run") == number)
+        self.deep = self.deep or not here.where(f"kind = {BEHIND} OR place >= {BLOCK}").isEmpty()
 
     def compact(self, everything: bool = False) -> None:
-        """Merges the runs of batches into one sorted run; the first run, the history's, joins them only
-        when `everything` is set."""
-        old = self.runs if everything else self.runs[1:]
+        """Merges the runs of batches into one sorted run; the history's joins them only when `everything` is
+        set. What was behind a front stays there, as what came before it does."""
+        old = [r for r in self.runs if everything or r not in self.base]
         self.counter += 1
-        run = f"{self.root}/runs/{self.counter:05d}"
-        merged = self.spark.read.schema(RUN).parquet(*old)
-        first = merged.where("kind < 3").groupBy("kind", "key").agg(F.min("ord").alias("ord"))
-        self._write_run(first.unionByName(merged.where("kind = 3").select("kind", "key", "ord")), run)
-        for path in old:
-            drop_path(self.spark, path)
-        self.runs = [*self.runs[: len(self.runs) - len(old)], run]
-
-    @staticmethod
-    def _keys(batch: DataFrame) -> DataFrame:
-        """The run's rows: of each exact key the earliest record, and the bands of the earliest record of
-        each text. Both are combined on the map side, so a key or text with a third of all rows sends one
-        row a task, and copies are never compared with each other."""
-        exact = exact_keys(batch).groupBy("kind", "key").agg(F.min("ord").alias("ord"))
-        first = batch.where("text IS NOT NULL").groupBy("text").agg(F.min("ord").alias("ord"))
-        near = band_keys(batch.join(first.select("ord"), "ord", "left_semi"))
-        return exact.unionByName(near.select(F.lit(3).cast("tinyint").alias("kind"), "key", "ord"))
-
-    def _write_run(self, rows: DataFrame, path: str) -> None:
-        """Sorted by (kind, key, ord) in key ranges; a hot key spans several. `place` counts the records
-        of a key within its range."""
-
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last, seen = None, 0
-            for batch in batches:
-                if not len(batch):
-                    continue
-                kind, key = batch["kind"].to_numpy(), batch["key"].to_numpy()
-                new = np.ones(len(batch), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-                new[0] = (kind[0], key[0]) != last
-                at = np.arange(len(batch))
-                batch["place"] = (at - np.maximum.accumulate(np.where(new, at, -seen))).astype(np.int32)
-                last, seen = (kind[-1], key[-1]), int(batch["place"].iloc[-1]) + 1
-                yield batch
-
-        ranges = rows.select("kind", "key", "ord").repartitionByRange("kind", "key", "ord")
-        ranges.sortWithinPartitions("kind", "key", "ord").mapInPandas(place, RUN).write.parquet(path)
-
-    def _search(self, batch: DataFrame) -> DataFrame:
-        accepted = self.spark.read.schema(RUN).parquet(*self.runs)
-        exact = exact_keys(batch).withColumnRenamed("ord", "new_ord")
-        # the same path, hash or text needs no comparison, and a run has one row for each: the earliest
-        first = exact.join(accepted.where("kind < 3"), ["kind", "key"]).where("ord < new_ord")
-        out = durable(first.groupBy("new_ord").agg(F.min("ord").alias("ord")), "exact")
-        known = out.withColumnRenamed("ord", "known")
-        out = out.withColumn("exact", F.lit(True))
-        near = accepted.where("kind = 3").select("key", "ord", "place")
-        longest = near.agg(F.max("place")).first()[0]
-        open_ = band_keys(batch).withColumnRenamed("ord", "new_ord")
-        bound = known
+        rows = self.spark.table(self._runs).where(F.col("run").isin(old))
+        exact = rows.where(f"kind < {BAND}").groupBy("key", "kind").agg(F.min("ord").alias("ord"))
+        behind = rows.where(f"kind = {BEHIND} OR place >= {BLOCK}").select(F.coalesce("band", "key").alias("key"), F.lit(BAND).cast("tinyint").alias("kind"), "ord", F.lit(True).alias("late"))
+        front = rows.where(f"kind = {BAND} AND place < {BLOCK}").select("key", "kind", "ord").unionByName(exact).withColumn("late", F.lit(False))
+        self._write_run(front.unionByName(behind), self.counter)
+        self.runs = [*[r for r in self.runs if r not in old], self.counter]
+        if everything:
+            self.base = [self.counter]
+        self._commit()
+        for run in old:
+            self.spark.sql(f"ALTER TABLE {self._runs} DROP IF EXISTS PARTITION (run = {run})")
+            drop_path(self.spark, f"{self.root}/runs/run={run}")
+
+    def touched(self, number: int) -> list[str] | None:
+        """The files of live runs in the key ranges that a run has rows in; None if these are most ranges."""
+        live = self.spark.table(self._runs)
+        ranges = {_bucket(f) for f in live.where(F.col("run") == number).inputFiles()}
+        if 2 * len(ranges) > self.ranges:
+            return None
+        return [f for f in live.where(F.col("run").isin(self.runs)).inputFiles() if _bucket(f) in ranges]
+
+    def _search(self, number: int) -> None:
+        """Writes the HITS of a batch: of its keys the accepted records with the same one."""
+        own = self.spark.table(self._runs).where(F.col("run") == number)
+        files = self.touched(number)
+        every = self.spark.table(self._runs).where(F.col("run").isin(self.runs))
+        if files:
+            every = self.spark.read.schema(RUN).parquet(*files)
+        fronts = every.where(f"kind < {BEHIND} AND place < {BLOCK}").select("key", F.col("kind").alias("of"), "ord")
+        mine = own.where(f"kind < {BEHIND}").select("key", "kind", F.col("ord").alias("mine"))
+        # kinds are compared apart from the join's key, so that both sides stay in their ranges
+        hits = mine.join(fronts, "key").where("ord < mine AND kind <= of AND kind >= of").select("kind", "key", "mine", "ord")
+        self._add_hits(hits, number)
+        if self.deep:
+            self._search_behind(number, own, fronts)
+
+    def _add_hits(self, hits: DataFrame, number: int) -> DataFrame:
+        """Writes hits, those of bands once for all bands, and gives them back."""
+        path = scratch(self.spark, "hits", f"{self.root}/hits/{number}")
+        exact = F.col("kind") < BAND
+        hits.select(F.lit(number).alias("batch"), "kind", F.when(exact, F.col("key")).alias("key"), "mine", "ord").distinct().write.parquet(path)
+        return self.spark.read.schema(HITS).parquet(path)
+
+    def _hits(self, batches: list[int]) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").schema(HITS).parquet(*[f"{self.root}/hits/{b}" for b in batches])
+
+    def _search_behind(self, number: int, own: DataFrame, fronts: DataFrame) -> None:
+        """The rest of long stretches, in blocks, for records that may have something earlier there."""
+        live = self.spark.table(self._runs).where(F.col("run").isin(self.runs))
+        tails = live.where(f"kind = {BEHIND} OR kind = {BAND} AND place >= {BLOCK}").select(F.coalesce("band", "key").alias("key"), "ord")
+        open_ = own.where(f"kind >= {BAND}").select(F.coalesce("band", "key").alias("key"), F.col("ord").alias("mine"), "kind")
+        late = open_.where(f"kind = {BEHIND}").join(fronts.where(f"of = {BAND}").select("key", "ord"), "key").where("ord < mine")
+        self._add_hits(late.select(F.lit(BAND).cast("tinyint").alias("kind"), "key", "mine", "ord"), number)
+        found = self._hits([number])
+        # a record with the same text, or one that is surely alike, ends a search for what came after it
+        bound = found.where("kind = 2").select(F.col("mine"), F.col("ord").alias("known"))
+        going = tails.join(open_.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("ord").alias("least"))
+        here = found.where(f"kind = {BAND}").select(F.col("mine").alias("new_ord"), "ord").distinct()
+        here = here.join(open_.join(going, "key").where("least < mine").select(F.col("mine").alias("new_ord")).distinct(), "new_ord", "left_semi")
+
+        def widened(bound: DataFrame, pairs: DataFrame) -> DataFrame:
+            met = estimated(pairs, self.records()).where(F.col("alike") >= SURELY).select(F.col("new_ord").alias("mine"), F.col("ord").alias("known"))
+            return durable(bound.unionByName(met).groupBy("mine").agg(F.min("known").alias("known")), "bound")
+
+        def still(open_: DataFrame, going: DataFrame, bound: DataFrame) -> DataFrame:
+            rest = open_.select("key", "mine").join(going, "key").join(bound, "mine", "left")
+            return durable(rest.where("least < mine AND (known IS NULL OR least < known)").select("key", "mine"), "open")
+
+        bound = widened(bound, here)
+        open_ = still(open_, going, bound)
+        ranked = durable(_ranked(tails.join(open_.select("key").distinct(), "key", "left_semi")), "ranked")
+        longest = ranked.agg(F.max("place")).first()[0]
         lo, hi = 0, BLOCK
         while longest is not None and lo <= longest:
-            block = near.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "ord")
-            window = open_.join(block, "key").where("ord < new_ord").join(bound, "new_ord", "left")
-            # only an earlier record can still improve on what is known
-            window = durable(window.where("known IS NULL OR ord < known").select("new_ord", "key", "ord"), "window")
-            out = out.unionByName(window.select("new_ord", "ord", F.lit(False).alias("exact")).distinct())
+            block = ranked.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "ord")
+            window = open_.join(block, "key").where("ord < mine").join(bound, "mine", "left").where("known IS NULL OR ord < known")
+            window = self._add_hits(window.select(F.lit(BAND).cast("tinyint").alias("kind"), "key", "mine", "ord"), number)
             if hi <= longest:
-                # few stretches go on: only their records search further, and only for what is earlier than the like they met
-                going = near.where(F.col("place") >= hi).groupBy("key").agg(F.min("ord").alias("least"))
-                here = window.join(going, "key", "left_semi").select("new_ord", "ord").distinct()
-                met = estimated(here, self.records()).where(F.col("alike") >= SURELY).select("new_ord", F.col("ord").alias("known"))
-                bound = durable(bound.unionByName(met).groupBy("new_ord").agg(F.min("known").alias("known")), "bound")
-                rest = open_.select("key", "new_ord").join(going, "key").join(bound, "new_ord", "left")
-                open_ = durable(rest.where("least < new_ord AND (known IS NULL OR least < known)").select("key", "new_ord"), "open")
+                going = ranked.where(F.col("place") >= hi).groupBy("key").agg(F.min("ord").alias("least"))
+                bound = widened(bound, window.select(F.col("mine").alias("new_ord"), "ord"))
+                open_ = still(open_, going, bound)
             lo, hi = hi, hi * 4
-        return out
-
 
-def in_order(pages: DataFrame, time: str, *ties: str, history: bool = False) -> DataFrame:
-    """Pages of distinct ids with `ord` instead of time and ties, a number of its own for each: by time, null
-    first, then by the ties and the id; history before every delivery. The numbers rise along a
-    range-partitioned sort, so none of its parts needs to know the others."""
-    number = F.monotonically_increasing_id() - F.lit((1 << 62) if history else 0)
+    def exact_and_copies(self, batches: list[int]) -> tuple[DataFrame, DataFrame]:
+        """(new_ord, ord): each record's earliest with the same path, hash or text; (new_ord, mine): records
+        whose text came earlier in their batch, and the first one with it, whose windows are theirs."""
+        each = F.posexplode(F.array(*EXACT)).alias("kind", "key")
+        keys = self.records(batches).select("batch", F.col("ord").alias("new_ord"), each).where("key IS NOT NULL")
+        first = keys.groupBy("batch", "key").agg(F.min("new_ord").alias("mine"))
+        before = self._hits(batches).where(f"kind < {BAND}").groupBy("batch", "key").agg(F.min("ord").alias("ord"))
+        met = durable(keys.join(first.join(before, ["batch", "key"], "left"), ["batch", "key"]).select("new_ord", "kind", "mine", "ord"), "met")
+        exact = met.select("new_ord", F.least("ord", "mine").alias("ord")).where("ord < new_ord").groupBy("new_ord").agg(F.min("ord").alias("ord"))
+        return exact, met.where("kind = 2 AND mine < new_ord").select("new_ord", "mine")
+
+    def windows(self, batches: list[int]) -> DataFrame:
+        """(new_ord, ord, exact) of admitted batches: the earliest record with the same path, hash or text (exact),
+        and the records that share a band. Of records with one text, the batch's first stands for all."""
+        exact, _ = self.exact_and_copies(batches)
+        near = self._hits(batches).where(f"kind = {BAND}").select(F.col("mine").alias("new_ord"), "ord").distinct()
+        return exact.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
+
+    def repeats(self, batches: list[int], raw: DataFrame) -> DataFrame:
+        """(id, earliest) of admitted batches: each record that repeats an earlier one, and the earliest it
+        repeats. Texts are read of pairs alone, from `raw` (id, raw)."""
+        exact, copies = self.exact_and_copies(batches)
+        near = self._hits(batches).where(f"kind = {BAND}").select(F.col("mine").alias("new_ord"), "ord").distinct()
+        # what all records of one text know already ends the comparisons of the one that stands for them
+        others = copies.join(exact, "new_ord").groupBy("mine").agg(F.max("ord").alias("others")).withColumnRenamed("mine", "new_ord")
+        known = exact.withColumnRenamed("ord", "known").join(others, "new_ord", "left").select("new_ord", F.greatest("known", "others").alias("known"))
+        near = near.join(known, "new_ord", "left").where("known IS NULL OR ord < known").select("new_ord", "ord")
+        maybe = durable(estimated(near, self.records()).where(F.col("alike") >= MAYBE).select("new_ord", "ord"), "maybe")
+        alike = exact_similarity(maybe, self.records().select("ord", "id"), raw).where(F.col("alike") >= LEAST_SIMILARITY)
+        alike = durable(alike.groupBy("new_ord").agg(F.min("ord").alias("ord")), "alike")
+        theirs = copies.join(alike.withColumnRenamed("new_ord", "mine"), "mine").select("new_ord", "ord")
+        first = exact.unionByName(alike).unionByName(theirs).groupBy("new_ord").agg(F.min("ord").alias("ord"))
+        ids = self.records(batches).select(F.col("ord").alias("new_ord"), "id")
+        return first.join(ids, "new_ord").join(self.records().select("ord", F.col("id").alias("earliest")), "ord").select("id", "earliest")
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Adds `place` to (key, ord): its rank within its key, in one part of a range-partitioned sort, of which
+    a crowded key has several."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = batch["key"].to_numpy()
+            new = np.ones(len(batch), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = key[0] != last
+            at = np.arange(len(batch))
+            batch["place"] = (at - np.maximum.accumulate(np.where(new, at, -seen))).astype(np.int32)
+            last, seen = key[-1], int(batch["place"].iloc[-1]) + 1
+            yield batch
+
+    return rows.repartitionByRange("key", "ord").sortWithinPartitions("key", "ord").mapInPandas(place, "key bigint, ord bigint, place int")
+
+
+def in_order(pages: DataFrame, time: str, *ties: str, base: int = 0) -> DataFrame:
+    """Pages of distinct ids with `ord` instead of time and ties, a number of its own for each, from `base` on: by
+    time, null first, then by the ties and the id. The numbers rise along a range-partitioned sort, so
+    none of its parts needs to know the others."""
+    number = F.monotonically_increasing_id() + F.lit(base)
     kept = [c for c in pages.columns if c not in (time, *ties)]
     # the number belongs to this one sort: it is written before anything else reads it
-    return durable(pages.orderBy(time, *ties, "id").select(*kept, number.alias("ord")), "history" if history else "coming")
+    return durable(pages.orderBy(time, *ties, "id").select(*kept, number.alias("ord")), "ordered")
+
+
+#: Where the history's numbers begin: all deliveries come after it.
+HISTORY = -(1 << 62)
 
 
 def exact_similarity(pairs: DataFrame, names: DataFrame, raw: DataFrame) -> DataFrame:
@@ -362,45 +554,61 @@ def exact_similarity(pairs: DataFrame, names: DataFrame, raw: DataFrame) -> Data
     return both.select("new_ord", "ord", (common / (F.size("mine") + F.size("theirs") - common)).alias("alike"))
 
 
-def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: DataFrame, digest, keep_index: bool = False, admissions: int = ADMISSIONS) -> DataFrame:
+def one_text(raw_pages: DataFrame) -> DataFrame:
+    """TEXTS of pages, one for each id: of an id with several texts the least one."""
+    texts = durable(text_features(raw_pages), "texts")
+    if not texts.groupBy("id").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("id").agg(F.min(F.struct("text", "low")).alias("t")).select("id", "t.*")
+    return texts
+
+
+def _page(digest) -> list[Column]:
+    return [page_path(F.col("repositoryPath")).alias("path"), digest(F.col("contentHash")).alias("digest")]
+
+
+def accept_history(index: NeighbourhoodIndex, sources: DataFrame, texts: DataFrame, digest) -> None:
+    """Fills a new index with `sources`; a page that comes twice counts from its first ingestion."""
+    history = sources.where("id IS NOT NULL").select("id", *_page(digest), F.unix_micros(F.col("ingestedAt").cast("timestamp")).alias("time"))
+    history = history.groupBy("id").agg(F.min(F.struct("time", "path", "digest")).alias("r")).select("id", "r.*")
+    index.admit(page_features(in_order(history, "time", base=HISTORY), texts), match=False)
+
+
+def take(index: NeighbourhoodIndex, deliveries: DataFrame, texts: DataFrame, digest, admissions: int | None = None) -> list[int]:
+    """Admits deliveries batch by batch, in `admissions` steps or one for each batch, and gives the numbers of
+    the steps. A step has all deliveries up to the next batch's first, also where batches overlap in time."""
+    coming = deliveries.where("id IS NOT NULL").select("id", *_page(digest), F.unix_micros(F.col("arrivedAt").cast("timestamp")).alias("time"), "batchNo")
+    coming = coming.groupBy("id").agg(F.min(F.struct("time", "batchNo", "path", "digest")).alias("r")).select("id", "r.*")
+    coming = in_order(coming.withColumn("batch", F.col("batchNo")), "time", "batchNo", base=index.next)
+    # a row for each batch
+    rows = coming.groupBy("batch").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).collect()
+    firsts = sorted(r.lo for r in rows)
+    index.next = max([index.next, *[r.hi + 1 for r in rows]])
+    starts, steps = firsts[:: -(-len(firsts) // max(1, admissions or len(firsts))) or 1], []
+    for start, end in zip(starts, [*starts[1:], None]):
+        those = F.col("ord") >= start if end is None else (F.col("ord") >= start) & (F.col("ord") < end)
+        index.admit(page_features(coming.where(those), texts))
+        steps.append(index.batches[-1])
+    return steps
+
+
+def repeated_deliveries(sources: DataFrame, deliveries: DataFrame, raw_pages: DataFrame, digest, admissions: int | None = None) -> DataFrame:
     """(id, earliest): every delivery that repeats a page accepted before it, and the earliest such page.
 
     History is `sources` (a page that comes twice counts from its first ingestion), then all earlier
     deliveries by `arrivedAt`. A page repeats another if the path or the hash is the same in any
     spelling, or the text is the same or keeps most of it (LEAST_SIMILARITY). Null paths, hashes, texts
     match nothing; a page without a time comes first of its kind; at one time, batches then ids decide; empty
-    tables give no rows. The backlog of
-    batches is taken up in `admissions` steps, with the same result for any number of them; each step reads
-    the sorted runs, not the texts, of what came before.
+    tables give no rows. Batches are admitted one by one, or in `admissions` steps with the same result.
+    The index made here is taken away again; to keep one, use accept_history(), take() and repeats().
     """
     spark = sources.sparkSession
-    texts = durable(text_features(raw_pages), "texts")
-    if not texts.groupBy("id").count().where("count > 1").isEmpty():  # an id with several texts: the least one
-        texts = texts.groupBy("id").agg(F.min(F.struct("text", "low")).alias("t")).select("id", "t.*")
-    page = [page_path(F.col("repositoryPath")).alias("path"), digest(F.col("contentHash")).alias("digest")]
-    history = sources.where("id IS NOT NULL").select("id", *page, F.unix_micros(F.col("ingestedAt").cast("timestamp")).alias("time"))
-    # paths are worked out once; these small tables are read several times
-    history = history.groupBy("id").agg(F.min(F.struct("time", "path", "digest")).alias("r")).select("id", "r.*")
-    history = in_order(history, "time", history=True)
-    coming = deliveries.where("id IS NOT NULL").select("id", *page, F.unix_micros(F.col("arrivedAt").cast("timestamp")).alias("time"), "batchNo")
-    coming = coming.groupBy("id").agg(F.min(F.struct("time", "batchNo", "path", "digest")).alias("r")).select("id", "r.*")
-    coming = in_order(coming.withColumn("batch", F.col("batchNo")), "time", "batchNo")
-    # a row for each batch; a step has all deliveries up to the next one's first, also where batches overlap in time
-    firsts = sorted(r[0] for r in coming.groupBy("batch").agg(F.min("ord")).select("min(ord)").collect())
-    index = NeighbourhoodIndex(spark, scratch(spark, "runs"))
-    index.admit(page_features(history, texts), match=False)
-    windows, starts = None, firsts[:: -(-len(firsts) // max(1, admissions)) or 1]
-    for start, end in zip(starts, [*starts[1:], None]):
-        those = F.col("ord") >= start if end is None else (F.col("ord") >= start) & (F.col("ord") < end)
-        part = index.admit(page_features(coming.where(those), texts))
-        windows = part if windows is None else windows.unionByName(part)
-    names = history.select("ord", "id").unionByName(coming.select("ord", "id"))
-    if windows is None:
-        return history.select("id", F.col("id").alias("earliest")).limit(0)
-    maybe = estimated(windows.where("NOT exact").select("new_ord", "ord").distinct(), index.records()).where(F.col("alike") >= MAYBE)
-    near = exact_similarity(durable(maybe.select("new_ord", "ord"), "maybe"), names, raw_pages.select("id", "raw")).where(F.col("alike") >= LEAST_SIMILARITY).select("new_ord", "ord")
-    first = windows.where("exact").select("new_ord", "ord").unionByName(near).groupBy("new_ord").agg(F.min("ord").alias("ord"))
-    first = durable(first, "first")
-    if not keep_index:
-        drop_path(spark, index.root)
-    return first.join(coming.select(F.col("ord").alias("new_ord"), "id"), "new_ord").join(names.withColumnRenamed("id", "earliest"), "ord").select("id", "earliest")
+    texts = one_text(raw_pages)
+    index = NeighbourhoodIndex(spark, scratch(spark, "index"))
+    accept_history(index, sources, texts, digest)
+    steps = take(index, deliveries, texts, digest, admissions)
+    if not steps:
+        found = spark.createDataFrame([], "id string, earliest string")
+    else:
+        found = durable(index.repeats(steps, raw_pages.select("id", "raw")), "repeated")
+    index.close(delete=True)
+    return found
