@@ -49,6 +49,28 @@ PERSON_END = re.compile("(?:公司|集团|政府|大学|学院|银行|委员会|
 PERSON_HOLDS = re.compile(
     "被查|被抓|被捕|被判|免职|辞职|下台|访华|访美|访问|会面|会晤|握手|建议|回应|发文|落马|去世|出席|调研|投票|签署|宣布|表示|指出|认为|主持|参加|获胜|当选|任命|受贿|起诉|公诉|通缉|绑架|弹劾|取消|敦促|祝贺|介绍|指导|工作|活动|项目|职务"
 )
+# Labels too general to be an entity.
+GENERIC = frozenset(
+    "中国 我国 国内 公司 集团 政府 当地政府 有关部门 相关部门 委员会 大学 学院 医院 研究院 研究所 银行 基金会 交易所 协会 合作社 电视台 通讯社 报社 工作室 中心 管理局 开发区 工业园 产业园 铁路 高铁 公路 "
+    "大桥 机场 港口 地铁 多地法院 改革委员会 集团有限公司 既得利益集团 急救中心 加沙医院 全球最大医院 三甲医院 商业银行 社区卫生服务中心 送往医院 新任国防部 中小银行 另一个犯罪集团 城际铁路 第二条城际高速铁路 "
+    "黑海港口 英国铁路 这个水库 中国国家铁路 中国铁路 重载铁路 此基础上授权基层政府 代表政府 国际非政府 近年来政府 审议国务院关于政府 省级政府 团队去了瑞金医院 未得到政府 我国政府 一些大学 县人民医院 上市银行 "
+    "控股集团 数据中心 研发中心 月子中心 执行法院 农村委员会 发展委员会 顾问委员会 联合政府 联邦政府 方舱医院 疾控中心 标准轨铁路 广州撞大桥 上游水电站 这条铁路 中远海运港口 阿临时政府 野党共同民主党 中国作协会 "
+    "中美商务部 湖北全省各大医院 美国大学 市大数据中心 宪法法院 最高法院 自治区政府 中央政府 特区政府 美国法院 国内首所空天信息大学 时间银行".split()
+)
+# What looks like a person's name and is none.
+PERSON_STOP = frozenset(
+    "国家 中国 美国 俄罗斯 韩国 日本 法国 德国 英国 政府 记者 提问 职务 会议 国家安全 外交部 国防部 商务部 财政部 国务院 委员会 公司 集团 宝座 被打 被双开 常委 大家好 当地时间 董事长兼 访谈 候选人 会简史 会上 将于 "
+    "据报道 了解到 梳理发现 选举 选举结果 邀请 证实 助理 注意到 梳理 从西藏林芝市 董事长 级会议 日前 提出 采访 大选 调查 国务委员 会见 级官员 近日 跨栏进北大 区长 上月初 时期 首次 受审 投诉 团队 性骚扰 最近".split()
+)
+# The class of an event by its first topic, where no class has a keyword in it.
+TOPIC_CLASSES = {
+    "topic-macroeconomy": "economy_business", "topic-public-finance": "policy_governance", "topic-finance": "economy_business", "topic-housing": "society_livelihood", "topic-manufacturing": "economy_business",
+    "topic-digital-economy": "science_technology", "topic-ai": "science_technology", "topic-semiconductor": "science_technology", "topic-energy": "environment_energy", "topic-environment": "environment_energy",
+    "topic-transport": "infrastructure_transport", "topic-agriculture": "society_livelihood", "topic-healthcare": "society_livelihood", "topic-public-health": "public_health", "topic-education": "education_culture",
+    "topic-science": "science_technology", "topic-population": "society_livelihood", "topic-labor": "society_livelihood", "topic-social-security": "society_livelihood", "topic-governance": "policy_governance",
+    "topic-law": "law_justice", "topic-public-safety": "disaster_accident", "topic-international": "international_relations", "topic-defense": "conflict_security", "topic-culture": "education_culture",
+    "topic-consumption": "economy_business", "topic-sports": "education_culture",
+}
 #: Kinds of candidates in the order in which they follow each other in an event.
 KINDS = ("place", "organization", "facility", "policy", "document", "person", "topic", "link")
 CONFIDENCE = {"place": 1.0, "organization": 0.84, "facility": 0.84, "policy": 0.98, "document": 0.98, "person": 0.86, "topic": 1.0, "link": 1.0}
@@ -77,11 +99,11 @@ class Rules:
     person_stop: frozenset = frozenset()
 
     @staticmethod
-    def from_json(text: str, generic=(), person_stop=(), topic_classes=None) -> Rules:
-        """Rules of a JSON object with the archive's field names."""
+    def from_json(text: str, generic=GENERIC, person_stop=PERSON_STOP, topic_classes=None) -> Rules:
+        """Rules of a JSON object with the archive's field names, and the fixed lists beside them."""
         r = json.loads(text)
         return Rules(
-            version=r.get("version", "0"), topics=tuple(r.get("topics", ())), event_classes=tuple(r.get("eventClassification", ())), topic_classes=dict(topic_classes or {}),
+            version=r.get("version", "0"), topics=tuple(r.get("topics", ())), event_classes=tuple(r.get("eventClassification", ())), topic_classes=dict(TOPIC_CLASSES if topic_classes is None else topic_classes),
             places=tuple(r.get("placeAliases", ())), organization_suffixes=tuple(r.get("organizationSuffixes", ())), organization_aliases=tuple(r.get("organizationAliases", ())),
             facility_suffixes=tuple(r.get("facilitySuffixes", ())), person_roles=tuple(r.get("personRoles", ())), reviewed_links=dict(r.get("reviewedNewsEntityLinks", {})),
             region_codes=tuple(r.get("isoRegionCodes", "").split()), generic=frozenset(generic), person_stop=frozenset(person_stop),

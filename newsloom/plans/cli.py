@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import validate as V
-from newsloom.operators.extract import Rules
+from newsloom.operators.extract import Rules, region_names
 from newsloom.operators.segment import OVERRIDES
 from newsloom.plans import lifecycle as C
 from newsloom.plans.pipeline import build_graph, build_news
@@ -50,7 +50,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     overrides = A.read_json(spark, args.overrides, OVERRIDES) if args.overrides else None
     pages = A.require_pages(A.read_pages(spark, args.archive, args.roots, args.limit), args.archive)
     news = build_news(pages, overrides)
-    graph = build_graph(news, rules)
+    graph = build_graph(news, rules, region_names(spark, rules.region_codes))
     versions = C.Versions(rules=rules.version, ontology=ontology.version if ontology else "0", roots=args.roots)
     run = {"bootstrap": C.bootstrap, "rebuild": C.rebuild, "update": C.update}[args.mode]
     try:
