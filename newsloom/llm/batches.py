@@ -48,6 +48,8 @@ BLOCK = 32
 MOST_RUNS = 4
 #: Records of the history in a key range on average; with fewer, there is a range for each core.
 RANGE_RECORDS = 200_000
+#: Pairs with records behind the fronts that a batch takes up at once; more go block by block, with the same result.
+DIRECT = 1_000_000
 #: Rows (id, number) that are broadcast at most, about 30 MB.
 BROADCAST_ROWS = 500_000
 
@@ -340,6 +342,11 @@ class NeighbourhoodIndex:
     def admit(self, pages: DataFrame, match: bool = True) -> DataFrame | None:
         """Merges a batch of FEATURES in, perhaps with an id, and gives its windows(). With match=False the batch
         is history and is only merged in."""
+        number = self.add(pages, match)
+        return self.windows([number]) if match else None
+
+    def add(self, pages: DataFrame, match: bool = True) -> int:
+        """admit(), which gives the number of the batch instead."""
         if not self.ranges:
             cores = self.spark.sparkContext.defaultParallelism
             self.ranges = min(max(cores, -(-pages.count() // RANGE_RECORDS)), 100_000)
@@ -358,7 +365,7 @@ class NeighbourhoodIndex:
         if len(self.runs) - len(self.base) > MOST_RUNS:
             self.compact()
         self._commit()
-        return self.windows([number]) if match else None
+        return number
 
     def _write_run(self, keys: DataFrame, number: int) -> None:
         """A run of (key, kind, ord, late): fronts in their key's range, what is behind them in any."""
@@ -432,8 +439,17 @@ class NeighbourhoodIndex:
         live = self.spark.table(self._runs).where(F.col("run").isin(self.runs))
         tails = live.where(f"kind = {BEHIND} OR kind = {BAND} AND place >= {BLOCK}").select(F.coalesce("band", "key").alias("key"), "ord")
         open_ = own.where(f"kind >= {BAND}").select(F.coalesce("band", "key").alias("key"), F.col("ord").alias("mine"), "kind")
+        sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == BEHIND).alias("late"))
+        size = sizes.join(tails.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum("late").alias("late")).first()
+        if not size.pairs:
+            return
+        band = F.lit(BAND).cast("tinyint").alias("kind")
+        if size.pairs <= DIRECT and not size.late:
+            # so few that blocks would spare nothing
+            self._add_hits(open_.join(tails, "key").where("ord < mine").select(band, "key", "mine", "ord"), number)
+            return
         late = open_.where(f"kind = {BEHIND}").join(fronts.where(f"of = {BAND}").select("key", "ord"), "key").where("ord < mine")
-        self._add_hits(late.select(F.lit(BAND).cast("tinyint").alias("kind"), "key", "mine", "ord"), number)
+        self._add_hits(late.select(band, "key", "mine", "ord"), number)
         found = self._hits([number])
         # a record with the same text, or one that is surely alike, ends a search for what came after it
         bound = found.where("kind = 2").select(F.col("mine"), F.col("ord").alias("known"))
@@ -457,7 +473,7 @@ class NeighbourhoodIndex:
         while longest is not None and lo <= longest:
             block = ranked.where((F.col("place") >= lo) & (F.col("place") < hi)).select("key", "ord")
             window = open_.join(block, "key").where("ord < mine").join(bound, "mine", "left").where("known IS NULL OR ord < known")
-            window = self._add_hits(window.select(F.lit(BAND).cast("tinyint").alias("kind"), "key", "mine", "ord"), number)
+            window = self._add_hits(window.select(band, "key", "mine", "ord"), number)
             if hi <= longest:
                 going = ranked.where(F.col("place") >= hi).groupBy("key").agg(F.min("ord").alias("least"))
                 bound = widened(bound, window.select(F.col("mine").alias("new_ord"), "ord"))
@@ -586,8 +602,7 @@ def take(index: NeighbourhoodIndex, deliveries: DataFrame, texts: DataFrame, dig
     starts, steps = firsts[:: -(-len(firsts) // max(1, admissions or len(firsts))) or 1], []
     for start, end in zip(starts, [*starts[1:], None]):
         those = F.col("ord") >= start if end is None else (F.col("ord") >= start) & (F.col("ord") < end)
-        index.admit(page_features(coming.where(those), texts))
-        steps.append(index.batches[-1])
+        steps.append(index.add(page_features(coming.where(those), texts)))
     return steps
 
 
