@@ -1,10 +1,14 @@
 """Template residue, filler, error pages and script notices in place of an article.
 
-A naive Bayes model over hashed character n-grams of passages is learned from positive and unlabelled
-data by expectation-maximization: passages that a short list of patterns marks as error or placeholder
-text are trusted, all others start as unlabelled. Every round is one pass over whole texts that emits
-mergeable expected counts of fixed size. Passages are then scored and record decisions aggregated: a
-record is residue if nearly all its own content is, or if a finished text has a slot left open.
+A naive Bayes model is learned from positive and unlabelled data by expectation-maximization: passages that
+a short list of patterns marks as error or placeholder text are trusted, all others start as unlabelled.
+Every round is one pass over whole texts that emits mergeable expected counts of fixed size. The model
+has three parts: hashed character n-grams of a passage; the form of its record, which is how much its
+n-grams repeat at its length; and, for a slot, whether it stands in quotation marks and whether its passage
+reports on such marks. While learning, n-grams and form teach each other, so that filler of unknown words
+is found by its form first and by its words afterwards. Passages are then scored and record decisions
+aggregated: a record is residue if nearly all its own content is, or if one of its slots is left open.
+Patterns decide nothing by themselves: they say what is trusted and where a slot is.
 """
 
 from __future__ import annotations
@@ -20,17 +24,27 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of the model; its broadcast has this many floats (1 MB), whatever the corpus.
 BUCKETS = 1 << 17
-ROUNDS = 3
+#: Passes of learning; with one more, the records found change by less than one in a thousand.
+ROUNDS = 2
 #: Prior odds that a passage is residue; pull of a class towards the whole corpus, as a part of its
 #: own counts; how many n-grams of evidence count.
 PRIOR, PULL, EVIDENCE = 0.02, 0.1, 24.0
 #: Part of a record's own content that must be residue.
 RECORD_SHARE = 0.7
+#: Forms of a record: 2 scripts times 8 sizes from 16 words on, doubling, times 5 parts of distinct words with these
+#: bounds; one for smaller records. Words are Latin words and pairs of Han characters.
+PARTS = (0.35, 0.5, 0.65, 0.8)
+FORMS = 16 * (len(PARTS) + 1) + 1
+#: Form teaches n-grams only where it is this sure.
+SURE_FORM = 0.9
+#: Kinds of slots: in quotation marks or not, in a passage that reports on such marks or not.
+SLOTS = 4
+WIDTH = BUCKETS + FORMS + SLOTS + 1
 
 # The ways a template marks a slot.
 SLOT = re.compile(
     r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|#\{[^{}\n]*\}|<%[^%\n]*%>|\{%[^%\n]*%\}|%\(\w+\)[sd]|@@\w+@@|<<\s*\w+\s*>>|«\s*\w+\s*»"
-    r"|(?<!\w)__[A-Z_]+__(?!\w)|(?<![\w_])_{4,}(?![\w_])|\$[A-Z][A-Z_]+\$|\{\d+\}|\{[一-鿿]{1,8}\}|\[(?:请输入|待补|待填|此处)[^\[\]\n]*\]|\[(?:INSERT|insert|your|YOUR|enter|ENTER)\b[^\[\]\n]*\]"
+    r"|(?<![A-Za-z0-9_])__[A-Z_]+__(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])_{4,}(?![A-Za-z0-9_])|\$[A-Z][A-Z_]+\$|\{\d+\}|\{[一-鿿]{1,8}\}|\[(?:请输入|待补|待填|此处)[^\[\]\n]*\]|\[(?:INSERT|insert|your|YOUR|enter|ENTER)\b[^\[\]\n]*\]"
     r"|\[[^\[\]\n]*goes here\]|【(?:此处|请填|请输入|待补|待填)[^【】\n]*】|〔(?:标题|正文|作者|日期|摘要|地点|姓名|编辑|栏目|图注)[^〔〕\n]*〕|（[^（）\n]*(?:请补充|待补充|待填)[^（）\n]*）"
     r"|[XＸ]月[XＸ]日|(?<![A-Za-z0-9XＸ×])[XＸ×]{2,}(?=[一-鿿，。：]|$)|(?<=[一-鿿])[XＸ×]{2,}(?![A-Za-z0-9XＸ×])|\bTK\b(?=\s+\w)|\b(?:TODO|TBD|FIXME)\b"
 )
@@ -48,8 +62,10 @@ ANCHORS = (
     "longer establishing error exception traceback warning maintenance nan null undefined none object (most .py .java 系统繁忙 跳转 下线 服务器 不存在 "
     "找 超时 连接失败 加载失败 参数错误 会话 权限 频繁 稍后 出错 抢修 禁用 关闭 不支持 未启用 js 脚本 占位 示例 请勿发布 排版"
 ).split()
-# Filler that repeats one unit of up to 12 characters, from the passage's start.
-REPEATED = re.compile(r"^(?=[^\W_])(.{2,12}?)(?:[，,。.、 ]{0,2}\1){4}")
+#: A record of this many words or more that has this many different ones at most, each at least twice on average, is
+#: trusted to be filler.
+FILLER_WORDS, FILLER_DISTINCT = 16, 30
+_DIGITS = re.compile(r"\d+")
 _SLOT_START = re.compile(r"[{$#<%@«_\[【〔（XＸ×]|TK|T[OB]D|FIX")
 # Site navigation and footers, which are no content.
 NAVIGATION = re.compile(
@@ -69,23 +85,40 @@ def _powers() -> tuple[int, int, int]:
     return 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd 64-bit multipliers
 
 
-def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, passage) of every character bigram and trigram of the passages, all in one go. Slots
-    are dropped and digits become one digit, so that a form counts and not its filling."""
+def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, passage) of every character trigram of the passages, of bigrams of Han script and runs of five of
+    other scripts, which say less in a character; and (hash, passage) of their words, all in one go. Slots are dropped and digits become one digit, so that a form counts and not its
+    filling."""
     text = "\n".join(SLOT.sub("", p) if _SLOT_START.search(p) else p for p in parts) + "\n\n"
-    cp = np.frombuffer(re.sub(r"\d+", "0", text.lower()).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    cp = np.frombuffer(_DIGITS.sub("0", text.lower() + "\n\n\n").encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     end = cp == 10
     owner = np.cumsum(end)
     a, b, c = (np.uint64(x) for x in _powers())
     with np.errstate(over="ignore"):
-        two = cp[:-2] * a + cp[1:-1] * b
-        three = two * c + cp[2:]
-        mixed = np.concatenate([two, three])
+        two = cp[:-4] * a + cp[1:-3] * b
+        three = two * c + cp[2:-2]
+        five = (three * a + cp[3:-1]) * c + cp[4:]
+        han = (cp >= 0x3400) & (cp <= 0x9FFF)
+        other = cp < 0x2E80
+        keep = [han[:-4] & han[1:-3], ~(end[:-4] | end[1:-3] | end[2:-2])]
+        keep.append(keep[1] & other[:-4] & other[1:-3] & other[2:-2] & other[3:-1] & other[4:] & ~(end[3:-1] | end[4:]))
+        mixed = np.concatenate([x[k] for x, k in zip((two, three, five), keep)])
         mixed ^= mixed >> np.uint64(31)
         mixed *= a
-    inside = ~(end[:-2] | end[1:-1])
-    keep = np.concatenate([inside, inside & ~end[2:]])
-    return (mixed[keep] >> np.uint64(47)).astype(np.int64) % BUCKETS, np.concatenate([owner[:-2], owner[:-2]])[keep]
+    owners = np.concatenate([owner[:-4][k] for k in keep])
+    pair = keep[0]
+    latin = (cp >= 97) & (cp <= 122)
+    start = np.flatnonzero(latin & ~np.append(False, latin[:-1]))
+    words, whose = two[pair], owner[:-4][pair]
+    if len(start):
+        step = np.arange(len(cp) - start[0]) - np.repeat(start - start[0], np.diff(np.append(start, len(cp))))
+        with np.errstate(over="ignore"):
+            letters = np.where(latin, cp, np.uint64(0))[start[0] :] * (step.astype(np.uint64) * b + c)
+            sums = np.add.reduceat(letters, start - start[0])
+        words, whose = np.append(words, sums), np.append(whose, owner[start])
+    # the last bit says the script
+    words = (words * a) >> np.uint64(25) << np.uint64(1) | (np.arange(len(words)) < pair.sum()).astype(np.uint64)
+    return (mixed >> np.uint64(47)).astype(np.int64) % BUCKETS, owners, words, whose
 
 
 def passages(text: str) -> list[str]:
@@ -96,64 +129,73 @@ def passages(text: str) -> list[str]:
     return [p for p in parts if p and not NAVIGATION.match(p)]
 
 
-def open_slots(passage: str) -> int:
-    """Number of slots of a passage, without quotations, that are not reported on."""
-    if not _SLOT_START.search(passage):
-        return 0
-    found = len(SLOT.findall(passage))
-    return 0 if found < 2 and REPORTED.search(passage) else found
+def slots_of(text: str, parts: list[str]) -> tuple[list[int], list[int]]:
+    """The slots of a record by SLOTS: the passage of each, or -1 for one in quotation marks, and its kind."""
+    if not _SLOT_START.search(text) or not SLOT.search(text):
+        return [], []
+    place, kind = [], []
+    for at, part in enumerate(parts):
+        if _SLOT_START.search(part) and (found := len(SLOT.findall(part))):
+            # two slots side by side are not reported on
+            reported = found < 2 and bool(REPORTED.search(part))
+            place += [at] * found
+            kind += [int(reported)] * found
+    own = FENCE.sub("\n", text) if _FENCE_START.search(text) else text
+    for line in own.split("\n"):
+        quoted = sum(len(SLOT.findall(q)) for q in QUOTES.findall(line))
+        place += [-1] * quoted
+        kind += [2 + bool(REPORTED.search(line))] * quoted
+    return place, kind
+
+
+@cache
+def _anchors():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word in ANCHORS:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    return automaton
 
 
-def trusted(passage: str, may: bool = True) -> bool:
-    """`may`: whether the whole text has an anchor, which spares most passages the search."""
-    if len(passage) >= 20 and passage.count(passage[:2]) >= 5 and REPEATED.search(passage):
-        return True
-    return may and bool(TRUSTED.search(passage)) or open_slots(passage) >= 2
+def trusted(passage: str) -> bool:
+    """Whether a passage, apart from its slots, is known to be residue."""
+    return (passage[0] in "45" or next(_anchors().iter(passage.lower()), None) is not None) and bool(TRUSTED.search(passage))
 
 
-def _sure(text: str, parts: list[str]) -> list[bool]:
-    """Which passages are trusted: those that match, if they make up half of the record's content; one such
-    sentence of a longer article is not trusted."""
-    low = text.lower()
-    may = any(a in low for a in ANCHORS) or text.lstrip()[:1] in "45"
-    flags = [trusted(p, may) for p in parts]
+def _sure(parts: list[str], place: list[int]) -> list[bool]:
+    """Which passages are trusted: those that match or have two slots, if they make up half of the record's
+    content; one such sentence of a longer article is not trusted."""
+    flags = [trusted(p) for p in parts]
+    for at in {p for p in place if p >= 0 and place.count(p) >= 2}:
+        flags[at] = True
+    if not any(flags):
+        return flags
     share = sum(len(p) for p, f in zip(parts, flags) if f)
     return flags if 2 * share >= sum(map(len, parts)) else [False] * len(parts)
 
 
-def posteriors(parts: list[str], model: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Probability that each passage is residue. Evidence of overlapping n-grams is not independent:
-    long passages count as EVIDENCE n-grams at most."""
-    bucket, owner = found
-    size = np.bincount(owner, minlength=len(parts))[: len(parts)]
-    total = np.bincount(owner, weights=model[bucket], minlength=len(parts))[: len(parts)]
-    total = total * np.minimum(1.0, EVIDENCE / np.maximum(size, 1))
-    return 1 / (1 + np.exp(-np.clip(np.log(PRIOR / (1 - PRIOR)) + total, -40, 40)))
-
-
-def count_texts(texts: list[str], model: np.ndarray | None, table: np.ndarray) -> None:
-    """Adds the expected n-gram counts of both classes to `table`; the last place counts passages."""
-    parts: list[str] = []
-    sure: list[bool] = []
-    for text in texts:
-        own = passages(text)
-        parts += own
-        sure += _sure(text, own)
-    if not parts:
-        return
-    bucket, owner = found = features(parts)
-    y = np.zeros(len(parts)) if model is None else posteriors(parts, model, found)
-    y[np.array(sure)] = 1.0
-    table[1, :-1] += np.bincount(bucket, weights=y[owner], minlength=BUCKETS)
-    table[0, :-1] += np.bincount(bucket, weights=1 - y[owner], minlength=BUCKETS)
-    table[1, -1] += y.sum()
-    table[0, -1] += (1 - y).sum()
-
-
-def log_odds(table: np.ndarray) -> np.ndarray:
-    """The model of expected counts. Either class is pulled towards the corpus as a whole, so that a
-    rare n-gram says no more for the small class than a frequent one does."""
-    counts = table[:, :-1]
+class Model:
+    """Log-odds of n-gram buckets, of forms, and of slots with their prior."""
+
+    def __init__(self, table: np.ndarray):
+        """`table` has the expected counts of both classes, of each kind of thing side by side."""
+        gram, form, slot = table[:, :BUCKETS], table[:, BUCKETS : BUCKETS + FORMS], table[:, BUCKETS + FORMS : -1]
+        self.gram = _log_odds(gram)
+        # among records of one script and size, so that a short record is no sign in itself
+        self.form = np.append(np.concatenate([_log_odds(x) for x in np.split(form[:, :-1], 16, axis=1)]), 0.0)
+        # quoted or not and reported or not are told apart on their own; half a slot more of each
+        both = slot.reshape(2, 2, 2) + 0.125
+        odds = lambda x: np.log(x[1]) - np.log(x[0])
+        prior, quoted, reported = odds(both.sum(axis=(1, 2))), both.sum(axis=2), both.sum(axis=1)
+        odd_q, odd_r = (odds(x / x.sum(axis=1, keepdims=True)) for x in (quoted, reported))
+        self.slot = np.array([prior + odd_q[k >> 1] + odd_r[k & 1] for k in range(SLOTS)])
+
+
+def _log_odds(counts: np.ndarray) -> np.ndarray:
+    """Either class is pulled towards the corpus as a whole, so that what is rare says no more for the small
+    class than what is frequent does."""
     corpus = counts.sum(axis=0) / max(1.0, counts.sum())
     size = np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
     chance = (counts + PULL * size * corpus) / (size * (1 + PULL))
@@ -163,41 +205,112 @@ def log_odds(table: np.ndarray) -> np.ndarray:
     return odds
 
 
+def _chance(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+
+
+class Chunk:
+    """Some whole records as passages, their n-grams, forms and slots."""
+
+    def __init__(self, texts: list[str]):
+        self.parts: list[str] = []
+        self.sure: list[bool] = []
+        slot_part, slot_kind, slot_record, record = [], [], [], []
+        for at, text in enumerate(texts):
+            own = passages(text)
+            place, kind = slots_of(text, own)
+            slot_part += [len(self.parts) + p if p >= 0 else -1 for p in place]
+            slot_kind += kind
+            slot_record += [at] * len(kind)
+            record += [at] * len(own)
+            self.parts += own
+            self.sure += _sure(own, place)
+        self.records = len(texts)
+        self.record = np.array(record, dtype=np.int64)
+        self.slot_part, self.slot_kind, self.slot_record = (np.array(x, dtype=np.int64) for x in (slot_part, slot_kind, slot_record))
+        self.size = np.fromiter(map(len, self.parts), dtype=np.int64, count=len(self.parts))
+        none = np.empty(0, np.int64)
+        self.bucket, self.owner, words, whose = features(self.parts) if self.parts else (none, none, none.view(np.uint64), none)
+        # of each record, how many words it has and how many different ones
+        whose = self.record[whose].astype(np.uint64)
+        pairs = np.sort((whose << np.uint64(40)) | (words & np.uint64((1 << 40) - 1)))
+        first = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+        total, distinct = (np.bincount((x >> np.uint64(40)).astype(np.int64), minlength=self.records) for x in (pairs, first))
+        han = np.bincount((pairs[pairs & np.uint64(1) == 1] >> np.uint64(40)).astype(np.int64), minlength=self.records)
+        length = np.clip(np.log2(np.maximum(total, 1)).astype(np.int64) - 4, 0, 7) + 8 * (2 * han > total)
+        part = np.searchsorted(PARTS, distinct / np.maximum(total, 1), side="right")
+        filler = (total >= FILLER_WORDS) & (distinct <= FILLER_DISTINCT) & (2 * distinct <= total)
+        self.sure = np.array(self.sure, dtype=bool) | filler[self.record]
+        self.form = np.where(total < 16, FORMS - 1, length * (len(PARTS) + 1) + part)
+
+    def grams(self, model: Model) -> np.ndarray:
+        """Evidence of each passage's n-grams. Overlapping ones are not independent: long passages count as
+        EVIDENCE n-grams at most."""
+        n = len(self.parts)
+        size = np.bincount(self.owner, minlength=n)[:n]
+        total = np.bincount(self.owner, weights=model.gram[self.bucket], minlength=n)[:n]
+        return total * np.minimum(1.0, EVIDENCE / np.maximum(size, 1))
+
+    def add_to(self, table: np.ndarray, model: Model | None) -> None:
+        """Adds the expected counts of both classes. What is trusted stays so; of n-grams and form, the surer
+        one counts."""
+        if not self.parts:
+            return
+        sure, prior = self.sure, np.log(PRIOR / (1 - PRIOR))
+        y, z = np.zeros(len(self.parts)), np.zeros(len(self.slot_kind))
+        if model is not None:
+            form = _chance(prior + model.form[self.form[self.record]])
+            y = np.maximum(_chance(prior + self.grams(model)), np.where(form >= SURE_FORM, form, 0.0))
+            z = _chance(model.slot[self.slot_kind])
+        y[sure] = 1.0
+        z[(self.slot_part >= 0) & sure[self.slot_part]] = 1.0
+        # a record's form counts by the share of its content that is residue
+        size = np.maximum(np.bincount(self.record, weights=self.size, minlength=self.records), 1)
+        share = np.bincount(self.record, weights=self.size * y, minlength=self.records) / size
+        some = np.bincount(self.record, minlength=self.records) > 0
+        for row, of_part, of_record, of_slot in ((1, y, share, z), (0, 1 - y, 1 - share, 1 - z)):
+            table[row, :BUCKETS] += np.bincount(self.bucket, weights=of_part[self.owner], minlength=BUCKETS)
+            table[row, BUCKETS : BUCKETS + FORMS] += np.bincount(self.form[some], weights=of_record[some], minlength=FORMS)
+            table[row, BUCKETS + FORMS : -1] += np.bincount(self.slot_kind, weights=of_slot, minlength=SLOTS)
+            table[row, -1] += of_part.sum()
+
+    def judge(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Of each record the part of its content that is residue, by n-grams and form together, and its open slots."""
+        if not self.parts:
+            return np.zeros(self.records), np.zeros(self.records, dtype=np.int32)
+        bad = np.log(PRIOR / (1 - PRIOR)) + self.grams(model) + model.form[self.form[self.record]] >= 0
+        size = np.maximum(np.bincount(self.record, weights=self.size, minlength=self.records), 1)
+        open_ = model.slot[self.slot_kind] >= 0
+        return np.bincount(self.record, weights=self.size * bad, minlength=self.records) / size, np.bincount(self.slot_record[open_], minlength=self.records).astype(np.int32)
+
+
+#: Records that are worked on at once.
+CHUNK = 128
+
+
 def fit(texts: DataFrame, rounds: int = ROUNDS):
-    """The broadcast log-odds of every bucket, after `rounds` passes over all texts. A pass gives one
-    fixed-size state per task; only states shuffle, and BUCKETS + 1 rows at most reach the driver."""
+    """The broadcast model after `rounds` passes over all texts. A pass gives one fixed-size state per task; only
+    states shuffle, and WIDTH rows at most reach the driver."""
     context, model = texts.sparkSession.sparkContext, None
     for _ in range(rounds):
 
         def count(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            table = np.zeros((2, BUCKETS + 1))
+            table = np.zeros((2, WIDTH))
             for batch in batches:
                 texts = batch["text"].tolist()
-                for at in range(0, len(texts), 256):
-                    count_texts(texts[at : at + 256], model and model.value, table)
+                for at in range(0, len(texts), CHUNK):
+                    Chunk(texts[at : at + CHUNK]).add_to(table, model and model.value)
             kept = np.flatnonzero(table.sum(axis=0))
             yield pd.DataFrame({"bucket": kept, "other": table[0, kept], "residue": table[1, kept]})
 
         states = texts.mapInPandas(count, "bucket bigint, other double, residue double")
         rows = states.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("residue").alias("residue")).toPandas()
-        table = np.zeros((2, BUCKETS + 1))
+        table = np.zeros((2, WIDTH))
         table[0, rows["bucket"]], table[1, rows["bucket"]] = rows["other"], rows["residue"]
-        model = context.broadcast(log_odds(table))
+        model = context.broadcast(Model(table))
     return model
 
 
-def judge(text: str, model: np.ndarray) -> tuple[float, int]:
-    """(part of the content that is residue, open slots)."""
-    parts = passages(text)
-    if not parts:
-        return 0.0, 0
-    slots = np.array([open_slots(p) for p in parts])
-    size = np.array([len(p) for p in parts])
-    sure = np.array(_sure(text, parts))
-    bad = (posteriors(parts, model, features(parts)) >= 0.5) | sure
-    return float(size[bad].sum() / size.sum()), int(slots.sum())
-
-
 def scores(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, share, slots) of every record with text. See residue() for the decision."""
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND trim(text) <> ''")
@@ -205,8 +318,10 @@ def scores(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, *judge(t, model.value)) for d, t in zip(batch["doc_id"], batch["text"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "share", "slots"])
+            for at in range(0, len(batch), CHUNK):
+                part = batch.iloc[at : at + CHUNK]
+                share, slots = Chunk(part["text"].tolist()).judge(model.value)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "share": share, "slots": slots})
 
     return texts.mapInPandas(run, "doc_id bigint, share double, slots int")
 
