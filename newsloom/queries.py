@@ -20,8 +20,8 @@ from newsloom.session import durable, spread, table
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    pairs = hotkeys.mentions(table(spark, root, "kg_events"))
-    return hotkeys.heavy_keys(pairs).select(F.col("entity_id").alias("entityId"))
+    counts = hotkeys.mention_counts(table(spark, root, "kg_events"))
+    return hotkeys.heavy_counts(counts).select(F.col("entity_id").alias("entityId"))
 
 
 P3_PAIRS = """(SELECT DISTINCT id, e FROM (SELECT id, unnest(entityIds) AS e FROM kg_events) WHERE id IS NOT NULL AND e IS NOT NULL)"""
@@ -30,9 +30,7 @@ SELECT e AS entityId FROM {P3_PAIRS} GROUP BY e HAVING count(*) >= 0.01 * (SELEC
 
 
 def p3_counts(spark: SparkSession, root: str) -> DataFrame:
-    return hotkeys.key_counts(hotkeys.mentions(table(spark, root, "kg_events"))).select(
-        F.col("entity_id").alias("entityId"), "mentions"
-    )
+    return hotkeys.mention_counts(table(spark, root, "kg_events")).select(F.col("entity_id").alias("entityId"), "mentions")
 
 
 P3_COUNTS_SQL = f"SELECT e AS entityId, CAST(count(*) AS BIGINT) AS mentions FROM {P3_PAIRS} GROUP BY e"

@@ -12,6 +12,19 @@ def test_mentions_are_distinct_pairs(spark):
     assert rows(H.mentions(events)) == [("a", "x"), ("a", "y"), ("d", "x")]
 
 
+def test_counts_without_pairs(spark, monkeypatch):
+    """Events of one row are counted where they are read, those of several rows by distinct pairs."""
+    events = spark.createDataFrame(
+        [("a", ["x", "x", None, "y"], 1, 1), ("a", ["x", "z"], 2, 2), ("b", [], 0, 0), ("c", None, 0, 0), (None, ["x"], 0, 0), (None, ["x"], 0, 0), ("d", ["x", "x"], 0, 0)]
+        + [(f"e{i}", ["hot", f"k{i}"], 0, 0) for i in range(50)] + [("hot", ["hot"], 0, 0)] * 40, EVENTS,
+    )
+    want = rows(H.key_counts(H.mentions(events)))
+    assert rows(H.mention_counts(events)) == want and ("hot", 51) in want and ("x", 2) in want
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    assert rows(H.mention_counts(events)) == want
+    assert H.mention_counts(events.limit(0)).count() == 0
+
+
 def test_heavy_keys_include_the_exact_share_and_ties(spark):
     pairs = spark.createDataFrame([(str(i), "hot") for i in range(50)] + [(str(i), f"k{i // 25}") for i in range(50)], "event_id string, entity_id string")
     assert rows(H.heavy_keys(pairs, share=0.25)) == [("hot", 50, 100), ("k0", 25, 100), ("k1", 25, 100)]
