@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.session import durable
+
 
 def canonical_path(path: Column) -> Column:
     """A path as relative, with single forward slashes and without `.` steps or outer blanks;
@@ -54,7 +56,8 @@ def changes(
     # a key with several values leaves several residues; they meet as one row a side
     gone = old.exceptAll(new).groupBy("no", "k").agg(F.lit(True).alias("gone"))
     come = new.exceptAll(old).groupBy("no", "k").agg(F.lit(True).alias("come"))
-    found = gone.join(come, ["no", "k"], "full")
+    # both residues are worked out once and are small beside the snapshots
+    found = durable(gone.join(come, ["no", "k"], "full"), "residues")
     # a residue of one side alone may belong to a key that the other side has with another set of values
     lone = found.where("gone IS NULL OR come IS NULL").select("no", "k")
     both = new.select("no", "k").join(lone, ["no", "k"], "left_semi").join(old.select("no", "k"), ["no", "k"], "left_semi")
