@@ -27,6 +27,8 @@ LOOK_ALIKE_LETTERS = {
 LOOK_ALIKE_SIGNS = {
     "-": "‐‑‒–−﹣⁃", "·": "‧∙⋅・•᛫•ꞏ", "'": "’‘ʼ′＇", '"': "“”″", "/": "∕⁄", ":": "∶꞉", "*": "∗", "|": "∣ǀ", "~": "∼〜", "!": "ǃ",
 }
+#: Rows (field, id) that are broadcast at most, about 20 MB.
+BROADCAST_ROWS = 200_000
 BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85                 　"
 INVISIBLE = (
     r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}"
@@ -117,14 +119,16 @@ def look_alike_pairs(strings: DataFrame) -> DataFrame:
     so that a hot spelling (a third of all rows) meets only the other spellings, never itself. Null
     ids or strings are left out; strings that look empty too, as there is nothing to see.
     """
-    looked = with_look(strings.select("field", "id", "raw").where("id IS NOT NULL AND raw IS NOT NULL")).where("look <> ''")
-    keyed = looked.withColumn("k", F.xxhash64("field", "look"))
-    # 16 bytes a row shuffle here, combined on the map side; a collision only lets a group go on
-    mixed = (
-        keyed.select("k", F.xxhash64("raw").alias("r")).groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("k")
-    )
-    rows = keyed.join(mixed, "k", "left_semi").select("field", "look", "raw", "id").distinct()
-    rows = durable(rows, "lookalike")
+    given = strings.select("field", "id", "raw").where("id IS NOT NULL AND raw IS NOT NULL")
+    # every string is normalised once and leaves only hashes; a collision only lets a group go on
+    hashed = with_look(given).where("look <> ''").select("field", "id", F.xxhash64("field", "look").alias("k"), F.xxhash64("raw").alias("r"))
+    hashed = durable(hashed, "looks")
+    mixed = hashed.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("k")
+    some = durable(hashed.join(mixed, "k", "left_semi").select("field", "id").distinct(), "mixed")
+    # strings stay where they are read if the ids that go on are few, and are counted
+    wanted = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+    looked = with_look(given.join(wanted, ["field", "id"], "left_semi")).where("look <> ''")
+    rows = durable(looked.select("field", "look", "raw", "id").distinct(), "lookalike")
     spellings = rows.select("field", "look", "raw").distinct()
     a, b = spellings.withColumnRenamed("raw", "raw_x"), spellings.withColumnRenamed("raw", "raw_y")
     twins = a.join(b, ["field", "look"]).where("raw_x < raw_y").select("field", "raw_x", "raw_y")
