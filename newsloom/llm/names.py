@@ -243,11 +243,13 @@ def names(entities: DataFrame) -> DataFrame:
     return both.where("trim(name) <> ''").distinct().mapInPandas(run, NAMES).distinct()
 
 
-def typo_pairs(cores: DataFrame, on: list[str]) -> DataFrame:
+def typo_pairs(cores: DataFrame, on: list[str], others: DataFrame | None = None) -> DataFrame:
     """(on, core_a, core_b), core_a < core_b: different cores that agree in `on` and are one edit apart:
     a character more, less or other, or two neighbours swapped. Cores of under three characters have no
-    neighbours. `cores` has distinct rows of `on` and core."""
+    neighbours. `cores` has distinct rows of `on` and core; with `others`, one of a pair is from either.
+    Candidates are verified where they meet: only pairs that hold travel on."""
     rows = cores.where(F.length("core") >= 3)
+    theirs = rows if others is None else others.where(F.length("core") >= 3)
     size = F.length("core")
     letters = F.array_join(F.array_sort(F.split("core", "")), "")
     index = rows.select(
@@ -267,16 +269,16 @@ def typo_pairs(cores: DataFrame, on: list[str]) -> DataFrame:
              struct(1 AS s, n AS n, substring(core, 1, CAST(floor(n / 2) AS INT)) AS seg),
              struct(2 AS s, n AS n, right(core, CAST(n - floor(n / 2) AS INT)) AS seg))))"""
     )
-    probe = rows.select(*on, "core", F.explode(F.concat(probes, F.array(F.struct(F.lit(3).alias("s"), size.alias("n"), letters.alias("seg"))))).alias("k"))
+    probe = theirs.select(*on, "core", F.explode(F.concat(probes, F.array(F.struct(F.lit(3).alias("s"), size.alias("n"), letters.alias("seg"))))).alias("k"))
     probe = probe.select(*on, F.col("core").alias("core_b"), "k.s", "k.n", "k.seg").where("seg <> ''")
     near = index.join(probe, [*on, "s", "n", "seg"]).where("core_a <> core_b")
-    near = near.select(*on, F.least("core_a", "core_b").alias("core_a"), F.greatest("core_a", "core_b").alias("core_b")).distinct()
     distance = F.levenshtein("core_a", "core_b", 2)
     swapped = F.expr(
         """exists(sequence(1, length(core_a) - 1), i -> concat(left(core_a, i - 1), substring(core_a, i + 1, 1), substring(core_a, i, 1),
              substring(core_a, i + 2)) = core_b)"""
     )
-    return near.where((distance == 1) | ((distance == 2) & (F.length("core_a") == F.length("core_b")) & swapped))
+    near = near.where((distance == 1) | ((distance == 2) & (F.length("core_a") == F.length("core_b")) & swapped))
+    return near.select(*on, F.least("core_a", "core_b").alias("core_a"), F.greatest("core_a", "core_b").alias("core_b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -330,9 +332,10 @@ def link(entities: DataFrame) -> DataFrame:
     ).distinct()
     whole = durable(_cuts(whole), "whole")
     lone = durable(lone.select("id", "kind", "script", F.col("class").alias("cut"), "part", "core").distinct(), "lone")
-    every = whole.select("kind", "script", "cut", "core").unionByName(lone.select("kind", "script", "cut", "core")).distinct()
-    apart = typo_pairs(every, ["kind", "script", "cut"])
-    spellings = every.select("kind", "script", "cut", "core", F.col("core").alias("as")).unionByName(
+    # a lone name is compared with full names only; these are never compared with each other here
+    alone, full_cores = (x.select("kind", "script", "cut", "core").distinct() for x in (lone, whole))
+    apart = typo_pairs(alone, ["kind", "script", "cut"], full_cores)
+    spellings = alone.withColumn("as", F.col("core")).unionByName(
         apart.select("kind", "script", "cut", F.col("core_a").alias("core"), F.col("core_b").alias("as"))
     ).unionByName(apart.select("kind", "script", "cut", F.col("core_b").alias("core"), F.col("core_a").alias("as")))
     fits = lone.join(spellings, ["kind", "script", "cut", "core"]).join(
