@@ -6,13 +6,17 @@ whole corpus then move the topics to the corpus's own words, of which the labels
 is one E-step in Arrow batches; its sufficient statistics have a fixed size (topics x buckets), are
 combined per task and summed. A document's subjects are read from its topic proportions.
 
-`SUBJECTS` maps topics to subjects; the hashed n-grams of a topic have no terms to list.
+Topics are mapped to subjects through their top terms: `top_buckets` are those a topic has much more of than
+the others, `top_terms` reads them back from the corpus for inspection, and `topic_subjects` gives a topic
+the subject that the labelled texts use its top terms for; a topic whose terms tell of no subject is
+background. Moved topics are thus named by what they have become, not by where they started.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -48,6 +52,8 @@ TELLS = 1.6
 ANCHOR = 0.2
 #: Labelled rows that are used at most; the rest adds nothing to a prior.
 LABELLED = 20_000
+#: Top terms of a topic, and the part of their labelled uses that one subject must have.
+TOP, TELLING_PART = 200, 0.4
 #: A second subject needs this part of the first one's proportion: of the whole, of a title or summary
 #: that stands alone, and of title and summary each.
 SECOND, SECOND_ALONE, SECOND_PART = 0.25, 0.4, 0.2
@@ -85,6 +91,8 @@ def _bodies() -> re.Pattern:
 
 
 _NAMED = _bodies()
+# what ngrams() counts, as texts
+_TERMS = [re.compile(p) for p in ("(?=([\u3400-\u9fff]{2}))", "(?=([\u3400-\u9fff]{3}))", "(?=([a-z \u00c0-\u024f]{5}))")]
 _PLAIN = re.compile(r"[^\x00-\x7f一-鿿。，、；：？！“”‘’（）《》·…—％]")
 
 
@@ -220,22 +228,65 @@ def seed(labelled: list[tuple[str, str, list[str]]]) -> np.ndarray:
     return counts
 
 
-def decide(theta: np.ndarray, mass: np.ndarray) -> list[list[str]]:
-    """The subject of the largest proportion, and a second one that comes near it, in the document as a
-    whole and in both its title and its summary, if it has both."""
+def top_buckets(weights: np.ndarray, most: int = TOP) -> np.ndarray:
+    """(topics x most): of each topic the buckets with the largest weight times log lift over the other topics."""
+    share = weights / weights.sum(axis=1, keepdims=True)
+    score = weights * np.log(np.maximum(share * weights.shape[1], 1e-9))
+    return np.argsort(-score, axis=0, kind="stable")[:most].T
+
+
+def topic_subjects(weights: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The subject of each topic, or -1 for background, through its top terms. `labels` has what n-grams of
+    labelled texts say of the subjects (buckets x subjects)."""
+    uses = np.stack([labels[top].sum(axis=0) for top in top_buckets(weights)])
+    best = uses.argmax(axis=1)
+    part = uses[np.arange(len(uses)), best] / np.maximum(uses.sum(axis=1), 1e-9)
+    return np.where(part >= TELLING_PART, best, -1)
+
+
+def top_terms(documents: DataFrame, weights: np.ndarray, most: int = 20) -> DataFrame:
+    """(topic, rank, term, uses): the n-grams that stand for each topic's top buckets in the corpus, the most
+    frequent one of each bucket, to be inspected. Only n-grams of these few buckets are counted."""
+    top = top_buckets(weights, most)
+    inside = documents.sparkSession.sparkContext.broadcast(set(np.unique(top).tolist()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            uses: Counter = Counter()
+            for title, summary in zip(batch["title"], batch["summary"]):
+                for text in (relevant(title), relevant(summary, False)):
+                    for pattern in _TERMS:
+                        uses.update(pattern.findall(text))
+            rows = [(int(ngrams([t])[0][-1]), t, n) for t, n in uses.items()]
+            yield pd.DataFrame([r for r in rows if r[0] in inside.value], columns=["bucket", "term", "uses"])
+
+    counted = documents.mapInPandas(run, "bucket int, term string, uses bigint").groupBy("bucket", "term").agg(F.sum("uses").alias("uses"))
+    best = counted.groupBy("bucket").agg(F.max(F.struct("uses", "term")).alias("r")).select("bucket", "r.uses", "r.term")
+    places = documents.sparkSession.createDataFrame([(int(k), int(r) + 1, int(b)) for k, row in enumerate(top) for r, b in enumerate(row)], "topic int, rank int, bucket int")
+    return best.join(F.broadcast(places), "bucket").select("topic", "rank", "term", "uses")
+
+
+def decide(theta: np.ndarray, mass: np.ndarray, subject: np.ndarray) -> list[list[str]]:
+    """The subject of the largest proportion, and a second one that comes near it, in the document as a whole
+    and in both its title and its summary, if it has both; `subject` is that of each topic. A document
+    without n-grams has no subject."""
     n = len(SUBJECTS)
-    rank = np.argsort(-theta[:, :n], axis=1, kind="stable")
+    into = np.zeros((len(subject), n), dtype=theta.dtype)
+    into[np.flatnonzero(subject >= 0), subject[subject >= 0]] = 1
+    theta, mass = theta @ into, mass @ into
+    rank = np.argsort(-theta, axis=1, kind="stable")
     row = np.arange(len(theta))
     first, second = rank[:, 0], rank[:, 1]
-    two = (theta[row, second] >= SECOND * theta[row, first]) & (mass[0::2].sum(axis=1) + mass[1::2].sum(axis=1) > 0)
+    some = mass[0::2].sum(axis=1) + mass[1::2].sum(axis=1) > 0
+    two = theta[row, second] >= SECOND * theta[row, first]
     alone = np.zeros(len(theta), dtype=bool)
     for at in (0, 1):
-        part = mass[at::2, :n]
+        part = mass[at::2]
         silent = part[row, first] + part[row, second] < 1
         two &= (part[row, second] >= SECOND_PART * part[row, first]) | silent
         alone |= silent
     two &= ~alone | (theta[row, second] >= SECOND_ALONE * theta[row, first])
-    return [[SUBJECTS[a], SUBJECTS[b]] if t else [SUBJECTS[a]] for a, b, t in zip(first, second, two)]
+    return [([SUBJECTS[a], SUBJECTS[b]] if t else [SUBJECTS[a]]) if s else [] for a, b, t, s in zip(first, second, two, some)]
 
 
 def sufficient(batches: Iterator[pd.DataFrame], weights: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -249,8 +300,8 @@ def sufficient(batches: Iterator[pd.DataFrame], weights: np.ndarray) -> Iterator
     yield pd.DataFrame({"bucket": kept.astype(np.int32), "n": list(statistics[kept].astype(np.float32))})
 
 
-def fit(documents: DataFrame, labelled: DataFrame, passes: int = PASSES) -> np.ndarray:
-    """Topic weights (buckets x topics) of the documents (title, summary). `labelled` has sample_id, title,
+def fit(documents: DataFrame, labelled: DataFrame, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights (buckets x topics) of the documents (title, summary), and each topic's subject. `labelled` has sample_id, title,
     summary and subject; of more than LABELLED rows, those of the least hashes are used."""
     rows = labelled.where("subject IS NOT NULL").groupBy("sample_id").agg(
         F.min("title").alias("title"), F.min("summary").alias("summary"), F.sort_array(F.collect_set("subject")).alias("subjects")
@@ -276,26 +327,27 @@ def fit(documents: DataFrame, labelled: DataFrame, passes: int = PASSES) -> np.n
         shared.unpersist()
         if corpus.sum() > 0:
             counts = corpus + anchor * (ANCHOR * corpus.sum() / max(anchor.sum(), 1e-9))
-    return topic_weights(counts)
+    weights = topic_weights(counts)
+    return weights, topic_subjects(weights, anchor[:, : len(SUBJECTS)])
 
 
 def subjects(events: DataFrame, labelled: DataFrame, passes: int = PASSES) -> DataFrame:
     """(id, subject): one or two subjects of each event, by its title and summary.
 
-    Null and empty titles and summaries count as empty; an event with neither is put under the first
-    subject. Rows that come twice with one id are one record: the one ingested last counts. Whole texts are
+    Null and empty titles and summaries count as empty; an event with neither has no subject. Rows that come twice with one id are one record: the one ingested last counts. Whole texts are
     read. Events without id give nothing; empty tables give no rows.
     """
-    weights = events.sparkSession.sparkContext.broadcast(fit(events.select("title", "summary"), labelled, passes))
+    model = events.sparkSession.sparkContext.broadcast(fit(events.select("title", "summary"), labelled, passes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tells = telling(weights.value)
+        weights, subject = model.value
+        tells = telling(weights)
         for batch in batches:
             names = []
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
                 texts = [relevant(x, t) for pair in zip(part["title"], part["summary"]) for x, t in zip(pair, (True, False))]
-                names += decide(*infer(texts, weights.value, tells=tells))
+                names += decide(*infer(texts, weights, tells=tells), subject)
             yield pd.DataFrame({"id": batch["id"], "ingestedAt": batch["ingestedAt"], "subjects": names})
 
     rows = events.where("id IS NOT NULL").select("id", F.unix_micros(F.col("ingestedAt").cast("timestamp")).alias("ingestedAt"), "title", "summary")

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def test_deliveries_find_the_earliest_page(spark):
         ("b8", text(2)[:40] + text(8)), ("b9", text(9, 60_000)),
     ]
     want = [("b1", "s1"), ("b2", "s1"), ("b3", "s2"), ("b5", "b4"), ("b6", "b4")]
-    for steps in (1, 2):
+    for steps in (1, 2, None):
         assert rows(batches.repeated_deliveries(*tables(spark, sources, coming, raw), canonical_hash, admissions=steps)) == want
 
 
@@ -77,8 +78,11 @@ def test_empty_tables(spark):
     assert rows(batches.repeated_deliveries(*one, canonical_hash)) == [("b1", "s1")]
 
 
-def test_a_third_of_all_pages_alike(spark):
-    """A hot group of different edits of one page, beyond the first block of a stretch, and of exact copies."""
+@pytest.mark.parametrize("direct", [batches.DIRECT, 0])
+def test_a_third_of_all_pages_alike(spark, monkeypatch, direct):
+    """A hot group of different edits of one page, beyond the first block of a stretch, and of exact copies, at once
+    and block by block."""
+    monkeypatch.setattr(batches, "DIRECT", direct)
     base = text(50, 300)
     sources = [(f"s{i:03}", f"x/{i}.md", None) for i in range(80)]
     raw = [(f"s{i:03}", base[:-1] + chr(0x5000 + i) if i % 2 else text(i)) for i in range(80)]
@@ -138,6 +142,81 @@ def test_compaction_keeps_the_result(spark, tmp_path):
     assert sorted(found) == [(i, i % 9) for i in range(9, 30)]
 
 
+def pages_of(spark, first, n, at=0):
+    """FEATURES of n pages with texts of their own."""
+    raw = [(f"p{i}", text(i)) for i in range(first, first + n)]
+    texts = batches.text_features(spark.createDataFrame(raw, "id string, raw string"))
+    pages = spark.createDataFrame([(f"p{i}", at + i, f"q/{i}", None) for i in range(first, first + n)], "id string, ord bigint, path string, digest string")
+    return batches.page_features(pages, texts)
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    root = str(tmp_path / "index")
+    first = batches.NeighbourhoodIndex(spark, root)
+    first.admit(pages_of(spark, 0, 20), match=False)
+    first.admit(pages_of(spark, 20, 5))
+    first.close()
+    # a batch that did not come to its end leaves rows that no manifest names
+    lost = batches.NeighbourhoodIndex(spark, root)
+    lost._write(lost.records([1]).drop("batch"), lost._records, 9, "ord")
+    lost.close()
+    again = batches.NeighbourhoodIndex(spark, root)
+    found = again.admit(pages_of(spark, 3, 20, at=100))
+    assert [r for r in rows(found.where("exact"), "new_ord", "ord")] == [(100 + i, i) for i in range(3, 23)]
+    assert again.spark.table(again._records).count() == 45
+    again.close(delete=True)
+    assert not (tmp_path / "index").exists()
+
+
+def test_only_touched_ranges_are_read(spark, tmp_path):
+    """What a batch reads grows with the ranges that it has keys in, not with the history; nothing but the batch
+    shuffles on the way to its ranges."""
+    import os
+
+    index = batches.NeighbourhoodIndex(spark, str(tmp_path / "index"), ranges=32)
+    schema = batches.FEATURES
+    one = lambda a, b: spark.createDataFrame([(o, o % 2000, None, None, None) for o in range(a, b)], schema)
+    index.admit(one(0, 2000), match=False)
+    found = index.admit(one(4007, 4009))
+    assert rows(found, "new_ord", "ord") == [(4007, 7), (4008, 8)]
+    files = index.touched(index.batches[-1])
+    history = sum(os.path.getsize(f.removeprefix("file://")) for f in spark.table(index._runs).where("run = 1").inputFiles())
+    read = sum(os.path.getsize(f.removeprefix("file://")) for f in files if "run=1" in f)
+    assert 0 < read <= history / 8
+    index.admit(one(5000, 6000))
+    assert index.touched(index.batches[-1]) is None
+    # most ranges: both sides stay where they are
+    live = spark.table(index._runs)
+    mine = live.where("run = 3 AND kind < 4").selectExpr("key", "kind", "ord AS mine").hint("merge")
+    joined = mine.join(live.where("kind < 4 AND place < 32").selectExpr("key", "kind AS of", "ord"), "key").where("kind <= of AND kind >= of")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    index.close()
+
+
+def test_copies_in_a_batch_share_what_the_first_one_meets(spark):
+    """A copy of a delivery has the delivery's near duplicate as its earliest page, even where its path is new, and
+    the delivery itself repeats a later page by its path."""
+    base = text(70, 200)
+    sources = [("s1", "a/1.md", None), ("s2", "a/2.md", None)]
+    coming = [(1, "b1", "a/2.md", None), (1, "b2", "c/2.md", None), (2, "b3", "c/3.md", None)]
+    raw = [("s1", edit(base)), ("s2", text(71)), *((f"b{i}", base) for i in (1, 2, 3))]
+    for steps in (1, None):
+        found = batches.repeated_deliveries(*tables(spark, sources, coming, raw), canonical_hash, admissions=steps)
+        assert rows(found) == [("b1", "s1"), ("b2", "s1"), ("b3", "s1")]
+
+
+def test_the_query_compacts(spark, monkeypatch):
+    """One admission for each of eight batches: runs of batches are merged on the way."""
+    merged = []
+    compact = batches.NeighbourhoodIndex.compact
+    monkeypatch.setattr(batches.NeighbourhoodIndex, "compact", lambda self, *a: merged.append(len(self.runs)) or compact(self, *a))
+    sources = [(f"s{i}", f"x/{i}.md", None) for i in range(8)]
+    coming = [(no, f"b{no}{i}", f"y/{no}/{i}.md", None) for no in range(1, 9) for i in range(3)]
+    raw = [(f"s{i}", text(i)) for i in range(8)] + [(f"b{no}{i}", edit(text(no - 1)) if i == 0 else text(100 + no // 2) if i == 1 else None) for no in range(1, 9) for i in range(3)]
+    found = rows(batches.repeated_deliveries(*tables(spark, sources, coming, raw), canonical_hash))
+    assert merged and found == sorted([(f"b{no}0", f"s{no - 1}") for no in range(1, 9)] + [(f"b{no}1", f"b{no - 1}1") for no in (3, 5, 7)])
+
+
 def test_similarity_estimate():
     import numpy as np
 

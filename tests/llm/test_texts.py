@@ -134,10 +134,27 @@ def test_subjects_follow_the_labels_and_the_corpus(spark):
     right = sum(by_id[e[0]] == {e[0].split("-")[0]} for e in events)
     assert right >= 0.95 * len(events)
     assert by_id["two"] == {"public_health", "law_justice"} and by_id["passing"] == {"public_health"} and by_id["again"] == {"law_justice"}
-    assert len(by_id["null"]) == 1 and None not in by_id
+    assert "null" not in by_id and None not in by_id
     assert subjects.subjects(rows_.limit(0), spark.createDataFrame([], "sample_id bigint, title string, summary string, subject string")).count() == 0
 
 
+def test_topics_are_named_by_their_top_terms(spark):
+    import numpy as np
+
+    labels = spark.createDataFrame([(i, w, w, s) for i, (s, w) in enumerate([("public_health", "疫苗接种"), ("law_justice", "庭审直播")] * 9)], "sample_id bigint, title string, summary string, subject string")
+    texts = spark.createDataFrame([("疫苗接种扩大", "核酸"), ("庭审直播开始", None)] * 20, "title string, summary string")
+    weights, subject = subjects.fit(texts, labels)
+    law, health = subjects.SUBJECTS.index("law_justice"), subjects.SUBJECTS.index("public_health")
+    assert subject[law] == law and subject[health] == health and (subject[len(subjects.SUBJECTS) :] == -1).all()
+    # a topic's place says nothing: exchanged topics keep their subjects
+    order = np.arange(subjects.TOPICS)
+    order[[law, health]] = health, law
+    anchor = subjects.seed([("疫苗接种", "", ["public_health"]), ("庭审直播", "", ["law_justice"])] * 9)[:, : len(subjects.SUBJECTS)]
+    assert subjects.topic_subjects(weights[:, order], anchor)[[law, health]].tolist() == [health, law]
+    terms = {r.topic: r.term for r in subjects.top_terms(texts, weights, 3).where("rank = 1").collect()}
+    assert terms[law] in "庭审直播" and terms[health] in "疫苗接种"
+
+
 def test_proportions_settle():
     import numpy as np
 
