@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.functions.text import UNKNOWN_DATE
+from newsloom.session import durable
 
 
 def retained_positions(values: list) -> list[int]:
@@ -191,10 +192,16 @@ def uniform_sample(events: DataFrame, size: int = 18, selected: str | None = Non
     """At most `size` (id, date) rows of a timeline, at even distances in its order, first and last included;
     a selected event that was missed takes the last but one place (W11).
 
-    `events` is one entity's timeline. Its positions come from one window over (date, id) alone.
+    `events` is one entity's timeline, which may hold a tenth of all rows: it is sorted in ranges, and a row's
+    position is its place in its range behind the sizes of the ranges before, of which there are few.
     """
-    order = W.orderBy("date", "id")
-    numbered = events.select("id", "date").withColumn("_at", F.row_number().over(order) - 1)
+    ranges = events.select("id", "date").repartitionByRange("date", "id").sortWithinPartitions("date", "id")
+    # the upper bits of these numbers are the range, the lower 33 bits the place in it
+    placed = durable(ranges.withColumn("_m", F.monotonically_increasing_id()), "timeline")
+    placed = placed.select("id", "date", F.shiftright("_m", 33).alias("_range"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_place"))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").select("id", "date", (F.col("_before") + F.col("_place")).alias("_at"))
     total = numbered.agg(F.count(F.lit(1)).alias("n"))
     slots = total.select("n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
     place = T.round_half_up(F.col("slot") * (F.col("n") - 1) / F.lit(float(size - 1)))

@@ -227,10 +227,19 @@ def segment_news(spark, root):
     return S.news_of(S.parse_pages(spread(table(spark, root, "raw_pages")))).drop("fragmentText")
 
 
+def latest_pages(spark, root):
+    """(path, raw): of each path the text that was accepted last; of equal times the one with the larger id."""
+    times = table(spark, root, "sources").groupBy("id").agg(F.min("ingestedAt").alias("at"))
+    times = times.unionByName(table(spark, root, "source_batches").groupBy("id").agg(F.min("arrivedAt").alias("at")))
+    raw = table(spark, root, "raw_pages").where("path IS NOT NULL AND raw IS NOT NULL").join(times.groupBy("id").agg(F.min("at").alias("at")), "id", "left")
+    return raw.groupBy("path").agg(F.max_by("raw", F.struct("at", "id")).alias("raw"))
+
+
 @query()
 def news_fragments(spark, root):
-    parsed = S.parse_pages(table(spark, root, "raw_pages").groupBy("path").agg(F.min("raw").alias("raw")))
-    raw = table(spark, root, "raw_pages").groupBy("path").agg(F.min("raw").alias("raw")).select(T.page_id(F.col("path")).alias("pageId"), "raw")
+    pages = durable(latest_pages(spark, root), "pages")
+    parsed = S.parse_pages(spread(pages))
+    raw = pages.select(T.page_id(F.col("path")).alias("pageId"), "raw")
     rows = S.read_fragments(S.news_of(parsed).drop("fragmentText"), raw, strict=False)
     return rows.select("id", "pageId", "intact", F.length("fragmentText").alias("length"))
 
@@ -245,7 +254,30 @@ def page_boundaries(spark, root):
     return table(spark, root, "raw_pages").select("id", count(S.NUMBERED).alias("headings"), count(S.RULE).alias("rules"))
 
 
-@query()
+_LONGEST = f"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT id, episode.series AS series, episode.number AS n, repositoryPath AS path, publishedAt AS date, dateProvenance.source AS source, dateProvenance.resolution AS resolution,
+    date_diff('day', DATE '1970-01-01', TRY_CAST(publishedAt AS DATE)) AS day, episode IS NOT NULL AND episode.series IS NOT NULL AND episode.number IS NOT NULL AS counted FROM {SOURCES}),
+t AS MATERIALIZED (SELECT id, series, n, date, day, row_number() OVER (PARTITION BY series ORDER BY n, path) AS i FROM p WHERE counted AND source NOT IN ('frontmatter', 'unknown') AND date <> '1900-01-01' AND day IS NOT NULL),
+v AS MATERIALIZED (SELECT series, list(date ORDER BY i) AS dates, count(*) AS size FROM t GROUP BY series),
+runs AS (SELECT series, dates, size, 1 AS i, [1] AS lens FROM v UNION ALL
+    SELECT series, dates, size, i + 1, list_append(lens, 1 + coalesce(list_max([CASE WHEN dates[j] <= dates[i + 1] THEN lens[j] ELSE 0 END FOR j IN range(1, i + 1)]), 0)) FROM runs WHERE i < size),
+run AS MATERIALIZED (SELECT series, unnest(lens) AS len, generate_subscripts(lens, 1) AS i FROM runs WHERE i = size),
+x AS MATERIALIZED (SELECT t.*, run.len FROM t JOIN run USING (series, i)),
+kept AS (SELECT series, max(i) AS i, max(len) AS len FROM x WHERE len = (SELECT max(y.len) FROM x y WHERE y.series = x.series) GROUP BY series UNION ALL
+    SELECT k.series, (SELECT min(y.i) FROM x y JOIN x z ON z.series = k.series AND z.i = k.i WHERE y.series = k.series AND y.len = k.len - 1 AND y.i < k.i AND y.date <= z.date), k.len - 1 FROM kept k WHERE k.len > 1),
+a AS MATERIALIZED (SELECT x.id, x.series, x.n, x.day FROM x JOIN kept USING (series, i)),
+steps AS (SELECT series, (day - lag(day) OVER w) / nullif(n - lag(n) OVER w, 0) AS step FROM a WINDOW w AS (PARTITION BY series ORDER BY n, day)),
+pace AS (SELECT series, coalesce(median(step) FILTER (step > 0 AND step <= 14), 2.0) AS days FROM steps GROUP BY series),
+hi AS (SELECT series, n, max(day) AS hi, min(day) AS lo FROM a GROUP BY series, n),
+near AS (SELECT p.*, a.id IS NOT NULL AS anchor, (SELECT max(n) FROM hi WHERE hi.series = p.series AND hi.n < p.n) AS pn, (SELECT min(n) FROM hi WHERE hi.series = p.series AND hi.n > p.n) AS nn FROM p LEFT JOIN a USING (id) WHERE counted),
+d AS (SELECT near.*, b.hi AS pd, c.lo AS nd, coalesce(pace.days, 2.0) AS days FROM near LEFT JOIN hi b ON b.series = near.series AND b.n = pn LEFT JOIN hi c ON c.series = near.series AND c.n = nn LEFT JOIN pace ON pace.series = near.series),
+e AS (SELECT *, CASE WHEN anchor THEN NULL WHEN pn IS NOT NULL AND nn IS NOT NULL THEN pd + floor((nd - pd) * (n - pn) / (nn - pn) + 0.5) WHEN pn IS NOT NULL THEN pd + floor((n - pn) * days + 0.5) WHEN nn IS NOT NULL THEN nd + floor((n - nn) * days + 0.5) END AS moved FROM d)
+SELECT id, coalesce(strftime(DATE '1970-01-01' + CAST(moved AS INTEGER), '%Y-%m-%d'), date) AS publishedAt,
+  CASE WHEN anchor OR (pn IS NULL AND nn IS NULL) THEN 'observed' WHEN pn IS NOT NULL AND nn IS NOT NULL THEN CASE WHEN source IN ('frontmatter', 'unknown') THEN 'interpolated' ELSE 'corrected_sequence_outlier' END ELSE 'extrapolated' END AS resolution FROM e
+UNION ALL SELECT id, date, resolution FROM p WHERE NOT counted"""
+
+
+@query(_LONGEST)
 def reconciled_dates(spark, root):
     return L.reconcile_episode_dates(kg_sources(spark, root)).select("id", "publishedAt", "dateProvenance.resolution")
 
@@ -371,7 +403,16 @@ def timeline_sample(spark, root):
     return L.uniform_sample(kg_events(spark, root).where(F.array_contains("entityIds", hub)))
 
 
-@query()
+_SAMPLE = f"""e AS (SELECT id, row_number() OVER (ORDER BY date, id) - 1 AS pos, count(*) OVER () AS n FROM {EVENTS} WHERE list_contains(entityIds, {_HUB})),
+    p AS (SELECT DISTINCT CASE WHEN n <= 18 THEN i ELSE CAST(floor(i * (n - 1) / 17.0 + 0.5) AS BIGINT) END AS pos FROM (SELECT DISTINCT n FROM e), range(18) t(i)), sample AS (SELECT id FROM e SEMI JOIN p USING (pos))"""
+
+
+@query(
+    f"""{_PRECEDES}, {_SAMPLE}, own AS (SELECT DISTINCT entity_id, event_id FROM {MENTIONS} WHERE event_id IN (SELECT id FROM sample) AND entity_id IS NOT NULL),
+    top AS (SELECT o.entity_id, count(*) AS n FROM own o JOIN {ENTITIES} t ON t.id = o.entity_id WHERE o.entity_id <> {_HUB} GROUP BY o.entity_id, t.label ORDER BY n DESC, t.label COLLATE zh, o.entity_id LIMIT 8)
+    SELECT entity_id AS source, event_id AS target, 'mention' AS kind FROM own WHERE entity_id IN (SELECT entity_id FROM top) OR entity_id = {_HUB}
+    UNION ALL SELECT f, event_id, 'relation' FROM r WHERE k = 1 AND f IN (SELECT id FROM sample) AND event_id IN (SELECT id FROM sample)"""
+)
 def ego_edges(spark, root):
     events, hub = durable(kg_events(spark, root), "events"), _hub(spark, root, "person")
     ego = G.ego_subgraph(events, kg_labels(spark, root), _relations(spark, root), hub)
@@ -385,14 +426,30 @@ def neighbor_relations(spark, root):
     return G.neighbor_relations(relations, node or "").select("from", "to")
 
 
-@query()
+_REACHED = 64  # the paths between these ends have far fewer steps
+
+
+@query(
+    _PRECEDES.replace("WITH m AS", "WITH RECURSIVE m AS", 1)
+    + f""", l AS (SELECT 'relation-' || left(sha1(f || ':' || event_id || ':precedes'), 12) AS id, f AS a, event_id AS b FROM r WHERE k = 1), g AS MATERIALIZED (SELECT id, a, b FROM l UNION ALL SELECT id, b, a FROM l),
+    ends AS (SELECT min(a) AS first, max(b) AS last FROM l),
+    walk AS (SELECT first AS node, 0 AS depth FROM ends UNION SELECT g.b, w.depth + 1 FROM walk w JOIN g ON g.a = w.node WHERE w.depth < {_REACHED}),
+    near AS MATERIALIZED (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+    into_ AS MATERIALIZED (SELECT b AS node, depth, arg_min(id, (id, a)) AS via, arg_min(a, (id, a)) AS parent FROM (SELECT g.b, g.id, g.a, y.depth FROM g JOIN near x ON x.node = g.a JOIN near y ON y.node = g.b AND y.depth = x.depth + 1) GROUP BY b, depth),
+    back AS (SELECT i.* FROM into_ i JOIN ends ON i.node = ends.last UNION ALL SELECT i.* FROM back JOIN into_ i ON i.node = back.parent)
+    SELECT CAST(depth AS INTEGER) AS step, via AS id FROM back"""
+)
 def event_path(spark, root):
     relations = durable(_relations(spark, root), "relations")
     ends = relations.agg(F.min("from"), F.max("to")).first()
     return G.event_path(relations, ends[0] or "", ends[1] or "")
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT id, title, date, sourceIds[1] AS source_id FROM {EVENTS} WHERE list_contains(entityIds, {_HUB}) ORDER BY date DESC, title COLLATE zh, id LIMIT 80)
+    SELECT t.id, t.title, t.date, t.source_id, s.title AS source_title, s.repositoryPath, t.id = (SELECT id FROM t ORDER BY date DESC, title COLLATE zh, id LIMIT 1) AS selected
+    FROM t LEFT JOIN {SOURCES} s ON s.id = t.source_id"""
+)
 def entity_timeline(spark, root):
     return G.entity_detail(kg_events(spark, root), kg_sources(spark, root), _hub(spark, root, "person"))
 
@@ -481,14 +538,12 @@ def rematch_persons(spark, root):
 
 @query()
 def pipeline_events(spark, root):
-    raw = table(spark, root, "raw_pages").where("path IS NOT NULL").groupBy("path").agg(F.min("raw").alias("raw"))
-    return P.build_graph(P.build_news(raw), RULES).events
+    return P.build_graph(P.build_news(latest_pages(spark, root)), RULES).events
 
 
 @query()
 def pipeline_relations(spark, root):
-    raw = table(spark, root, "raw_pages").where("path IS NOT NULL").groupBy("path").agg(F.min("raw").alias("raw"))
-    return P.build_graph(P.build_news(raw), RULES).relations
+    return P.build_graph(P.build_news(latest_pages(spark, root)), RULES).relations
 
 
 # --- search
@@ -502,12 +557,49 @@ def _event_documents(spark, root):
     return Q.event_documents(kg_events(spark, root), kg_entities(spark, root), kg_sources(spark, root), _types(spark), _types(spark))
 
 
-@query()
+def _one_to_one() -> tuple[str, str]:
+    """Characters of the basic plane that compatibility decomposition takes to one other character, and those."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xA0, 0xFFFF) if not 0xD800 <= c < 0xE000]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def sql_search_form(column: str) -> str:
+    """F5 in SQL, but for characters that decompose to several ones without being accented letters."""
+    plain = f"lower(translate(strip_accents(coalesce({column}, '')), {', '.join(map(sql_text, _one_to_one()))}))"
+    return f"regexp_replace({plain}, '[\\p{{M}}\\p{{P}}\\p{{S}}\\p{{Z}}\\s\x1c-\x1f\x85\ufeff]', '', 'g')"
+
+
+_TYPE_TEXTS = "(VALUES ('public_health', 'public_health 公共卫生 '), ('law_justice', 'law_justice 司法 '))"
+_EVENT_DOCS = f"""e AS (SELECT * FROM {EVENTS}), kinds(id, text) AS (SELECT * FROM {_TYPE_TEXTS}),
+    m AS (SELECT id AS event_id, x AS entity_id, min(pos) AS pos FROM (SELECT id, unnest(entityIds) AS x, generate_subscripts(entityIds, 1) AS pos FROM e) GROUP BY ALL),
+    n AS (SELECT event_id, string_agg(concat_ws(' ', t.label, array_to_string(t.aliases, ' '), t.description), ' ' ORDER BY pos) AS entities, string_agg(DISTINCT concat_ws(' ', t.type, k.text), ' ') AS kinds
+        FROM m JOIN {{entities}} t ON t.id = m.entity_id LEFT JOIN kinds k ON k.id = t.type GROUP BY 1),
+    docs AS (SELECT e.id, e.title AS title_, e.date AS date_, {sql_search_form('e.title')} AS title, {sql_search_form('e.summary')} AS summary, {sql_search_form('e.significance')} AS significance, {sql_search_form('n.entities')} AS entities,
+        {sql_search_form("concat_ws(' ', e.type, k.text, n.kinds)")} AS types, {sql_search_form("concat_ws(' ', s.title, s.kind, s.repositoryPath)")} AS source, {sql_search_form('e.date')} AS date
+        FROM e LEFT JOIN n ON n.event_id = e.id LEFT JOIN kinds k ON k.id = e.type LEFT JOIN {SOURCES} s ON s.id = e.sourceIds[1])"""
+
+
+@query(
+    "WITH " + _EVENT_DOCS.replace("{entities}", "(SELECT id, r[1] AS label, regexp_extract(id, '^entity-([a-z]+)-', 1) AS type, r[2] AS aliases, r[3] AS description FROM (SELECT id, min((label, aliases, description)) AS r FROM entities GROUP BY id))")
+    + """, hit AS (SELECT *, concat(title, summary, significance, entities, types, source, date) AS text FROM docs), q AS (SELECT '疫苗接种扩大接种范围' AS phrase)
+    SELECT id, title_ AS title, date_ AS date, CAST(CASE WHEN title = phrase THEN 100 WHEN contains(title, phrase) THEN 40 ELSE 0 END + CASE WHEN contains(summary, phrase) THEN 16 ELSE 0 END
+      + CASE WHEN contains(entities, phrase) THEN 12 ELSE 0 END + CASE WHEN contains(types, phrase) THEN 6 ELSE 0 END + CASE WHEN contains(source, phrase) THEN 3 ELSE 0 END AS INTEGER) AS rank
+    FROM hit, q WHERE contains(text, '疫苗接种') AND contains(text, '扩大接种范围') ORDER BY rank DESC, date_ DESC, title_ COLLATE zh, id LIMIT 60"""
+)
 def keyword_events(spark, root):
     return Q.search_events(_event_documents(spark, root), "疫苗接种 “扩大接种范围”").select("id", "title", "date", "rank")
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT id, r[1] AS label_, r[2] AS aliases, r[3] AS description, r[4].eventCount AS n FROM (SELECT id, min((label, aliases, description, extraction)) AS r FROM entities GROUP BY id)),
+    d AS (SELECT *, {sql_search_form('label_')} AS label, {sql_search_form("array_to_string(aliases, ' ')")} AS others, {sql_search_form('description')} AS about, {sql_search_form("regexp_extract(id, '^entity-([a-z]+)-', 1)")} AS type FROM t)
+    SELECT id, label_ AS label, CAST(coalesce(n, 0) AS BIGINT) AS eventCount, CAST(CASE WHEN label = '研究院' THEN 100 WHEN contains(label, '研究院') THEN 40 ELSE 0 END + CASE WHEN contains(others, '研究院') THEN 24 ELSE 0 END
+      + CASE WHEN contains(type, '研究院') THEN 8 ELSE 0 END + CASE WHEN contains(about, '研究院') THEN 3 ELSE 0 END AS INTEGER) AS rank
+    FROM d WHERE contains(concat(label, others, about, type), '研究院') ORDER BY rank DESC, eventCount DESC, label_ COLLATE zh, id LIMIT 12"""
+)
 def keyword_entities(spark, root):
     return Q.search_entities(Q.entity_documents(kg_entities(spark, root)), "研究院").select("id", "label", "eventCount", "rank")
 
@@ -605,9 +697,41 @@ def projection_diff(spark, root):
     return V.projection_diff(news, events, {"title": "title", "date": "date", "summary": "summary"}).select("news_id", "field")
 
 
-@query()
+def _sql_issue(rows: str, condition: str, path: str, message: str) -> str:
+    return f"SELECT 'error' AS level, {path} AS path, {message} AS message FROM {rows} WHERE {condition}"
+
+
+_NEWS_FIELDS = "id, title, date, datePrecision, summary, pageId, fragment"
+_ISSUES = [
+    ("p", "coalesce(id, '') = ''", "'pages.id'", "'missing ID'"), ("n", "coalesce(id, '') = ''", "'news.id'", "'missing ID'"),
+    *[("p", f"NOT coalesce(regexp_full_match({c}, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), false)", f"'pages.' || id || '.{c}'", "'invalid date'") for c in ("publishedAt", "dateProvenance.observedAt")],
+    ("p", f"NOT coalesce(dateProvenance.source IN {V.DATE_SOURCES}, false)", "'pages.' || id || '.dateProvenance.source'", "'unknown date source'"),
+    ("p", f"NOT coalesce(dateProvenance.resolution IN {V.RESOLUTIONS}, false)", "'pages.' || id || '.dateProvenance.resolution'", "'unknown date resolution'"),
+    ("p", "dateProvenance.resolution = 'observed' AND publishedAt <> dateProvenance.observedAt", "'pages.' || id || '.publishedAt'", "'observed date differs from publishedAt'"),
+    ("p", "episode IS NOT NULL AND NOT coalesce(length(episode.series) > 0, false)", "'pages.' || id || '.episode.series'", "'missing series'"),
+    ("p", "episode IS NOT NULL AND NOT coalesce(episode.number > 0, false)", "'pages.' || id || '.episode.number'", "'episode number must be positive'"),
+    ("(SELECT episode.number AS number FROM p WHERE episode IS NOT NULL GROUP BY episode.series, episode.number HAVING count(*) > 1)", "number IS NOT NULL", "'pages.episode.number'", "'duplicate episode ' || number"),
+    ("(SELECT id, publishedAt, lag(publishedAt) OVER (PARTITION BY episode.series ORDER BY episode.number, repositoryPath) AS b FROM p WHERE episode IS NOT NULL)", "b > publishedAt", "'pages.' || id || '.publishedAt'", "publishedAt || ' comes after ' || b"),
+    ("n", "pageId IS NOT NULL AND pageId NOT IN (SELECT id FROM p)", "'news.' || id || '.pageId'", "'missing page ' || pageId"),
+    ("n", "trim(coalesce(title, ''), ' ') = ''", "'news.' || id || '.title'", "'empty title'"),
+    ("n", "NOT coalesce(regexp_full_match(date, '\\d{4}-\\d{2}-\\d{2}'), false)", "'news.' || id || '.date'", "'invalid date'"),
+    ("n", f"NOT coalesce(datePrecision IN {V.PRECISIONS}, false)", "'news.' || id || '.datePrecision'", "'unknown date precision'"),
+    ("(SELECT n.id, n.date, p.publishedAt AS d FROM n JOIN p ON p.id = n.pageId WHERE p.episode IS NOT NULL)", "date <> d", "'news.' || id || '.date'", "'episode news date differs from its page'"),
+    ("n", "NOT coalesce(fragment.startLine >= 1 AND fragment.endLine >= fragment.startLine, false)", "'news.' || id || '.fragment'", "'invalid line range'"),
+    ("n", "NOT coalesce(fragment.startColumn IS NULL OR (fragment.startColumn >= 1 AND fragment.endColumn >= fragment.startColumn), false)", "'news.' || id || '.fragment'", "'invalid column range'"),
+    ("n", "NOT coalesce(regexp_full_match(fragment.contentHash, '[0-9a-f]{64}'), false)", "'news.' || id || '.fragment.contentHash'", "'invalid sha256'"),
+    ("(SELECT min(id) AS id FROM n GROUP BY pageId, fragment.sourceField, fragment.startLine, fragment.endLine, fragment.startColumn, fragment.endColumn HAVING count(*) > 1)", "true", "'news.' || id || '.fragment'", "'duplicate fragment'"),
+]
+
+
+@query(
+    f"WITH p AS (SELECT * FROM {SOURCES}), n AS (SELECT id, min(({_NEWS_FIELDS})) AS r FROM news GROUP BY id), ".replace("n AS (", "n0 AS (")
+    + f"n AS (SELECT id, {', '.join(f'r[{i}] AS {c}' for i, c in enumerate(_NEWS_FIELDS.split(', '), 1) if c != 'id')} FROM n0) "
+    + " UNION ALL ".join(_sql_issue(*i) for i in _ISSUES)
+)
 def validate_news(spark, root):
-    return V.validate_news(kg_sources(spark, root), table(spark, root, "news").dropDuplicates(["id"]))
+    news = table(spark, root, "news").groupBy("id").agg(F.min(F.struct(*_NEWS_FIELDS.split(", "))).alias("r")).select("r.*")
+    return V.validate_news(kg_sources(spark, root), news)
 
 
 _TYPES = ("public_health", "law_justice", "other", "never_used")
@@ -670,3 +794,60 @@ def segmentation_totals(spark, root):
 @query(f"SELECT id, newsId, title, sourceIds[1] AS pageId FROM {EVENTS} WHERE type = 'other' ORDER BY id LIMIT 100")
 def review_sample(spark, root):
     return R.review_sample(kg_events(spark, root))
+
+
+# --- orders, limits and small operators
+
+
+@query(f"SELECT id FROM {EVENTS} WHERE type = 'public_health' ORDER BY date DESC, title COLLATE zh, id LIMIT 60")
+def facet_newest(spark, root):
+    return Q.facet_filter(kg_events(spark, root), Q.Facets("public_health")).select("id")
+
+
+_ENTITY_ROWS = "(SELECT id, r[1] AS label, regexp_extract(id, '^entity-([a-z]+)-', 1) AS type, r[2] AS aliases, r[3] AS description, r[4] AS extraction FROM (SELECT id, min((label, regexp_extract(id, '^entity-([a-z]+)-', 1), aliases, description, extraction)) AS r0, min((label, aliases, description, extraction)) AS r FROM entities GROUP BY id))"
+
+
+@query(f"SELECT id, label FROM {_ENTITY_ROWS} ORDER BY coalesce(extraction.eventCount, 0) DESC, label COLLATE zh, id LIMIT 200")
+def entities_by_count(spark, root):
+    return Q.ranked_entities(kg_entities(spark, root)).select("id", "label").limit(200)
+
+
+@query(
+    f"""SELECT id FROM {_ENTITY_ROWS} WHERE type = 'organization' AND contains(lower(concat_ws(' ', label, array_to_string(aliases, ' '), description)), 'institute')
+    ORDER BY coalesce(extraction.eventCount, 0) DESC, label COLLATE zh, id LIMIT 24"""
+)
+def picker_best(spark, root):
+    return Q.pick_entities(kg_entities(spark, root), "organization", "institute").select("id")
+
+
+@query(f"SELECT id, date FROM {EVENTS} WHERE list_contains(entityIds, {_HUB}) ORDER BY date, id")
+def hub_events(spark, root):
+    return G.entity_events(kg_events(spark, root), _hub(spark, root, "person")).select("id", "date")
+
+
+@query("SELECT DISTINCT id, regexp_extract(id, '^entity-([a-z]+)-', 1) || ':' || lower(" + sql_replace("coalesce(label, '')", rf"[{T.WS_CHARS}《》“”\"'（）()_\-]") + ") AS key FROM entities WHERE id IS NOT NULL")
+def entity_keys(spark, root):
+    e = table(spark, root, "entities").where("id IS NOT NULL")
+    return e.select("id", T.entity_key(F.regexp_extract("id", "^entity-([a-z]+)-", 1), F.col("label")).alias("key")).distinct()
+
+
+@query(
+    f"""WITH p AS (SELECT id, publishedAt AS d FROM {SOURCES} WHERE episode IS NOT NULL), n AS (SELECT DISTINCT id, pageId, date, datePrecision FROM news)
+    SELECT n.id, coalesce(p.d, n.date) AS date, CASE WHEN p.d IS NULL THEN n.datePrecision WHEN p.d LIKE '%-01-01' THEN 'year' ELSE 'day' END AS datePrecision FROM n LEFT JOIN p ON p.id = n.pageId"""
+)
+def pushed_dates(spark, root):
+    news = table(spark, root, "news").select("id", "pageId", "date", "datePrecision").distinct()
+    return L.push_dates(news, kg_sources(spark, root)).select("id", "date", "datePrecision")
+
+
+_LABELS = (("public_health", "公共卫生"), ("law_justice", "司法"))
+
+
+@query(f"SELECT e.id, coalesce(l.label, e.type) AS typeLabel FROM {EVENTS} e LEFT JOIN (VALUES {', '.join(f'({sql_text(a)}, {sql_text(b)})' for a, b in _LABELS)}) l(id, label) ON l.id = e.type")
+def type_labels(spark, root):
+    return G.with_labels(kg_events(spark, root), spark.createDataFrame(list(_LABELS), "id string, label string")).select("id", "typeLabel")
+
+
+@query(f"{_PRECEDES} SELECT t.id, CAST(count(r.event_id) AS BIGINT) AS n FROM (VALUES ('precedes'), ('causes')) t(id) LEFT JOIN (SELECT event_id FROM r WHERE k = 1) r ON t.id = 'precedes' GROUP BY 1")
+def relation_type_counts(spark, root):
+    return R.relation_counts(spark.createDataFrame([("precedes",), ("causes",)], "id string"), _relations(spark, root))
