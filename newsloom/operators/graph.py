@@ -29,19 +29,23 @@ DESCRIPTIONS = {
 OTHER_DESCRIPTION = "由确定性规则从存档中识别。"
 
 
-def candidate_stats(candidates: DataFrame) -> DataFrame:
+def candidate_stats(candidates: DataFrame, ingested: DataFrame | None = None) -> DataFrame:
     """One row per key of candidates (event_id, ord, key, type, label, aliases, method, confidence, prominent):
     label of the first, method of the first of highest confidence, all aliases, distinct events (A1).
 
-    `ord` orders candidates over all events. Every state but the aliases has a fixed size; aliases are
+    "First" is in the order of `ingested` (event_id, seq), such as a page's path and the place in it, or of ids if
+    it isn't given; `ord` orders the candidates of one event. Every state but the aliases has a fixed size; aliases are
     distinct before they are gathered, and come from rules, not from texts.
     """
-    first = F.min_by("label", F.struct("event_id", "ord"))
-    best = F.min_by("method", F.struct(-F.col("confidence"), F.col("event_id"), F.col("ord")))
+    order = F.struct(*(["seq"] if ingested is not None else []), "event_id", "ord")
+    first = F.min_by("label", order)
+    best = F.min_by("method", F.struct(-F.col("confidence"), order))
     facts = candidates.groupBy("key", "event_id").agg(
         F.first("type").alias("type"), F.min("ord").alias("ord"), F.min_by("label", "ord").alias("label"), F.max("confidence").alias("confidence"),
         F.min_by("method", F.struct(-F.col("confidence"), F.col("ord"))).alias("method"), F.bool_or("prominent").alias("prominent"),
     )
+    if ingested is not None:
+        facts = facts.join(ingested.select("event_id", "seq"), "event_id", "left")
     stats = facts.groupBy("key").agg(
         F.first("type").alias("type"), first.alias("label"), best.alias("method"), F.max("confidence").alias("confidence"),
         F.bool_or("prominent").alias("prominent"), F.count(F.lit(1)).alias("eventCount"),

@@ -65,7 +65,9 @@ def build_graph(data: NewsData, rules: X.Rules, regions: list[str] = ()) -> Grap
     texts = news.join(data.fragments.withColumnRenamed("news_id", "id"), "id", "left")
     texts = durable(texts.select("event_id", F.col("id").alias("news_id"), headline.alias("headline"), F.concat_ws("\n", headline, "text").alias("text")), "texts")
     candidates = durable(X.extract_candidates(texts, rules, regions), "candidates")
-    stats = G.candidate_stats(candidates).where(G.should_keep(F.col("type"), F.col("method"), F.col("eventCount"), F.col("prominent")))
+    paths = data.pages.select(F.col("id").alias("pageId"), "repositoryPath")
+    ingested = news.join(paths, "pageId").select("event_id", F.struct("repositoryPath", "fragment.ordinal").alias("seq"))
+    stats = G.candidate_stats(candidates, ingested).where(G.should_keep(F.col("type"), F.col("method"), F.col("eventCount"), F.col("prominent")))
     provisional = durable(G.materialize_entities(stats), "entities")
     kept = candidates.join(provisional.select("key", F.col("id").alias("entity_id")), "key").select("event_id", "ord", "entity_id")
     own = kept.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "entity_id"))), lambda x: x["entity_id"]).alias("entityIds"))

@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -109,12 +110,13 @@ def list_paths(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().toString() for x in files.listStatus(place)) if files.exists(place) else []
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, there as a whole or not at all."""
+def write_text(spark: SparkSession, path: str, texts: str | Iterable[str]) -> None:
+    """One file, of a text or of pieces that come one by one; there as a whole or not at all."""
     files, place = _files(spark, path)
     part = place.suffix(".part")
     out = files.create(part, True)
-    out.write(bytearray(text.encode()))
+    for text in [texts] if isinstance(texts, str) else texts:
+        out.write(bytearray(text.encode()))
     out.close()
     if files.exists(place):
         files.delete(place, False)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import write_text
+
 #: Folders of an archive that hold pages.
 ROOTS = ("daily", "main", "reference", "business", "commercial", "opinion", "book", "livestream")
 
@@ -78,6 +81,22 @@ def write_table(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     rows.write.mode(mode).format(fmt).partitionBy(*partition_by).save(path)
 
 
+def write_json_document(rows: DataFrame, path: str, order: list[str], indent: int = 2) -> None:
+    """All rows as one indented JSON array in one file, in the given order (S8): for a published graph that
+    people read. Parts of the table come one by one, so the driver holds one part at a time; there as a whole
+    or not at all. An empty table is an empty array. For tables of any size use write_table()."""
+
+    def texts():
+        between = "[\n"
+        for row in to_json_rows(rows.orderBy(*order)).toLocalIterator():
+            shown = json.dumps(json.loads(row.value), ensure_ascii=False, indent=indent)
+            yield between + "\n".join(" " * indent + line for line in shown.split("\n"))
+            between = ",\n"
+        yield "[]\n" if between == "[\n" else "\n]\n"
+
+    write_text(rows.sparkSession, path, texts())
+
+
 def to_json_rows(rows: DataFrame) -> DataFrame:
     """(value): each row as a JSON object, for exports (S10). Null fields are kept."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))

@@ -69,6 +69,10 @@ CANDIDATES = [
 def test_statistics_and_support(spark):
     stats = G.candidate_stats(spark.createDataFrame(CANDIDATES, X.CANDIDATES))
     assert rows(stats, "key", "label", "method", "confidence", "prominent", "eventCount", "aliases")[0] == ("k1", "甲", "reviewed_news_link", 1.0, True, 2, ["a", "b"])
+    # the event that was ingested first, whatever its id
+    ingested = spark.createDataFrame([("e1", "b.md"), ("e2", "a.md")], "event_id string, seq string")
+    later = G.candidate_stats(spark.createDataFrame(CANDIDATES, X.CANDIDATES), ingested)
+    assert rows(later, "key", "label")[0] == ("k1", "甲甲") and later.count() == 3
     kept = stats.where(G.should_keep(F.col("type"), F.col("method"), F.col("eventCount"), F.col("prominent")))
     assert rows(kept, "key") == [("k1",), ("k3",)]
     made = G.materialize_entities(kept)
@@ -76,6 +80,19 @@ def test_statistics_and_support(spark):
     assert G.candidate_stats(spark.createDataFrame([], X.CANDIDATES)).count() == 0
 
 
+def test_fixed_lists_are_the_default(spark):
+    rules = X.Rules.from_json(
+        """{"topics": [{"id": "topic-energy", "label": "能源", "keywords": ["光伏组件"]}], "organizationSuffixes": ["政府", "商务部"], "personRoles": ["记者", "官员"],
+        "facilitySuffixes": ["铁路"], "isoRegionCodes": "FR XX"}"""
+    )
+    text = "省级政府在这条铁路旁说，记者采访。双林市政府回应。"
+    found = X.extract_candidates(spark.createDataFrame([("e", "n", text, text)], "event_id string, news_id string, headline string, text string"), rules)
+    assert {r.label for r in found.collect()} == {"双林市政府"}
+    texts = spark.createDataFrame([("光伏组件降价", "")], "headline string, text string")
+    assert X.classify_events(texts, rules).first()["class"] == "environment_energy"
+    assert X.region_names(spark, rules.region_codes) == ["法国"]
+
+
 EVENTS = "id string, date string, title string, entityIds array<string>, sourceIds array<string>"
 
 

@@ -83,6 +83,19 @@ def test_sources(spark, archive, tmp_path):
     assert (args.mode, args.archive, args.roots) == ("update", "x", ("daily", "main"))
 
 
+def test_json_document(spark, tmp_path):
+    import json
+
+    rows_ = spark.createDataFrame([("b", None, ["x"]), ("a", 1, [])], "id string, n int, l array<string>")
+    path = str(tmp_path / "graph.json")
+    for _ in range(2):  # written again in place
+        A.write_json_document(rows_, path, ["id"])
+    text = (tmp_path / "graph.json").read_text()
+    assert json.loads(text) == [{"id": "a", "n": 1, "l": []}, {"id": "b", "n": None, "l": ["x"]}] and text.startswith('[\n  {\n    "id": "a",')
+    A.write_json_document(rows_.limit(0), path, ["id"])
+    assert (tmp_path / "graph.json").read_text() == "[]\n"
+
+
 def test_lifecycle_is_append_only(spark, archive, built, tmp_path):
     state, versions = str(tmp_path / "state"), C.Versions(rules="1", roots=("daily",))
     first = built[:3]
