@@ -31,7 +31,9 @@ def append_batches(pages: DataFrame, store: str, checkpoint: str, conventions: C
 
     def accept(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.where("path IS NOT NULL").dropDuplicates(["path"]).withColumn("hash", F.sha2("raw", 256))
+        # of several texts of one path in a batch the one with the least hash, so that a batch run again gives the same
+        batch = batch.where("path IS NOT NULL").withColumn("hash", F.sha2("raw", 256))
+        batch = batch.groupBy("path").agg(F.min(F.struct("hash", "raw")).alias("r")).select("path", "r.hash", "r.raw")
         manifest = _manifest(spark, store, number)
         # pages that this batch doesn't bring are still there
         current = manifest.join(batch.select("path"), "path", "left_anti").unionByName(batch.select("path", "hash"))
