@@ -189,11 +189,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     half of an item's passage, its place in the original text and the part of the passage.
 
     Null, empty and blank texts and passages give nothing; a repeated row of the corpus gives its
-    row again only if its doc_id differs; whole texts are scanned. The items go to the executors in
+    row again only if its doc_id differs; of an item_id with several passages the least one is looked for; whole texts are scanned. The items go to the executors in
     blocks of BLOCK_ITEMS at most, so what is broadcast has a bound and no item is left out.
     """
     wanted = items.select("item_id", "passage", "question").where("item_id IS NOT NULL AND passage IS NOT NULL")
-    wanted = wanted.dropDuplicates(["item_id"])
+    wanted = wanted.groupBy("item_id").agg(F.min(F.struct("passage", "question")).alias("r")).select("item_id", "r.*")
     blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
     out = None
     for b in range(blocks):
@@ -210,4 +210,6 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         part = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(scan, SPANS)
         out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(["doc_id", "item_id"])
+    # of several texts of one doc_id the largest part counts, of equal ones the first place
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))).alias("r"))
+    return best.select("doc_id", "item_id", (-F.col("r.s")).alias("start"), (-F.col("r.e")).alias("end"), F.col("r.share").alias("share"))
