@@ -43,6 +43,9 @@ BUCKETS = 1 << 16
 PASSES, ALPHA = 1, 0.1
 #: A document's inner steps end when no proportion moves by more than this.
 SETTLED = 1e-3
+#: N-grams whose inner steps are taken together, filled up to the longest document (1 MB of weights), and documents
+#: that are read at once.
+CELLS, ROWS = 1 << 14, 2048
 #: Prior occurrences of an n-gram, spread over the topics by their size: a rare one, such as part of a
 #: name, says little.
 ETA = 2.0
@@ -71,7 +74,7 @@ _BODY = re.compile(
     r"|\b(?:[A-Z][\w.'-]+,? (?:of )?){2,}(?:[A-Z][\w.'-]+)|\b[A-Z][\w'-]+ [A-Z][\w.'-]*(?=[:,])"
 )
 # What a text with the name of a body holds, in lower case, to look for before names.
-_NAMES = ("公司", "集团", "委员会", "管委会", "协会", "基金会", "研究院", "研究所", "分院", "company", "corp", "group", "committee", "association", "foundation", "institute", "limited")
+_NAMES = re.compile("公司|集团|委员会|管委会|协会|基金会|研究院|研究所|分院|company|corp|group|committee|association|foundation|institute|limited")
 
 
 def _bodies() -> re.Pattern:
@@ -101,18 +104,24 @@ def _forms() -> dict:
     return str.maketrans(*translation())
 
 
+def _may_mention(text: str, low: str) -> bool:
+    """Whether a text has a part that every match of MENTIONED has; the search itself is slow."""
+    return "至于" in text or "本条" in text or "本文" in text or " about" in low or " here" in low or "not the " in low
+
+
 def relevant(text: str | None, title: bool = True) -> str:
     """A text in one form and lower case, without sentences that only mention a subject in passing and without
     names of bodies; null is empty."""
     text = text or ""
     if _PLAIN.search(text):
         text = unicodedata.normalize("NFC", _FORMAT.sub("", text).translate(_forms()))
-    if MENTIONED.search(text):
-        text = "\n".join(s for s in _SENTENCE.split(text) if not MENTIONED.search(s))
     low = text.lower()
+    if _may_mention(text, low) and MENTIONED.search(text):
+        text = "\n".join(s for s in _SENTENCE.split(text) if not MENTIONED.search(s))
+        low = text.lower()
     if title:
         low = _BODY.sub(" ", text).lower()
-    elif any(name in low for name in _NAMES):  # few summaries have one
+    elif _NAMES.search(low):  # few summaries have one
         low = _NAMED.sub(" ", text).lower()
     return _DROP.sub("0", low).replace("\0", " ")
 
@@ -151,51 +160,67 @@ def infer(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Topic proportions and expected n-grams by topic of each document under exp(E[log beta]) =
     `weights` (buckets x topics). `texts` has title and summary of every document in turn; the second
-    result has a row for each of them. Adds the expected counts to `statistics`. Documents without
-    n-grams are uniform."""
+    result has a row for each of them. With `statistics`, the expected counts are added to it, by bucket,
+    and the second result is left at zero. Documents without n-grams are uniform.
+
+    Documents of nearly one length are taken together, as products of small matrices that stay in a core's cache
+    while they settle; one of more than `CELLS` n-grams is taken alone."""
     bucket, part = ngrams(texts)
     # 16-bit keys are sorted by counting
     order = np.argsort(part.astype(np.uint16) if len(texts) < 1 << 16 else part, kind="stable")
     bucket, part = bucket[order], part[order]
-    owner = part >> 1
     topics = weights.shape[1]
-    parts = np.bincount(part, minlength=len(texts))
     theta = np.full((len(texts) // 2, topics), 1 / topics, dtype=np.float32)
     mass = np.zeros((len(texts), topics), dtype=np.float32)
-    some = np.flatnonzero(parts)
-    if not len(some):
-        return theta, mass
-    keep = (telling(weights) if tells is None else tells)[bucket]
-    told, whose = bucket[keep], owner[keep]
-    if len(told):
-        count = np.bincount(whose, minlength=len(theta))
-        has = np.flatnonzero(count)
-        start = (np.cumsum(count) - count)[has]
-        own, at, active = weights[told], np.repeat(np.arange(len(has)), count[has]), has
+    place = np.flatnonzero((telling(weights) if tells is None else tells)[bucket])
+    told = bucket[place]
+    parts = np.bincount(part[place], minlength=len(texts)).reshape(-1, 2)
+    count = parts.sum(axis=1)
+    start = np.cumsum(count) - count
+    scale = np.zeros(len(bucket), dtype=np.float32)  # of each n-gram, 1 / (weights . theta)
+    ranked = np.argsort(count, kind="stable")
+    ranked = ranked[count[ranked] > 0]
+    while len(ranked):
+        longest = count[ranked[-1]]
+        ranked, group = np.split(ranked, [-max(1, CELLS // longest)]) if CELLS // longest < len(ranked) else (ranked[:0], ranked)
+        slot = np.arange(longest)
+        real = slot < count[group][:, None]
+        at = np.where(real, start[group][:, None] + slot, 0)
+        own = weights.take(told[at], axis=0)
+        own[~real] = 0
+        whole = own = np.ascontiguousarray(own.transpose(0, 2, 1))
+        active, found = np.arange(len(group)), theta[group]
         while len(active):
-            old = theta[active]
-            weight = own / np.einsum("ij,ij->i", own, old[at])[:, None]
-            gamma = old * np.add.reduceat(weight, start, axis=0) + np.float32(ALPHA)
-            theta[active] = gamma / gamma.sum(axis=1, keepdims=True)
-            moves = np.abs(theta[active] - old).max(axis=1) > SETTLED
-            if 2 * moves.sum() <= len(active):  # settled documents leave, once they are worth a copy
-                own, size = own[moves[at]], np.bincount(at, minlength=len(active))[moves]
-                active, start, at = active[moves], np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
-    told, whose, segment = (bucket, owner, part) if statistics is not None else (told, whose, part[keep])
-    if len(told):
-        share = weights[told] * theta[whose]
-        share /= share.sum(axis=1, keepdims=True)
-        count = np.bincount(segment, minlength=len(mass))
-        has = np.flatnonzero(count)
-        mass[has] = np.add.reduceat(share, (np.cumsum(count) - count)[has], axis=0)
+            old = found[active]
+            gamma = old * (own @ _inverse(old, own)[:, :, None])[:, :, 0] + np.float32(ALPHA)
+            found[active] = gamma = gamma / gamma.sum(axis=1, keepdims=True)
+            moves = np.abs(gamma - old).max(axis=1) > SETTLED
+            if 4 * moves.sum() <= len(active):  # settled documents leave, once they are worth a copy
+                own, active = own[moves], active[moves]
+        theta[group] = found
+        inverse = _inverse(found, whole)
         if statistics is not None:
-            order = np.argsort(told.astype(np.uint16), kind="stable")
-            at = told[order]
-            edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            statistics[at[edge]] += np.add.reduceat(share[order], edge, axis=0)
+            scale[place[at[real]]] = inverse[real]
+        else:
+            title = slot < parts[group, :1]
+            share = whole @ np.stack([inverse * title, inverse * ~title], axis=2)
+            mass[2 * group], mass[2 * group + 1] = found * share[:, :, 0], found * share[:, :, 1]
+    if statistics is not None and len(bucket):
+        rest = np.ones(len(bucket), dtype=bool)
+        rest[place] = False
+        rest = np.flatnonzero(rest)
+        scale[rest] = 1 / np.einsum("ij,ij->i", weights[bucket[rest]], theta[part[rest] >> 1])
+        each = np.bincount(part >> 1, minlength=len(theta))
+        for k in range(topics):
+            statistics[:, k] += weights[:, k] * np.bincount(bucket, np.repeat(theta[:, k], each) * scale, len(weights))
     return theta, mass
 
 
+def _inverse(theta: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """1 / (weights . theta) of the n-grams of documents; what only fills a row up has no weights."""
+    return 1 / np.maximum((theta[:, None, :] @ own)[:, 0], np.float32(1e-30))
+
+
 def topic_weights(counts: np.ndarray) -> np.ndarray:
     """The topics' n-gram weights, exp(E[log beta]) up to a factor per topic, of expected counts (buckets x
     topics). The prior is large enough for exp(digamma(x)) to be x - 1/2 where counts matter."""
@@ -289,13 +314,16 @@ def decide(theta: np.ndarray, mass: np.ndarray, subject: np.ndarray) -> list[lis
     return [([SUBJECTS[a], SUBJECTS[b]] if t else [SUBJECTS[a]]) if s else [] for a, b, t, s in zip(first, second, two, some)]
 
 
+def _texts(batch: pd.DataFrame) -> list[str]:
+    return [x for title, summary in zip(batch["title"], batch["summary"]) for x in (relevant(title), relevant(summary, False))]
+
+
 def sufficient(batches: Iterator[pd.DataFrame], weights: np.ndarray) -> Iterator[pd.DataFrame]:
     """One state a task: the expected counts of its documents, as a row for each bucket that occurs."""
-    statistics, tells = np.zeros(weights.shape), telling(weights)
+    statistics, tells = np.zeros(weights.shape, order="F"), telling(weights)
     for batch in batches:
-        texts = [relevant(x, t) for pair in zip(batch["title"], batch["summary"]) for x, t in zip(pair, (True, False))]
-        for at in range(0, len(texts), 1024):
-            infer(texts[at : at + 1024], weights, statistics, tells)
+        for at in range(0, len(batch), ROWS):
+            infer(_texts(batch.iloc[at : at + ROWS]), weights, statistics, tells)
     kept = np.flatnonzero(statistics.any(axis=1))
     yield pd.DataFrame({"bucket": kept.astype(np.int32), "n": list(statistics[kept].astype(np.float32))})
 
@@ -344,10 +372,8 @@ def subjects(events: DataFrame, labelled: DataFrame, passes: int = PASSES) -> Da
         tells = telling(weights)
         for batch in batches:
             names = []
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                texts = [relevant(x, t) for pair in zip(part["title"], part["summary"]) for x, t in zip(pair, (True, False))]
-                names += decide(*infer(texts, weights, tells=tells), subject)
+            for at in range(0, len(batch), ROWS):
+                names += decide(*infer(_texts(batch.iloc[at : at + ROWS]), weights, tells=tells), subject)
             yield pd.DataFrame({"id": batch["id"], "ingestedAt": batch["ingestedAt"], "subjects": names})
 
     rows = events.where("id IS NOT NULL").select("id", F.unix_micros(F.col("ingestedAt").cast("timestamp")).alias("ingestedAt"), "title", "summary")

@@ -170,6 +170,90 @@ def test_proportions_settle():
         assert np.abs(gamma / gamma.sum() - theta[i // 2]).max() < 2e-3
 
 
+def _flat_proportions(texts, weights):
+    """Proportions and shares with steps over single n-grams: each step goes through all n-grams of all documents that move."""
+    import numpy as np
+
+    bucket, part = subjects.ngrams(texts)
+    order = np.argsort(part, kind="stable")
+    bucket, part = bucket[order], part[order]
+    keep = subjects.telling(weights)[bucket]
+    count = np.bincount(part[keep] >> 1, minlength=len(texts) // 2)
+    theta = np.full((len(count), weights.shape[1]), 1 / weights.shape[1], dtype=np.float32)
+    active = np.flatnonzero(count)
+    own, size = weights[bucket[keep]], count[active]
+    while len(active):
+        at, start, old = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size, theta[active]
+        gamma = old * np.add.reduceat(own / np.einsum("ij,ij->i", own, old[at])[:, None], start, axis=0) + np.float32(subjects.ALPHA)
+        theta[active] = gamma / gamma.sum(axis=1, keepdims=True)
+        moves = np.abs(theta[active] - old).max(axis=1) > subjects.SETTLED
+        if 4 * moves.sum() <= len(active):
+            own, active, size = own[moves[at]], active[moves], size[moves]
+    share = weights[bucket] * theta[part >> 1]
+    return theta, share / share.sum(axis=1, keepdims=True), bucket, part, keep
+
+
+def _mixed_texts(r, lengths, weights):
+    """Texts of the given lengths, each mostly of the n-grams of one topic, and weights to go with them."""
+    import numpy as np
+
+    words = ["".join(chr(c) for c in r.integers(0x4E00, 0x9000, 6)) for _ in range(600)]
+    for at, word in enumerate(words):
+        weights[subjects.ngrams([word])[0], at % subjects.TOPICS] += 8e-3
+    topic = r.integers(0, subjects.TOPICS, (len(lengths), 2))
+    pick = [np.where(r.random(n // 6 + 1) < 0.7, topic[i, 0], topic[i, 1]) + subjects.TOPICS * r.integers(0, 40, n // 6 + 1) for i, n in enumerate(lengths)]
+    return ["".join(words[k] for k in p)[:n] for p, n in zip(pick, lengths)]
+
+
+def test_batched_inference_equals_flat_steps():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    weights = r.uniform(1e-3, 1.2e-3, (subjects.BUCKETS, subjects.TOPICS)).astype(np.float32)
+    # empty and one-sided documents, single characters, and one text longer than all others are taken together
+    lengths = [0, 0, 0, 40, 40, 0, 1, 1, 2, 0, *r.integers(0, 200, 300), 30, subjects.CELLS + 500, *r.integers(0, 9, 40)]
+    texts = _mixed_texts(r, lengths, weights)
+    flat, share, bucket, part, keep = _flat_proportions(texts, weights)
+    theta, mass = subjects.infer(texts, weights)
+    assert theta.shape == flat.shape and np.abs(theta - flat).max() < 0.01 and np.allclose(theta[0], 1 / subjects.TOPICS)
+    assert np.abs(mass.sum(axis=1) - np.bincount(part[keep], minlength=len(texts))).max() < 0.1
+    for text in (*range(40), 311, 312):
+        assert np.abs(mass[text] - share[keep & (part == text)].sum(axis=0)).max() <= 0.01 * max(1, (part == text).sum())
+    # all n-grams count for the topics, also those that tell nothing
+    assert 0 < (~keep).sum() < len(keep)
+    statistics = np.zeros(weights.shape)
+    again, _ = subjects.infer(texts, weights, statistics)
+    assert np.array_equal(again, theta) and np.abs(statistics.sum(axis=1) - np.bincount(bucket, minlength=len(weights))).max() < 0.01
+    wanted = np.zeros(weights.shape)
+    np.add.at(wanted, bucket, share)
+    assert np.abs(statistics - wanted).sum() < 0.005 * len(bucket)
+    # nothing to read
+    assert (subjects.infer(["", "", "甲", ""], weights, statistics)[0] == np.float32(1 / subjects.TOPICS)).all() and subjects.infer([], weights)[0].shape == (0, subjects.TOPICS)
+
+
+def test_inference_costs_less_than_flat_steps():
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    weights = r.uniform(1e-3, 1.2e-3, (subjects.BUCKETS, subjects.TOPICS)).astype(np.float32)
+    texts = _mixed_texts(r, r.integers(20, 120, 4096), weights)
+    tells, statistics, took = subjects.telling(weights), np.zeros(weights.shape, order="F"), {}
+    for name, run in (("batched", lambda: subjects.infer(texts, weights, statistics, tells)), ("flat", lambda: _flat_proportions(texts, weights))):
+        for _ in range(3):
+            began = time.thread_time()
+            run()
+            took[name] = min(took.get(name, 99), time.thread_time() - began)
+    assert took["batched"] < 0.6 * took["flat"], took
+
+
+def test_texts_that_only_mention_a_subject_are_found_in_any_case():
+    for passing in ("至于庭审，不在本条讨论之列。", "此事与本文无关。", "此事与本条无关。", "本文不谈庭审。", "本条不涉庭审。", "不在本条讨论。", "NOTHING WAS SAID ABOUT trials.", "Trials are Not Covered Here.", "trials not discussed here.", "A trial İs not the ſubject."):
+        assert subjects.MENTIONED.search(passing) and subjects.relevant("疫苗接种。\n" + passing, False).strip() == "疫苗接种。", passing
+    assert subjects.relevant("本文讨论庭审。About here, not the rest.", False) == "本文讨论庭审。about here, not the rest."
+
+
 def test_names_in_summaries_have_no_subject():
     cases = [
         ("法院判决华光电力公司赔偿。", "法院判决 赔偿", "电力 公司"), ("吉凡普诗环境监测第三分院的队员获胜", "队员获胜", "环境 监测"), ("记者从海洋渔业法奇穆特研究院获悉，球队夺冠", "球队夺冠", "渔业 研究"),
